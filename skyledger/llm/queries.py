@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import near_duplicates, packing
+from skyledger.llm import language_id, near_duplicates, packing, quality_classifier
 from skyledger.sources.tables import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by boosted trees."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by mixture inference."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into windows of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -23,6 +33,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op7_near_duplicates": op7_near_duplicates,
 }
