@@ -24,7 +24,7 @@ GROWTH = 1.05
 GROUP_ROWS = 50
 #: A limit is the upper quantile, plus so many times its distance from the median, plus the slack of its ratio.
 UPPER, SPREADS = 0.75, 4.0
-SLACK = {"symbols": 0.05, "dup_lines": 0.25, "repeats": 0.2}
+SLACK = {"symbols": 0.05, "dup_lines": 0.3, "repeats": 0.35}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
