@@ -5,26 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyledger.llm import near_duplicates, packing
+from skyledger.llm import mixing, near_duplicates, packing, pii, quality_rules
 from skyledger.session import stage_table
 from skyledger.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return near_duplicates.keep_one_of_each(docs)
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced; every document stays. ``n_chars`` is that of the new text."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows over what is left."""
     return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
 

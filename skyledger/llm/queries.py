@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import chat_windows, language_id, mixing, near_duplicates, packing, quality_classifier, quality_rules
+from skyledger.llm import (
+    chat_windows, language_id, main_text, mixing, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules,
+)
 from skyledger.sources.tables import table
 
 
@@ -26,6 +28,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the patterns' matches, and the terms that disclose them."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return main_text.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every hundredth vector."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest document that near-duplicate links reach."""
     groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
@@ -65,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op5_main_text": op5_main_text,
+    "op6_nearest": op6_nearest,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_chat": op8_chat,
     "op9_quality_rules": op9_quality_rules,
