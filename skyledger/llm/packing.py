@@ -25,8 +25,11 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces in a group: a group's windows that stay open cost padding once per group.
 GROUP_PIECES = 20_000
-#: Distinct chunks whose ids a Python worker keeps at a time.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks in a generation of those whose ids a Python worker keeps.
+CACHE_CHUNKS = 500_000
+
+#: ASCII letters in lower case, and a line's end as a blank: what the tokenizer makes of them anyhow.
+_LOWER_AND_BLANKS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,33 +37,64 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Token ids of texts, a chunk between blanks at a time.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its chunks in
-    order, and chunks recur. Strings of the tokenizer's special tokens are ordinary text here.
+    The tokenizer lowers case, drops white space and never joins what it separates, so a text's ids are those of its
+    chunks in order, and chunks recur. A full stop or comma after a letter is a token of its own, so that a word is
+    encoded once for all of its endings. Known chunks are kept in two generations: when the young one is full, it
+    becomes the old one, and what is still in use moves up. Strings of the tokenizer's special tokens are ordinary
+    text here.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = (text or "").replace("\n", " ").split(" ")
+        chunks = (text or "").encode("utf-8", "replace").translate(_LOWER_AND_BLANKS).decode().split(" ")
         known = self.known
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            pass
-        new = [c for c in set(chunks) if c not in known]
-        if len(known) + len(new) > CACHE_CHUNKS:
-            known.clear()
-            new = list(set(chunks))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(found.ids, "<u4").tobytes()
+            self._learn(set(chunks))
+        known = self.known
         return b"".join([known[c] for c in chunks])
 
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) + len(chunks) > CACHE_CHUNKS:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        ended, new = [], []
+        for c in chunks:
+            if c in known:
+                continue
+            if c in old:
+                known[c] = old[c]
+            elif c[-1:] in (".", ",") and c[-2:-1].isalpha():
+                ended.append(c)
+            else:
+                new.append(c)
+        for c in ended:
+            if c[:-1] not in known and c[:-1] not in chunks:
+                if c[:-1] in old:
+                    known[c[:-1]] = old[c[:-1]]
+                else:
+                    new.append(c[:-1])
+        if ended:
+            new += [c for c in (".", ",") if c not in known]
+        for at in range(0, len(new), 10_000):
+            self._encode(new[at : at + 10_000])
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1]]
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Encode chunks in one call; the word numbers of its tokens tell whose they are."""
+        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+        ends = (4 * np.searchsorted(of, np.arange(len(chunks)), side="right")).tolist()
+        self.known.update(zip(chunks, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary file."""
