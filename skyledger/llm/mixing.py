@@ -67,7 +67,7 @@ def balance(by_size: DataFrame, targets: DataFrame) -> DataFrame:
 
     A Newton step is one aggregation over all documents (told apart by source and size only, which is all that a rate
     depends on) for all sources at once. A step that leaves the bracket of signs seen so far is replaced by its
-    middle. A source at its limit needs no tilt: all its documents go twice. Only the largest deviation reaches the driver.
+    middle. Tilts are rounded, so that the order in which sums are added up leaves no trace. A source at its limit needs no tilt: all its documents go twice. Only the largest deviation reaches the driver.
     """
     state = targets.withColumns({
         "mean": F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)), "tilt": F.lit(0.0),
@@ -92,7 +92,7 @@ def balance(by_size: DataFrame, targets: DataFrame) -> DataFrame:
         bounded = F.greatest(F.least(newton, F.col("tilt") + 8), F.col("tilt") - 8)
         step = F.when(off < TOLERANCE, F.col("tilt")).when(inside, bounded).otherwise((low + high) / 2)
         state = stage_table(
-            now.select("source", "source_size", "docs", "units", "target", "mean", step.alias("tilt"), low.alias("low"), high.alias("high"), off.alias("off")),
+            now.select("source", "source_size", "docs", "units", "target", "mean", F.round(step, 10).alias("tilt"), low.alias("low"), high.alias("high"), off.alias("off")),
             "mix-tilts",
         )
         if (state.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
