@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("operators.pair_queries",)
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
