@@ -256,7 +256,7 @@ def usage_daily(spark, folder):
     return table(spark, folder, "lineitem").groupBy(c("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("calls"), F.sum("l_quantity").cast("long").alias("tokens"))
 
 
-@query("rejection_counts", "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'unsafe' ELSE p_type END AS reason, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
+@query("rejection_counts", "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'unsafe' ELSE p_type END AS reason, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1")
 def rejection_counts(spark, folder):
     reason = F.when(c("p_partkey") % 4 != 0, c("p_type"))
-    return table(spark, folder, "part").where(c("p_partkey") % 3 == 0).groupBy(F.coalesce(reason, F.lit("unsafe")).alias("reason")).agg(F.count("*").alias("n"))
+    return table(spark, folder, "part").where(c("p_size") > 25).groupBy(F.coalesce(reason, F.lit("unsafe")).alias("reason")).agg(F.count("*").alias("n"))

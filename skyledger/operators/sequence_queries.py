@@ -350,8 +350,8 @@ def group_membership(spark, folder):
     return p.groupBy("grp").agg(F.count("*").alias("members"))
 
 
-@query("intersect_splits", path("SELECT trajectory_id FROM track_path WHERE event_id % 17 = 0 INTERSECT SELECT trajectory_id FROM track_path WHERE event_id % 19 = 0"))
+@query("intersect_splits", path("SELECT trajectory_id FROM track_path WHERE NOT inside AND alt_m > 11000 INTERSECT SELECT trajectory_id FROM track_path WHERE inside AND vs_mps > 1"))
 def intersect_splits(spark, folder):
     """Trajectories in both of two splits."""
     p = A.track_path(spark, folder)
-    return p.where("event_id % 17 = 0").select("trajectory_id").intersect(p.where("event_id % 19 = 0").select("trajectory_id"))
+    return p.where("not inside and alt_m > 11000").select("trajectory_id").intersect(p.where("inside and vs_mps > 1").select("trajectory_id"))

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("operators.pair_queries", "operators.function_queries", "operators.evaluate_queries", "operators.sequence_queries")
+MODULES: tuple[str, ...] = (
+    "operators.pair_queries", "operators.function_queries", "operators.evaluate_queries", "operators.sequence_queries", "operators.policy_queries",
+    "streaming.queries",
+)
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
