@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyledger.plans import oracle as O
 from skyledger.registry import query
 from skyledger.streaming import operators as S
+from skyledger.streaming import stateful as K
 from skyledger.streaming.runs import finished, stream_table
 
 c = F.col
@@ -60,3 +61,63 @@ def stream_session_events(spark, folder):
     s="SELECT *, alt_m > 9950 AS above, lag(alt_m > 9950) OVER (PARTITION BY trajectory_id ORDER BY t, event_id) AS was FROM track_path"))
 def stream_crossing_trigger(spark, folder):
     return finished(S.crossing_trigger(track(spark, folder)), "append", ["trajectory_id"]).select("trajectory_id", "event_id")
+
+
+# -- state per key --------------------------------------------------------------------------------------------------------
+
+
+def timed(spark, folder):
+    i = c("event_id")
+    return track(spark, folder).withColumns({"t": F.unix_micros("time").cast("double") / 1000000, "target_m": F.when(i % 6 == 0, c("alt_m") + 600)})
+
+
+@query("stream_track_ingest", path("SELECT trajectory_id, count(*) AS reports FROM track_path GROUP BY 1"))
+def stream_track_ingest(spark, folder):
+    """Reports without repetitions, counted per aircraft."""
+    return finished(S.command_dedup(track(spark, folder)), "append", ["event_id"]).groupBy("trajectory_id").agg(F.count("*").alias("reports"))
+
+
+_GATE = """WITH RECURSIVE track_sys AS (SELECT event_id, 'CES' || CAST(100 + user_id AS VARCHAR) AS callsign, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS epoch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'view')),
+    walk AS (SELECT event_id, callsign, n, true AS accepted, epoch + 7200 AS until FROM track_sys WHERE n = 1 UNION ALL SELECT s.event_id, s.callsign, s.n, s.epoch >= w.until, CASE WHEN s.epoch >= w.until THEN s.epoch + 7200 ELSE w.until END FROM track_sys s JOIN walk w ON s.callsign = w.callsign AND s.n = w.n + 1)
+    SELECT callsign, event_id, accepted FROM walk"""
+
+
+@query("stream_cooldown_gate", _GATE)
+def stream_cooldown_gate(spark, folder):
+    e = stream_table(spark, folder, "events").where(c("event_type").isin("click", "view"))
+    commands = e.select("event_id", F.concat(F.lit("CES"), (100 + c("user_id")).cast("string")).alias("callsign"), (F.unix_micros(c("ts").cast("timestamp")).cast("double") / 1000000).alias("epoch"))
+    return finished(K.cooldown_gate(commands), "append", ["event_id"])
+
+
+@query("stream_command_execution")
+def stream_command_execution(spark, folder):
+    found = finished(K.command_execution(timed(spark, folder)), "append", ["command_id"])
+    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 3).alias("mean_s"))
+
+
+_ISLAND = "SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM track_path"
+
+
+@query("stream_clear_window", path("SELECT trajectory_id, arg_min(event_id, t) AS event_id FROM (SELECT *, min(t) OVER (PARTITION BY trajectory_id, k) AS since FROM g WHERE inside) WHERE t - since >= 7200 GROUP BY trajectory_id, k", g=_ISLAND))
+def stream_clear_window(spark, folder):
+    return finished(K.clear_window(timed(spark, folder).withColumn("clear", c("inside")), 7200.0), "append", ["event_id"])
+
+
+@query("stream_replan_stall")
+def stream_replan_stall(spark, folder):
+    risks = timed(spark, folder).withColumn("risk", (c("event_id") * 17 % 101).cast("double"))
+    return finished(K.replan_stall(risks), "append", ["event_id"]).groupBy("trajectory_id").agg(F.count("*").alias("replans"))
+
+
+@query("stream_adsb_fusion", path("SELECT trajectory_id, count(*) AS complete FROM (SELECT *, max(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END) OVER w AS kinds FROM track_path WINDOW w AS (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)) WHERE kinds = 4 GROUP BY 1"))
+def stream_adsb_fusion(spark, folder):
+    messages = timed(spark, folder).withColumn("kind", c("event_id") % 4)
+    return finished(K.message_fusion(messages), "append", ["trajectory_id"]).groupBy("trajectory_id").agg(F.count("*").alias("complete"))
+
+
+@query("stream_conflict_monitor", path("SELECT CAST(floor(a.t / 1200) * 1200 AS BIGINT) AS start_s, count(*) AS n_pairs FROM track_path a JOIN track_path b ON floor(a.t / 1200) = floor(b.t / 1200) AND a.trajectory_id < b.trajectory_id AND abs(a.alt_m - b.alt_m) < 650 GROUP BY 1"))
+def stream_conflict_monitor(spark, folder):
+    """Pairs that are near in height in each tick of 20 minutes."""
+    p = K.tick_pairs(track(spark, folder), "20 minutes", "1 hour").where(F.abs(c("alt1") - c("alt2")) < 650)
+    found = finished(p.select("at", "id1", "id2"), "append", ["at"])
+    return found.groupBy(F.unix_seconds("at").alias("start_s")).agg(F.count("*").alias("n_pairs"))
