@@ -27,7 +27,9 @@ REACH = 60
 #: Different contexts in which a term must stand near an entity; copies of a passage are one context.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.7, 0.9
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
+#: Documents of a batch that are turned into Python objects at a time.
+SLICE_ROWS = 500
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -133,7 +135,7 @@ def evidence(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
                 yield pa.RecordBatch.from_arrays([*empty, *numbers], names=names)
             counts.clear()
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, max(1, b.num_rows), SLICE_ROWS)):
             kinds = [c.type for c in batch.columns[:-1]]
             spans, nears = [], []
             for text in batch.column(len(keep)):
@@ -237,7 +239,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             texts = batch.column(place).to_pylist()
             spans, removed = batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()
             for i, own in enumerate(spans):
