@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyledger.llm import (
     chat_windows, language_id, main_text, mixing, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules,
 )
+from skyledger.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from skyledger.sources.tables import table
 
 
@@ -95,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
