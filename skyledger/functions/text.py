@@ -142,7 +142,7 @@ def latitude_text(lat: Column) -> Column:
     d = F.floor(a)
     m = F.floor((a - d) * 60)
     s = F.round((a - d - m / 60) * 3600, 1)
-    return F.concat(F.when(lat < 0, "S").otherwise("N"), F.lpad(d.cast("string"), 2, "0"), F.lit("'"), F.lpad(m.cast("string"), 2, "0"), F.lit("'"), F.format_string("%.1f", s))
+    return F.concat(F.when(lat < 0, "S").otherwise("N"), F.lpad(d.cast("string"), 2, "0"), F.lit("'"), F.lpad(m.cast("string"), 2, "0"), F.lit("'"), F.lpad(F.format_string("%.1f", s), 4, "0"))
 
 
 def iso_epoch(text: Column) -> Column:

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: tuple[str, ...] = (
     "operators.pair_queries", "operators.function_queries", "operators.evaluate_queries", "operators.sequence_queries", "operators.policy_queries",
-    "operators.more_queries", "streaming.queries", "sources.queries",
+    "operators.more_queries", "operators.extra_queries", "streaming.queries", "sources.queries",
 )
 
 _queries: dict[str, Query] = {}

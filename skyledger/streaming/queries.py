@@ -121,3 +121,10 @@ def stream_conflict_monitor(spark, folder):
     p = K.tick_pairs(track(spark, folder), "20 minutes", "1 hour").where(F.abs(c("alt1") - c("alt2")) < 650)
     found = finished(p.select("at", "id1", "id2"), "append", ["at"])
     return found.groupBy(F.unix_seconds("at").alias("start_s")).agg(F.count("*").alias("n_pairs"))
+
+
+@query("stream_conflict_tracker", path("SELECT event_id, trajectory_id, CASE WHEN alert THEN 'new' ELSE 'cleared' END AS status FROM (SELECT *, NOT inside AS alert, lag(NOT inside) OVER (PARTITION BY trajectory_id ORDER BY t, event_id) AS was FROM track_path) WHERE (alert AND NOT coalesce(was, false)) OR (NOT alert AND was)"))
+def stream_conflict_tracker(spark, folder):
+    """When each aircraft's alert (here: its error reports) begins and ends."""
+    flags = timed(spark, folder).withColumn("alert", ~c("inside"))
+    return finished(K.life_cycle(flags), "append", ["event_id"]).select("event_id", "trajectory_id", "status")
