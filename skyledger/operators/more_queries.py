@@ -242,7 +242,7 @@ def parameter_decode(spark, folder):
     return A.track_path(spark, folder).select("event_id", F.round(share * 30 * F.when(i % 2 == 0, 1).otherwise(-1), 9).alias("turn_deg"), F.greatest(hold, F.lit(15.0)).alias("hold_s"))
 
 
-@query("episode_metrics", O.with_views("SELECT episode, count_if(hit AND NOT coalesce(was, false)) AS detected, count_if(NOT hit AND was) AS resolved, min(horizontal_km) AS least_km FROM (SELECT *, horizontal_km < 7 AS hit, lag(horizontal_km < 7) OVER (PARTITION BY episode ORDER BY sim_time_s, event_id) AS was FROM run_events) GROUP BY 1", "run_events"))
+@query("episode_metrics", O.with_views("SELECT episode, count_if(hit AND NOT coalesce(was, false)) AS detected, count_if(NOT hit AND coalesce(was, false)) AS resolved, min(horizontal_km) AS least_km FROM (SELECT *, horizontal_km < 7 AS hit, lag(horizontal_km < 7) OVER (PARTITION BY episode ORDER BY sim_time_s, event_id) AS was FROM run_events) GROUP BY 1", "run_events"))
 def episode_metrics(spark, folder):
     """Onsets and resolutions of a flag along each episode, and its minimum."""
     hit = c("horizontal_km") < 7

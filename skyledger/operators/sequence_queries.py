@@ -84,7 +84,7 @@ def turn_anticipation(spark, folder):
     return p.select("event_id", F.round(radius, 3).alias("radius_m"), F.round(radius * F.abs(F.tan(F.radians(c("turn") / 2))), 2).alias("lead_m"))
 
 
-@query("sector_transitions", path("SELECT tick, count_if(inside AND NOT coalesce(was, false)) AS arrived, count_if(NOT inside AND was) AS departed FROM s GROUP BY tick", s=f"SELECT *, lag(inside) {ORDER} AS was FROM track_path"))
+@query("sector_transitions", path("SELECT tick, count_if(inside AND NOT coalesce(was, false)) AS arrived, count_if(NOT inside AND coalesce(was, false)) AS departed FROM s GROUP BY tick", s=f"SELECT *, lag(inside) {ORDER} AS was FROM track_path"))
 def sector_transitions(spark, folder):
     p = A.track_path(spark, folder).withColumn("was", F.lag("inside").over(along()))
     return p.groupBy("tick").agg(F.count_if(c("inside") & ~F.coalesce("was", F.lit(False))).alias("arrived"), F.count_if(~c("inside") & c("was")).alias("departed"))
@@ -187,7 +187,7 @@ def gae_returns(spark, folder):
     return g.select(F.explode(F.aggregate("steps", zero, step, lambda s: s["out"])).alias("o")).select("o.event_id", "o.advantage")
 
 
-@query("conflict_onsets", O.with_views("SELECT trajectory_id, count_if(hit AND NOT coalesce(was, false)) AS onsets, count_if(NOT hit AND was) AS cleared FROM s GROUP BY 1", "tracks",
+@query("conflict_onsets", O.with_views("SELECT trajectory_id, count_if(hit AND NOT coalesce(was, false)) AS onsets, count_if(NOT hit AND coalesce(was, false)) AS cleared FROM s GROUP BY 1", "tracks",
     s="SELECT *, vs_mps > 0 AS hit, lag(vs_mps > 0) OVER (PARTITION BY trajectory_id ORDER BY tick) AS was FROM tracks"))
 def conflict_onsets(spark, folder):
     """Rising and falling edges of a flag along each aircraft's ticks (here: climbing)."""
