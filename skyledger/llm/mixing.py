@@ -171,7 +171,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     planned = stage_table(planned.withColumnsRenamed({"n": "__n", "copies": "__copies"}), "mix-copies")
     sized = docs.withColumn("__size", word_count(F.col(text_col)))
     at = sized[id_col].eqNullSafe(planned["__id"]) & sized[source_col].eqNullSafe(planned["__from"]) & (sized["__size"] == planned["__words"])
-    joined = sized.join(planned, at).drop("__id", "__from", "__words")
+    # the plan has a row per document, so it is never broadcast, at any size
+    joined = sized.join(planned.hint("merge"), at).drop("__id", "__from", "__words")
     rows = joined.where("__n = 1").withColumn("__times", F.col("__copies"))
     if not planned.where("__n > 1").isEmpty():
         number = F.row_number().over(Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col)))
