@@ -26,7 +26,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces in a group: a group's windows that stay open cost padding once per group.
 GROUP_PIECES = 20_000
 #: Distinct chunks in a generation of those whose ids a Python worker keeps.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 220_000
 
 #: ASCII letters in lower case, and a line's end as a blank: what the tokenizer makes of them anyhow.
 _LOWER_AND_BLANKS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
@@ -47,53 +47,52 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.number = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = (text or "").encode("utf-8", "replace").translate(_LOWER_AND_BLANKS).decode().split(" ")
-        known = self.known
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        """The ids of a text, which is UTF-8."""
+        chunks = (text or b"").translate(_LOWER_AND_BLANKS).split(b" ")
         try:
-            return b"".join([known[c] for c in chunks])
+            found = b"".join([self.known[c] for c in chunks])
         except KeyError:
             self._learn(set(chunks))
-        known = self.known
-        return b"".join([known[c] for c in chunks])
+            found = b"".join([self.known[c] for c in chunks])
+        return np.frombuffer(found, self.number)
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[bytes]) -> None:
         if len(self.known) + len(chunks) > CACHE_CHUNKS:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        ended, new = [], []
+        ended, new = [], set()
         for c in chunks:
             if c in known:
                 continue
             if c in old:
                 known[c] = old[c]
-            elif c[-1:] in (".", ",") and c[-2:-1].isalpha():
+            elif c[-1:] in (b".", b",") and c[:-1].decode()[-1:].isalpha():
                 ended.append(c)
             else:
-                new.append(c)
-        for c in ended:
-            if c[:-1] not in known and c[:-1] not in chunks:
-                if c[:-1] in old:
-                    known[c[:-1]] = old[c[:-1]]
+                new.add(c)
+        for c in [c[:-1] for c in ended] + [b".", b","]:
+            if c not in known and c not in new:
+                if c in old:
+                    known[c] = old[c]
                 else:
-                    new.append(c[:-1])
-        if ended:
-            new += [c for c in (".", ",") if c not in known]
-        for at in range(0, len(new), 10_000):
-            self._encode(new[at : at + 10_000])
+                    new.add(c)
+        order = list(new)
+        for at in range(0, len(order), 10_000):
+            self._encode(order[at : at + 10_000])
         for c in ended:
-            known[c] = known[c[:-1]] + known[c[-1]]
+            known[c] = known[c[:-1]] + known[c[-1:]]
 
-    def _encode(self, chunks: list[str]) -> None:
+    def _encode(self, chunks: list[bytes]) -> None:
         """Encode chunks in one call; the word numbers of its tokens tell whose they are."""
-        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-        ends = (4 * np.searchsorted(of, np.arange(len(chunks)), side="right")).tolist()
-        self.known.update(zip(chunks, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        found = self.tokenizer.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.array(found.ids, self.number), np.array(found.word_ids, np.int64)
+        ends = (ids.itemsize * np.searchsorted(of, np.arange(len(chunks)), side="right")).tolist()
+        self.known.update(zip(chunks, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
 
 
 def encoder(path: str) -> Encoder:
@@ -121,15 +120,14 @@ def tokenised_pieces(
     path = vocabulary or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+        encode = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                total = len(ids) // 4
-                for start, length in cut(total, window):
-                    own = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(own), total, np.frombuffer(own, "<u4") if with_ids else None))
+                ids = np.append(encode(text.as_py()), END_ID).astype("<u4")
+                for start, length in cut(len(ids), window):
+                    own = ids[start : start + length]
+                    rows.append((doc_id, start, length, zlib.crc32(own.tobytes()), len(ids), own if with_ids else None))
             columns = [list(c) for c in zip(*rows)] if rows else [[]] * 6
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
@@ -137,7 +135,7 @@ def tokenised_pieces(
                 names, arrays = [*names, "ids"], [*arrays, pa.array(columns[5], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return keyed.mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 
 
