@@ -46,40 +46,51 @@ def distance_after_speed_command(start_kt: Column, target_kt: Column, seconds: C
     return ((start_kt + end) * 0.5 * used + target_kt * (t - used)) / 3600.0
 
 
+def with_motion_terms(pairs: DataFrame) -> DataFrame:
+    """What ``motion`` needs of either side and does not depend on time, worked out once per pair."""
+    terms = {}
+    for n in (1, 2):
+        x, y = geo.local_xy_nm(c(f"lat{n}"), c(f"lon{n}"))
+        track = F.radians(f"trk{n}")
+        terms |= {f"east{n}": x, f"north{n}": y, f"sin{n}": F.sin(track), f"cos{n}": F.cos(track), f"kt{n}": c(f"gs{n}") * MPS_TO_KT}
+    return pairs.withColumns(terms)
+
+
 def motion(n: int, t: Column, kind: Column, target: Column) -> tuple[Column, Column, Column]:
-    """East and north in NM and altitude of side ``n`` of a pair after ``t`` seconds under a candidate."""
-    x, y = geo.local_xy_nm(c(f"lat{n}"), c(f"lon{n}"))
-    start, before = c(f"gs{n}") * MPS_TO_KT, F.least(t, F.lit(DELAY_S))
-    rest = F.greatest(t - DELAY_S, F.lit(0.0))
+    """East and north in NM and altitude of side ``n`` of a pair with motion terms, after ``t`` seconds under a candidate."""
+    before, rest = F.least(t, F.lit(DELAY_S)), F.greatest(t - DELAY_S, F.lit(0.0))
+    start = c(f"kt{n}")
     flown = start * before / 3600.0 + F.when(kind == "speed", distance_after_speed_command(start, target, rest)).otherwise(start * rest / 3600.0)
-    track = F.radians(c(f"trk{n}"))
     level = c(f"alt{n}") + c(f"vs{n}") * before
-    climbing = F.least(target, level + CLIMB_MPS * rest)
-    sinking = F.greatest(target, level - CLIMB_MPS * rest)
-    commanded = F.when(target > level, climbing).otherwise(sinking)
+    commanded = F.when(target > level, F.least(target, level + CLIMB_MPS * rest)).otherwise(F.greatest(target, level - CLIMB_MPS * rest))
     altitude = F.when((kind == "altitude") & (rest > 0), commanded).otherwise(level + c(f"vs{n}") * rest)
-    return x + flown * F.sin(track), y + flown * F.cos(track), altitude
+    return c(f"east{n}") + flown * c(f"sin{n}"), c(f"north{n}") + flown * c(f"cos{n}"), altitude
+
+
+def held(n: int, t: Column) -> tuple[Column, Column, Column]:
+    """The motion of a side without a command: straight on at its own rates."""
+    flown = c(f"kt{n}") * t / 3600.0
+    return c(f"east{n}") + flown * c(f"sin{n}"), c(f"north{n}") + flown * c(f"cos{n}"), c(f"alt{n}") + c(f"vs{n}") * t
 
 
 def rollout(pairs: DataFrame) -> DataFrame:
     """Per pair with a candidate of its first side: the least distance, the least vertical gap while horizontally
     lost, and whether both minima are broken at one time of the grid.
 
-    The time grid is an array per row, folded in place: no rows are made for its points, and nothing is shuffled.
+    The times of the grid are columns, so that the whole roll-out is compiled code over one row: no rows are made for
+    its points, and nothing is shuffled.
     """
-
-    def at(t: Column) -> Column:
-        x1, y1, z1 = motion(1, t, c("kind"), c("target"))
-        x2, y2, z2 = motion(2, t, F.lit("hold"), F.lit(0.0))
-        return F.struct(F.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2).alias("h"), F.abs(z2 - z1).alias("v"))
-
-    times = F.transform(F.sequence(F.lit(0), F.lit(HORIZON_S), F.lit(STEP_S)), lambda t: at(t.cast("double")))
-    out = pairs.withColumn("points", times)
-    lost = F.filter("points", lambda p: p["h"] < LIMIT_NM)
-    return out.withColumns({
-        "min_nm": F.array_min(F.transform("points", lambda p: p["h"])), "min_m_when_lost": F.array_min(F.transform(lost, lambda p: p["v"])),
-        "unsafe": F.exists("points", lambda p: (p["h"] < LIMIT_NM) & (p["v"] < LIMIT_M)),
-    }).drop("points")
+    times = range(0, HORIZON_S + STEP_S, STEP_S)
+    points = {}
+    for t in times:
+        (x1, y1, z1), (x2, y2, z2) = motion(1, F.lit(float(t)), c("kind"), c("target")), held(2, F.lit(float(t)))
+        points |= {f"__h{t}": F.sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), f"__v{t}": F.abs(z2 - z1)}
+    h, v = [c(f"__h{t}") for t in times], [c(f"__v{t}") for t in times]
+    unsafe = text.any_of([(a < LIMIT_NM) & (b < LIMIT_M) for a, b in zip(h, v)])
+    out = with_motion_terms(pairs).withColumns(points).withColumns({
+        "min_nm": F.least(*h), "min_m_when_lost": F.least(*[F.when(a < LIMIT_NM, b) for a, b in zip(h, v)]), "unsafe": unsafe,
+    })
+    return out.drop(*points)
 
 
 def with_margin(scored: DataFrame, state: list[str]) -> DataFrame:
