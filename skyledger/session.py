@@ -19,6 +19,8 @@ def build_session(app: str = "skyledger", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # pairs and candidates make much work of few bytes, so small partitions are kept apart
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
