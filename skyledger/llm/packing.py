@@ -26,7 +26,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces in a group: a group's windows that stay open cost padding once per group.
 GROUP_PIECES = 20_000
 #: Distinct chunks in a generation of those whose ids a Python worker keeps.
-CACHE_CHUNKS = 220_000
+CACHE_CHUNKS = 350_000
 
 #: ASCII letters in lower case, and a line's end as a blank: what the tokenizer makes of them anyhow.
 _LOWER_AND_BLANKS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
