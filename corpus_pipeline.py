@@ -20,8 +20,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    return near_duplicates.keep_one_of_each(docs)
+    """One document of each group of near copies stays, at similarity 0.8 of five-word shingles: that with the smallest id."""
+    return near_duplicates.keep_one_of_similar(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

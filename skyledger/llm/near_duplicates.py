@@ -24,30 +24,43 @@ BITS = 64
 SHINGLE_WORDS = 3
 RADIUS = 2
 HASH_SEED = 42
+#: Shingles and their least similarity (Jaccard, of different shingles) for documents of a corpus to count as one.
+CORPUS_SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: Keys a text and minima a key. Texts at similarity 0.8 share one of 20 keys with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, BAND_ROWS = 20, 5
+#: Texts of a key that all others of it are compared with in the first round; twice as many in each that follows.
+LEADERS = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
-    """The SimHash of a whole text, unsigned.
-
-    A-Z are lower-cased, words are what ASCII white space separates, shingles are joined by one space and count as
-    often as they occur; a text with fewer words is one shingle. A bit is set if more than half of the shingles'
-    XXH64 values have it. A null or wordless text has fingerprint zero.
-    """
+def shingle_hashes(text: bytes | None, words_in_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 values of a text's shingles in their order, a bounded number at a time; none of a wordless text."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - words_in_shingle + 1)
     last = ends[words_in_shingle - 1 :] if len(words) >= words_in_shingle else ends[-1:]
-    counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, _CHUNK):  # bounds the memory that a very long text takes
         spans = zip(starts[at : at + _CHUNK].tolist()[: n - at], last[at : at + _CHUNK].tolist())
-        hashes = np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], "<u8")
+        yield np.array([digest(joined[a:b], HASH_SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: bytes | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
+    """The SimHash of a whole text, unsigned.
+
+    A-Z are lower-cased, words are what ASCII white space separates, shingles are joined by one space and count as
+    often as they occur; a text with fewer words is one shingle. A bit is set if more than half of the shingles'
+    XXH64 values have it. A null or wordless text has fingerprint zero.
+    """
+    n, counts = 0, np.zeros(BITS, np.int64)
+    for hashes in shingle_hashes(text, words_in_shingle):
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
@@ -121,15 +134,130 @@ def near_duplicate_groups(
     return marked.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def _keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each ``unnamed, component`` of ``groups(doc_id, text_hash, unnamed, component)``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = groups.groupBy("unnamed", "component").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
+    hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    at = hashed[id_col].eqNullSafe(kept["kept_id"]) & (hashed["__text_hash"] == kept["kept_hash"])
+    return hashed.join(kept, at, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (nulls last; of several rows
     with that id, the one with the least text hash, and of equal rows one). Columns are those of ``docs``."""
     groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     # two components of rows without any id must not be taken for one
     component = F.coalesce(F.col("component_id"), F.col("fp"))
-    kept = groups.groupBy(F.col("component_id").isNull().alias("unnamed"), component.alias("component")).agg(first)
-    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash")).distinct()
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    at = hashed[id_col].eqNullSafe(kept["kept_id"]) & (hashed["__text_hash"] == kept["kept_hash"])
-    return hashed.join(kept, at, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    groups = groups.select("doc_id", "text_hash", F.col("component_id").isNull().alias("unnamed"), component.alias("component"))
+    return _keep_first(docs, groups, id_col, text_col)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The different hashes of a text's shingles, for its similarity with others."""
+    parts = list(shingle_hashes(text, CORPUS_SHINGLE_WORDS))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+_MIX = np.random.default_rng(HASH_SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+_MIX[0] |= 1
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """MinHash keys of a shingle set: each is the hash of its number and of ``BAND_ROWS`` minima."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        low = np.minimum(low, (_MIX[0] * hashes[at : at + 2048] + _MIX[1]).min(1))
+    keys = [xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def with_keys(keyed: DataFrame) -> DataFrame:
+    """``keyed(doc_id, text_hash, text)`` with the fingerprint ``fp``, the number ``n`` of shingles and ``keys`` for ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, keys = [], [], []
+            for text in batch.column(2):
+                text = text.as_py()
+                own = shingle_set(text)
+                fps.append(fingerprint(text))
+                sizes.append(len(own))
+                keys.append(band_keys(own))
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", "n", "keys"])
+
+    kind = dict(keyed.dtypes)["doc_id"]
+    return keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n long, keys array<long>")
+
+
+def with_sets(texts: DataFrame) -> DataFrame:
+    """``node, hashes`` of ``texts(node, text)``: their shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes array<long>")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: verified links between similar texts, from ``nodes(node, least, n, keys)`` and ``texts(node, text)``.
+
+    In a round, the first texts of every key by their least id, its leaders, are compared with all texts of the key; what
+    is neither a leader nor similar to one goes into the next round. So two texts that share a key are compared unless
+    an earlier text has been found similar to one of them: of any two texts that are the first of their components,
+    none with a common key is left uncompared. Texts similar to a leader leave a key, so
+    its pairs grow with the square only of what shares it without being similar.
+    """
+    turn = F.struct(F.col("least").isNull().alias("no_id"), "least", "node")
+    rows = nodes.select("node", "n", turn.alias("turn"), F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+    rows = stage_table(rows.join(shared, "key", "left_semi"), "similar-keys")
+    asked = texts.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = stage_table(with_sets(asked), "similar-sets")
+    links, leading = None, LEADERS
+    while links is None or not rows.isEmpty():
+        place = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
+        leaders = rows.withColumn("place", place).where(F.col("place") <= leading)
+        leaders = stage_table(leaders.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a")), "similar-leaders")
+        close = rows.join(leaders, "key").where((F.col("turn_a") < F.col("turn")) & (F.least("n", "n_a") / F.greatest("n", "n_a") >= SIMILARITY))
+        pairs = close.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
+        both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+        found = stage_table(pairs.where(both / (F.col("n_a") + F.col("n_b") - both) >= SIMILARITY).select("a", "b"), "similar-links")
+        links, leading = found if links is None else links.union(found), 2 * leading
+        others = rows.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
+        done = others.join(leaders.select("key", "a"), "key").join(found.withColumnRenamed("b", "node"), ["a", "node"]).select("key", "node")
+        rows = stage_table(others.join(done, ["key", "node"], "left_anti"), "similar-keys")
+    return links
+
+
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies, as ``keep_one_of_each`` picks it.
+
+    Documents are linked if their sets of five-word shingles have a similarity of at least ``SIMILARITY``, or their
+    fingerprints differ in at most ``RADIUS`` bits. Texts are nodes by their hash, so that copies meet as one row.
+    """
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    marked = stage_table(with_keys(keyed), "similar-marked")
+    nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(
+        F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")
+    )
+    nodes = stage_table(nodes, "similar-nodes")
+    fps = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    same = nodes.join(fps, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = near_links(fps)
+    for side in "ab":
+        near = near.join(fps.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}")), side)
+    near = near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    links = similar_links(nodes, keyed.select(F.col("text_hash").alias("node"), "text")).union(same).union(near)
+    roots = connected_components(links, "a", "b")
+    rooted = marked.select("doc_id", "text_hash").join(roots, F.col("text_hash") == F.col("node"), "left")
+    groups = rooted.select("doc_id", "text_hash", F.lit(False).alias("unnamed"), F.coalesce("component", "text_hash").alias("component"))
+    return _keep_first(docs, groups, id_col, text_col)
