@@ -54,7 +54,8 @@ def _search_chunk(
     n, m = len(vectors), len(queries)
     need = int(np.ceil(COLLISIONS * LINES))
     itself = [ids == q for q in query_ids]
-    wanted = np.array([min(k, n - int(own.sum())) for own in itself])
+    different = len(np.unique(ids))  # an id can have several vectors
+    wanted = np.array([min(k, different - bool(own.any())) for own in itself])
     # windows begin well inside the distance to the nearest of a few vectors
     few = vectors[:: max(1, n // 256)]
     radius = np.sqrt(np.maximum((few**2).sum(1) - 2 * queries @ few.T + (queries**2).sum(1)[:, None], 0)).min(1)
@@ -77,7 +78,8 @@ def _search_chunk(
             verified[i, new] = True
             distance[i, new] = np.sqrt(((vectors[new] - queries[i]) ** 2).sum(1))
             distance[i, itself[i]] = np.inf
-            within = int((distance[i] <= radius[i]).sum())
+            close = distance[i] <= radius[i]
+            within = int(close.sum()) if different == n else len(np.unique(ids[close]))
             if within < wanted[i] and not verified[i].all():
                 rest.append(i)
         low, high, live = new_low, new_high, np.array(rest, np.int64)
@@ -85,7 +87,10 @@ def _search_chunk(
     out = []
     for i in range(m):
         close = np.flatnonzero(np.isfinite(distance[i]))
-        best = close[np.lexsort((ids[close], distance[i, close]))[: wanted[i]]]
+        best = close[np.lexsort((ids[close], distance[i, close]))]
+        if different < n:
+            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+        best = best[: wanted[i]]
         out += [(int(query_ids[i]), int(ids[b]), float(distance[i, b])) for b in best]
     return out
 
@@ -98,11 +103,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Null, zero and non-finite vectors, and null ids, take no part; only vectors of the query's own length are its
     candidates. Ties go to the smaller id, and copies of one vector are all verified. A query's own id is never its
-    candidate, in any repeated row; repeated candidate rows count once. With at most ``k`` candidates all are
+    candidate, in any repeated row; repeated candidate rows count once, and an id with several vectors by its nearest. With at most ``k`` candidates all are
     returned. Other columns are not looked at.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
     n, queries = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     blocks, query_blocks = max(1, -(-n // BLOCK_VECTORS)), max(1, -(-queries // BLOCK_QUERIES))
     part = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
