@@ -28,8 +28,6 @@ LEAST_PAGES = 3
 #: A slot is full if it holds this share of the text that changes from page to page.
 FULL = 0.9
 ALL_HOSTS = "*"
-#: Different tokens of one page that are counted; deeper or odder paths are no template.
-MAX_DEPTH = 12
 
 # Fixed values of HTML.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas".split())
@@ -122,7 +120,7 @@ def parse(source: str) -> Page:
         elif not (rest.endswith("/") or name in VOID):
             named = [(k.lower(), (a or b or c).lower()) for k, a, b, c in _NAMED.findall(rest)]
             words = frozenset(w for _, v in named for w in _PART.findall(v))
-            label = name + "".join(f".{v}" for k, v in named if k != "role" and not any(map(str.isdigit, v)))
+            label = name + "".join(f".{v.replace('/', '|')}" for k, v in named if k != "role" and not any(map(str.isdigit, v)))
             path = f"{open_tags[-1][0] if open_tags else ''}/{label}"
             open_tags.append((path, name, words))
             page.tokens.append(open_tags[-1])
@@ -173,9 +171,8 @@ def count_tokens(pages: DataFrame) -> DataFrame:
                             content.setdefault(path, xxhash.xxh64()).update(block.text.encode("utf-8", "replace"))
                 seen: dict[str, list] = {}
                 for place, (path, tag, words) in enumerate(page.tokens):
-                    if path.count("/") <= MAX_DEPTH:
-                        rank = -1 if beside(tag, words) else main_rank(tag, words)
-                        seen.setdefault(path, [0, place, rank])[0] += 1
+                    rank = -1 if beside(tag, words) else main_rank(tag, words)
+                    seen.setdefault(path, [0, place, rank])[0] += 1
                 for path, (hits, place, rank) in seen.items():
                     digest = content[path].intdigest() >> 1 if path in content else 0
                     vector = xxhash.xxh64_intdigest(f"{key}:{hits}".encode())
