@@ -1,10 +1,10 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page is a sequence of tokens: container tags with the path that leads to them. Over the pages of a host, a token has
+A page is a sequence of tokens: container tags with the path that leads to them, and the texts in them. Over the pages of a host, a token has
 an occurrence vector: how often it is on each page. Tokens with the same vector that are on most pages form an
 equivalence class; classes are valid if their tokens nest, and together they are the host's template. What stands
-between template tokens are its slots. The slot with the main text is chosen for the host, and its content is
-extracted from each page.
+between template tokens are its slots. The slot with the main text is chosen for the host, and its content, without
+texts that are template themselves, is extracted from each page.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MOST = 0.5
 LEAST_PAGES = 3
 #: A slot is full if it holds this share of the text that changes from page to page.
 FULL = 0.9
+#: The rank of a text token.
+TEXT = -2
 ALL_HOSTS = "*"
 
 # Fixed values of HTML.
@@ -77,6 +79,12 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
+def text_token(block: Block) -> str:
+    """The key of a block's text in its container."""
+    digest = xxhash.xxh64_hexdigest(block.text.encode("utf-8", "replace"))
+    return f"{block.around[-1][0] if block.around else ''}/#{digest}"
+
+
 def parse(source: str) -> Page:
     """Tokens and blocks of a page. Unclosed and stray tags are taken as browsers do: a closing tag closes what is
     open inside it, one without its opening tag is nothing. Script-like elements and comments have no text."""
@@ -154,7 +162,7 @@ def count_tokens(pages: DataFrame) -> DataFrame:
     An occurrence vector is held as two sums of 31-bit hashes of (page, count) over the pages: equal vectors have equal
     sums whatever the order, and tasks' partial sums combine, so that a host of any number of pages never meets in one
     place. ``low`` and ``high`` are the least and greatest hash of a container's content: equal if it never changes. ``chars`` are the code points of text whose nearest container is not beside the article, by every container
-    around them; ``place`` is where in a page the token first stands.
+    around them; ``place`` is where in a page the token first stands. Texts are tokens of their host only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +178,15 @@ def count_tokens(pages: DataFrame) -> DataFrame:
                             chars[path] = chars.get(path, 0) + len(block.text)
                             content.setdefault(path, xxhash.xxh64()).update(block.text.encode("utf-8", "replace"))
                 seen: dict[str, list] = {}
+                said: dict[str, int] = {}
+                for block in page.blocks:
+                    token = text_token(block)
+                    said[token] = said.get(token, 0) + 1
+                for token, hits in said.items():
+                    vector = xxhash.xxh64_intdigest(f"{key}:{hits}".encode())
+                    own = sums.setdefault((host, token), [0, TEXT, 0, 0, 0, 0, 0, 0, 0])
+                    for k, more in ((2, 1), (3, hits), (4, vector >> 33), (5, vector & 0x7FFFFFFF)):
+                        own[k] += more
                 for place, (path, tag, words) in enumerate(page.tokens):
                     rank = -1 if beside(tag, words) else main_rank(tag, words)
                     seen.setdefault(path, [0, place, rank])[0] += 1
@@ -206,20 +223,26 @@ def count_tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(tokens: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(host, slots)``: for each host with a template, the paths of its candidates for the main slot, best first.
+    """``(host, slots, texts)``: for each host with a template, the paths of its candidates for the main slot, best
+    first, and its texts.
 
     Classes are tokens of one host with one vector. A class counts if it is on most pages, and if its tokens nest: each
     is once on every page that has the class, under a parent of the template or at the top. Paths that repeat on pages
-    (rows, items) are content, not template.
+    (rows, items) are content, not template. A text is template if it has the vector of a valid class: it is on just
+    the pages that the class is on, once on each.
     """
     known = tokens.join(totals, "host").where((F.col("pages") >= MOST * F.col("n")) & (F.col("hits") == F.col("pages")))
     constant = ((F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_PAGES)).alias("constant")
     classes = known.groupBy("host", "vector_a", "vector_b", "pages").agg(
         F.collect_list(F.struct("place", "path", "parent", "rank", "chars", constant)).alias("own")
     )
-    flat = classes.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("all"), F.count("*").alias("n_classes"))
+    classes = classes.withColumns({"own": F.filter("own", lambda t: t["rank"] != TEXT), "texts": F.filter("own", lambda t: t["rank"] == TEXT)})
+    texts = F.when((F.col("pages") >= LEAST_PAGES) & (F.size("own") > 0), F.col("texts"))
+    flat = classes.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("all"), F.flatten(F.collect_list(texts)).alias("texts"))
     paths = F.transform("all", lambda t: t["path"])
     flat = flat.withColumn("nested", F.filter("all", lambda t: (t["parent"] == "") | F.array_contains(paths, t["parent"])))
+    inside = F.transform("nested", lambda t: t["path"])
+    flat = flat.withColumn("texts", F.transform(F.filter("texts", lambda t: (t["parent"] == "") | F.array_contains(inside, t["parent"])), lambda t: t["path"]))
     under = lambda t, c: F.startswith(c["path"], F.concat(t["path"], F.lit("/")))
     outermost = lambda c: ~F.exists("nested", lambda o: o["constant"] & (o["path"] == c["parent"]))
     flat = flat.withColumn("constants", F.filter("nested", lambda c: c["constant"] & outermost(c)))
@@ -230,11 +253,12 @@ def templates(tokens: DataFrame, totals: DataFrame) -> DataFrame:
     most = F.array_max(F.transform("slots", lambda t: t["own"]))
     # the plainest name first; then what holds nearly all that changes from page to page, the innermost first
     order = F.transform("slots", lambda t: F.struct((-t["rank"]).alias("r"), (t["own"] < FULL * most).alias("f"), (-t["place"]).alias("p"), t["path"].alias("path")))
-    return flat.select("host", F.transform(F.sort_array(order), lambda t: t["path"]).alias("slots"), "n_classes")
+    return flat.select("host", F.transform(F.sort_array(order), lambda t: t["path"]).alias("slots"), "texts")
 
 
-def slot_text(page: Page, slots: list[str]) -> str:
-    """The page's blocks in its main slot, those in menus, notices and the like left out.
+def slot_text(page: Page, slots: list[str], texts: frozenset[str] = frozenset()) -> str:
+    """The page's blocks in its main slot, those in menus, notices and the like left out, and the template's ``texts``
+    unless nothing else is in the slot (pages that are copies of each other).
 
     The first slot of the template that the page has text in is taken; a page that has none (odd pages, hosts
     without a template) has its own plainest container taken, or else the whole page.
@@ -244,14 +268,15 @@ def slot_text(page: Page, slots: list[str]) -> str:
         return ""
     have = {path for b in blocks for path, _, _ in b.around}
     slot = next((s for s in slots if s in have), None)
-    own = {(main_rank(tag, words), path) for b in blocks for path, tag, words in b.around}
-    plain = max((rank for rank, _ in own), default=0)
-    if plain and (slot is None or (plain, slot) not in own):
-        chosen = {path for rank, path in own if rank == plain}
+    ranked = {(main_rank(tag, words), path) for b in blocks for path, tag, words in b.around}
+    plain = max((rank for rank, _ in ranked), default=0)
+    if plain and (slot is None or (plain, slot) not in ranked):
+        chosen = {path for rank, path in ranked if rank == plain}
     else:
         chosen = {slot} if slot else set()
-    picked = [b.text for b in blocks if not chosen or any(path in chosen for path, _, _ in b.around)]
-    return "\n".join(picked)
+    picked = [b for b in blocks if not chosen or any(path in chosen for path, _, _ in b.around)]
+    own = [b for b in picked if text_token(b) not in texts] if texts else picked
+    return "\n".join(b.text for b in own or picked)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -266,19 +291,22 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     keyed = named.select(F.coalesce(F.col("page_id").cast("string"), F.col("url")).alias("page_key"), "host", "html")
-    tokens = stage_table(count_tokens(keyed), "page-tokens")
+    # a text on fewer pages is no template
+    tokens = count_tokens(keyed).where((F.col("rank") != TEXT) | (F.col("pages") >= LEAST_PAGES))
+    tokens = stage_table(tokens, "page-tokens")
     totals = named.groupBy("host").agg(F.count("*").alias("n"))
     totals = stage_table(totals.union(named.agg(F.lit(ALL_HOSTS).alias("host"), F.count("*").alias("n"))), "page-hosts")
     found = stage_table(templates(tokens, totals), "page-templates")
     whole = found.where(F.col("host") == ALL_HOSTS).select("slots").first()
     fallback = list(whole["slots"]) if whole else []
-    own = found.join(totals.where(F.col("n") >= LEAST_PAGES), "host").select(F.col("host").alias("__host"), "slots")
-    joined = named.join(stage_table(own, "page-slots"), F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "slots")
+    own = found.join(totals.where(F.col("n") >= LEAST_PAGES), "host").select(F.col("host").alias("__host"), "slots", "texts")
+    joined = named.join(stage_table(own, "page-slots"), F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "slots", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                slot_text(parse(source.as_py() or ""), slots.as_py() or fallback) for source, slots in zip(batch.column(2), batch.column(3))
+                slot_text(parse(source.as_py() or ""), slots.as_py() or fallback, frozenset(said.as_py() or ()))
+                for source, slots, said in zip(*batch.columns[2:])
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -19,3 +19,18 @@ def test_slot_in_nested_tables(spark):
         return f"<html><body>{inner}</body></html>"
 
     assert all(t.startswith(f"story{i}x0 ") and "links" not in t for i, t in enumerate(texts(spark, map(page, range(6)))))
+
+
+def test_template_text_in_the_slot_goes(spark):
+    def page(i):
+        story = "".join(f"<p>story {i} part {k}</p>" for k in range(9))
+        once = "<p>said here only</p>" if i == 2 else ""
+        return f"<body><article><h1>Title {i}</h1><div class=box><p>Join our list</p><p>Day {i}</p></div>{story}{once}<p>Read more soon</p></article></body>"
+
+    for i, text in enumerate(texts(spark, map(page, range(5)))):
+        want = [f"Title {i}", f"Day {i}", *[f"story {i} part {k}" for k in range(9)], *["said here only"] * (i == 2)]
+        assert text == "\n".join(want)
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    assert texts(spark, ["<article><p>one</p><p>two</p></article>"] * 4) == ["one\ntwo"] * 4
