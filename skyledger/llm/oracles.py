@@ -1,18 +1,21 @@
 """DuckDB twins of the numbered queries that SQL can express; written apart from the operators, over whole tables."""
 
 from skyledger.llm.chat_windows import BUDGET, HISTORY
-from skyledger.llm.quality_rules import GROUP_ROWS, GROWTH, SLACK, SPREADS, UPPER
+from skyledger.llm.quality_rules import GROWTH, PRIOR_ROWS, SPREADS, UPPER
 
-_QUANTILES = """SELECT {g} ratio, any_value(total) AS total, min(CASE WHEN upto >= 0.5 * total THEN v END) AS mid, min(CASE WHEN upto >= {u} * total THEN v END) AS up FROM
-    (SELECT *, sum(n) OVER (PARTITION BY {g} ratio ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {g} ratio) AS total, CASE WHEN bucket IS NULL THEN 0.0::DOUBLE ELSE pow({b}::DOUBLE, bucket) END AS v
-     FROM (SELECT {g} ratio, bucket, count(*) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"""
+_FENCES = """SELECT {g} ratio, total, up + {s}::DOUBLE * (up - mid) AS fence FROM (SELECT {g} ratio, any_value(total) AS total, min(CASE WHEN upto >= 0.5 * total THEN bucket END) AS mid, min(CASE WHEN upto >= {u} * total THEN bucket END) AS up FROM
+    (SELECT *, sum(n) OVER (PARTITION BY {g} ratio ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY {g} ratio) AS total
+     FROM (SELECT {g} ratio, bucket, count(*) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"""
 
 
-def _quantiles(groups: str) -> str:
-    return _QUANTILES.format(g=groups, u=UPPER, b=GROWTH)
+def _fences(groups: str) -> str:
+    return _FENCES.format(g=groups, u=UPPER, s=SPREADS)
 
 
-_LIMIT = f"up + {SPREADS}::DOUBLE * (up - mid) + CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SLACK.items()) + " END"
+def _drawn(own: str, around: str) -> str:
+    """An average by rows of a group's fence and that of the group around it."""
+    return f"({own}.total::DOUBLE * {own}.fence + {PRIOR_ROWS}::DOUBLE * {around}.fence) / ({own}.total::DOUBLE + {PRIOR_ROWS}::DOUBLE)"
+
 
 QUALITY_RULES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -26,15 +29,16 @@ m AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CA
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
     FROM w LEFT JOIN cov ON w.rid = cov.rid LEFT JOIN lc ON w.rid = lc.rid),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-r AS (SELECT rid, lang, source, 'symbols' AS ratio, n_symbols / greatest(word_chars, 1) AS x FROM b UNION ALL SELECT rid, lang, source, 'dup_lines', n_dup_lines / greatest(n_lines, 1) FROM b
-    UNION ALL SELECT rid, lang, source, 'repeats', n_repeat_words / greatest(n_words, 1) FROM b),
-sk AS (SELECT *, CASE WHEN x > 0 THEN CAST(ceil(ln(x) / ln({GROWTH}::DOUBLE)) AS INT) END AS bucket FROM r),
-q3 AS ({_quantiles("lang, source,")}), q2 AS ({_quantiles("lang,")}), q1 AS ({_quantiles("")}),
-over_ AS (SELECT rid, bool_or(x > coalesce(o.lim, l.lim, a.lim)) AS bad FROM r
-    LEFT JOIN (SELECT *, {_LIMIT} AS lim FROM q3 WHERE total >= {GROUP_ROWS}) o ON o.ratio = r.ratio AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
-    LEFT JOIN (SELECT *, {_LIMIT} AS lim FROM q2 WHERE total >= {GROUP_ROWS}) l ON l.ratio = r.ratio AND l.lang IS NOT DISTINCT FROM r.lang
-    LEFT JOIN (SELECT *, {_LIMIT} AS lim FROM q1) a ON a.ratio = r.ratio GROUP BY rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b JOIN over_ USING (rid)
+v AS (SELECT rid, lang, source, unnest([struct_pack(ratio := 'symbols', x := (n_symbols + 0.5::DOUBLE) / (greatest(word_chars - n_symbols, 0) + 0.5::DOUBLE)),
+    struct_pack(ratio := 'dup_lines', x := (n_dup_lines + 0.5::DOUBLE) / (greatest(n_lines - n_dup_lines, 0) + 0.5::DOUBLE)),
+    struct_pack(ratio := 'repeats', x := (n_repeat_words + 0.5::DOUBLE) / (greatest(n_words - n_repeat_words, 0) + 0.5::DOUBLE)),
+    struct_pack(ratio := 'long', x := word_chars / n_words), struct_pack(ratio := 'short', x := n_words / word_chars)]) AS s FROM b WHERE NOT base_failed),
+sk AS (SELECT rid, lang, source, s.ratio AS ratio, CAST(ceil(ln(s.x) / ln({GROWTH}::DOUBLE)) AS INT) AS bucket FROM v),
+q3 AS ({_fences("lang, source,")}), q2 AS ({_fences("lang,")}), q1 AS ({_fences("")}),
+l2 AS (SELECT q2.lang, q2.ratio, {_drawn("q2", "q1")} AS fence FROM q2 JOIN q1 ON q1.ratio = q2.ratio),
+l3 AS (SELECT q3.lang, q3.source, q3.ratio, {_drawn("q3", "l2")} AS fence FROM q3 JOIN l2 ON l2.ratio = q3.ratio AND l2.lang IS NOT DISTINCT FROM q3.lang),
+over_ AS (SELECT rid, bool_or(bucket > l3.fence) AS bad FROM sk JOIN l3 ON l3.ratio = sk.ratio AND l3.lang IS NOT DISTINCT FROM sk.lang AND l3.source IS NOT DISTINCT FROM sk.source GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM b LEFT JOIN over_ USING (rid)
 """
 
 _ESCAPED = "length({x}) + length({x}) - length(replace(replace(replace({x}, '\\', ''), '<', ''), '[', ''))"

@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Every document is measured in one pass. For each language and source a mergeable sketch of each ratio (counts per
-logarithmic bucket, which add up in any order) gives quantiles; limits follow from them in place of fixed cutoffs, and
-a join brings each document its group's limits.
+Every document is measured in one pass. Counts become odds (smoothed by half a unit, so that a long text without a symbol
+tells more than a short one), and for each language and source a mergeable sketch of each measure (counts per logarithmic
+bucket, which add up in any order) gives its quantiles among the documents that pass the base rules. A limit is a fence in
+logarithms, as far above the upper quantile as the group's own spread says; there is no fixed cutoff. A join brings each
+document its group's limits.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from skyledger.session import stage_table
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-RATIOS = ("symbols", "dup_lines", "repeats")
-#: A bucket's upper end is this many times its lower end: quantiles are right within 2.5 percent.
-GROWTH = 1.05
-#: Groups with fewer documents take the limits of their language, and small languages those of all.
-GROUP_ROWS = 50
-#: A limit is the upper quantile, plus so many times its distance from the median, plus the slack of its ratio.
-UPPER, SPREADS = 0.75, 4.0
-SLACK = {"symbols": 0.05, "dup_lines": 0.3, "repeats": 0.35}
+#: What is limited from above. ``long`` and ``short`` are the mean word length and its inverse: fences on both sides.
+RATIOS = ("symbols", "dup_lines", "repeats", "long", "short")
+#: A bucket's upper end is this many times its lower end: quantiles are right within 1 percent.
+GROWTH = 1.01
+#: A group's limit and that of the group around it are averaged by rows, the latter counting as so many.
+PRIOR_ROWS = 50
+#: A limit is the upper quantile plus so many times its distance from the median, all in buckets, that is in logarithms.
+UPPER, SPREADS = 0.75, 5.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -113,60 +115,60 @@ def measured(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     return out.withColumn(f"{prefix}base_failed", (words < 50) | (100 * repeats > 50 * words))
 
 
-def ratios(prefix: str = "") -> dict[str, Column]:
-    part = lambda a, b: F.col(prefix + a) / F.greatest(F.col(prefix + b), F.lit(1))
-    return {"symbols": part("n_symbols", "word_chars"), "dup_lines": part("n_dup_lines", "n_lines"), "repeats": part("n_repeat_words", "n_words")}
+def buckets(prefix: str = "") -> dict[str, Column]:
+    """The logarithmic bucket of each of ``RATIOS`` of a measured row; to be asked of rows that pass the base rules."""
+    of = lambda name: F.col(prefix + name)
+    odds = lambda a, b: (of(a) + 0.5) / (F.greatest(of(b) - of(a), F.lit(0)) + 0.5)
+    values = {
+        "symbols": odds("n_symbols", "word_chars"), "dup_lines": odds("n_dup_lines", "n_lines"), "repeats": odds("n_repeat_words", "n_words"),
+        "long": of("word_chars") / of("n_words"), "short": of("n_words") / of("word_chars"),
+    }
+    return {name: F.ceil(F.log(x) / F.log(F.lit(GROWTH))).cast("int") for name, x in values.items()}
 
 
 def sketches(table: DataFrame, groups: list[str], prefix: str = "") -> DataFrame:
-    """``(*groups, ratio, bucket, n)``: the mergeable sketch. Bucket null holds the zeros."""
-    bucket = lambda x: F.when(x > 0, F.ceil(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
-    each = F.array(*[F.struct(F.lit(name).alias("ratio"), bucket(x).alias("bucket")) for name, x in ratios(prefix).items()])
-    rows = table.select(*groups, F.explode(each).alias("s"))
+    """``(*groups, ratio, bucket, n)``: the mergeable sketch of the rows that pass the base rules."""
+    each = F.array(*[F.struct(F.lit(name).alias("ratio"), x.alias("bucket")) for name, x in buckets(prefix).items()])
+    rows = table.where(~F.col(f"{prefix}base_failed")).select(*groups, F.explode(each).alias("s"))
     return rows.groupBy(*groups, "s.ratio", "s.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """``(*groups, ratio, rows, middle, upper)``: the sizes and quantiles of merged sketches, by a group's few buckets."""
+def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """``(*groups, ratio, rows, fence)``: the size and the limit of merged sketches, by a group's few buckets."""
     merged = sketch.groupBy(*groups, "ratio", "bucket").agg(F.sum("n").alias("n"))
     own = Window.partitionBy(*groups, "ratio")
-    upto = own.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumns({"upto": F.sum("n").over(upto), "rows": F.sum("n").over(own)})
-    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
-    return ranked.groupBy(*groups, "ratio").agg(F.first("rows").alias("rows"), at(0.5).alias("middle"), at(UPPER).alias("upper"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
+    return ranked.groupBy(*groups, "ratio").agg(F.first("rows").alias("rows"), (at(UPPER) + SPREADS * (at(UPPER) - at(0.5))).alias("fence"))
 
 
 def limits(sketch: DataFrame, lang: str, source: str) -> DataFrame:
-    """``(lang, source, symbols, dup_lines, repeats)``: each group's limits, from the group, its language, or all."""
-    levels = {"own": [lang, source], "language": [lang], "all": []}
-    found = {}
-    for level, groups in levels.items():
-        q = quantiles(sketch, groups)
-        slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])[F.col("ratio")]
-        limit = F.col("upper") + SPREADS * (F.col("upper") - F.col("middle")) + slack
-        kept = F.lit(True) if level == "all" else F.col("rows") >= GROUP_ROWS
-        found[level] = q.where(kept).select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("ratio").alias("__ratio"), limit.alias(level))
-    out = sketch.select(lang, source, "ratio").distinct()
-    for level, groups in levels.items():
-        at = out["ratio"] == found[level]["__ratio"]
-        for g in groups:
-            at = at & out[g].eqNullSafe(found[level][f"__{g}"])
-        out = out.join(found[level], at, "left").drop("__ratio", *[f"__{g}" for g in groups])
-    by = {name: F.max(F.when(F.col("ratio") == name, F.coalesce("own", "language", "all"))).alias(f"limit_{name}") for name in RATIOS}
-    return out.groupBy(F.col(lang).alias("limit_lang"), F.col(source).alias("limit_source")).agg(*by.values())
+    """``(limit_lang, limit_source, limit_*)``: each group's limits, drawn towards its language's, and those towards all rows'.
+
+    A group of few rows so has nearly its language's limits, and none needs a least size.
+    """
+    drawn = lambda own, around: (F.col("rows") * F.col(own) + PRIOR_ROWS * F.col(around)) / (F.col("rows") + PRIOR_ROWS)
+    whole = fences(sketch, []).select(F.col("ratio").alias("__ratio"), F.col("fence").alias("all_fence"))
+    by_lang = fences(sketch, [lang]).join(whole, F.col("ratio") == F.col("__ratio"))
+    by_lang = by_lang.select(F.col(lang).alias("__lang"), F.col("ratio").alias("__ratio"), drawn("fence", "all_fence").alias("lang_fence"))
+    own = fences(sketch, [lang, source])
+    joined = own.join(by_lang, own[lang].eqNullSafe(by_lang["__lang"]) & (own["ratio"] == by_lang["__ratio"]))
+    named = joined.select(F.col(lang).alias("limit_lang"), F.col(source).alias("limit_source"), "ratio", drawn("fence", "lang_fence").alias("limit"))
+    by = [F.max(F.when(F.col("ratio") == name, F.col("limit"))).alias(f"limit_{name}") for name in RATIOS]
+    return named.groupBy("limit_lang", "limit_source").agg(*by)
 
 
 def judged(table: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
-    """A measured and staged table with ``kept``: false if the base rules fail or a ratio is over its group's limit.
+    """A measured and staged table with ``kept``: false if the base rules fail or a measure is over its group's limit.
 
     The limits are a row per language and source, staged so that Spark knows their size and broadcasts them only if
     they are small; otherwise a hot source is a skewed join side, which adaptive execution splits.
     """
     found = stage_table(limits(sketches(table, [lang, source], prefix), lang, source), "quality-limits")
     over = F.lit(False)
-    for name, value in ratios(prefix).items():
-        over = over | (value > F.col(f"limit_{name}"))
+    for name, bucket in buckets(prefix).items():
+        over = over | (bucket > F.col(f"limit_{name}"))
     at = table[lang].eqNullSafe(found["limit_lang"]) & table[source].eqNullSafe(found["limit_source"])
     joined = table.join(found, at, "left").withColumn("kept", ~F.col(f"{prefix}base_failed") & ~F.coalesce(over, F.lit(False)))
     return joined.drop("limit_lang", "limit_source", *[f"limit_{name}" for name in RATIOS])

@@ -389,15 +389,45 @@ def test_measures_match_brute_force(spark, data):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def test_sketch_quantiles_and_merging(spark):
-    rows = [("en", "a", 100, i, 0, 0, 1) for i in range(1, 101)]
-    frame = spark.createDataFrame(rows, "lang string, source string, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    frame = frame.withColumn("n_words", F.lit(100))
+def measured_rows(spark, rows):
+    """Measured rows ``(lang, source, words, symbols, repeats)`` of five letters a word and ten lines, none of them repeated."""
+    kinds = "lang string, source string, n_words long, n_symbols long, n_repeat_words long"
+    more = {"word_chars": 5 * F.col("n_words"), "n_dup_lines": F.lit(0), "n_lines": F.lit(10), "base_failed": F.lit(False)}
+    return spark.createDataFrame(rows, kinds).withColumns(more)
+
+
+def test_sketch_fences_and_merging(spark):
+    frame = measured_rows(spark, [("en", "a", 100, i, 0) for i in range(1, 101)])
     whole = quality_rules.sketches(frame, ["lang"])
     parts = quality_rules.sketches(frame.where("n_symbols % 3 = 0"), ["lang"]).unionByName(quality_rules.sketches(frame.where("n_symbols % 3 <> 0"), ["lang"]))
-    found = [sorted(map(tuple, quality_rules.quantiles(s, ["lang"]).where("ratio = 'symbols'").collect())) for s in (whole, parts)]
+    found = [sorted(map(tuple, quality_rules.fences(s, ["lang"]).collect())) for s in (whole, parts)]
     assert found[0] == found[1]
-    assert abs(found[0][0][3] / 0.5 - 1) < 0.06 and abs(found[0][0][4] / 0.75 - 1) < 0.06
+    odds = lambda n: (n + 0.5) / (500 - n + 0.5)
+    bucket = lambda n: int(np.ceil(np.log(odds(n)) / np.log(quality_rules.GROWTH)))
+    want = bucket(75) + quality_rules.SPREADS * (bucket(75) - bucket(50))
+    assert [r[3] for r in found[0] if r[1] == "symbols"] == [want] and all(r[2] == 100 for r in found[0])
+
+
+def test_groups_have_limits_of_their_own(spark):
+    """The same measures pass in a group that is wont to have them and fail in one that is not; no fixed cutoff can do so."""
+    rows = [(lang, "a", 200, (40 if lang == "xx" else 1) + i % 5, 0) for lang in ("en", "xx") for i in range(1_000)]
+    rows += [("en", "a", 200, 45, 0), ("xx", "a", 200, 45, 0)]
+    judged = quality_rules.judged(measured_rows(spark, rows))
+    assert [tuple(r) for r in judged.where("n_symbols = 45").select("lang", "kept").orderBy("lang").collect()] == [("en", False), ("xx", True)]
+    assert judged.where("n_symbols < 45 and not kept").count() == 0
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = [("en", "a", 200, 1 + i % 5, 0) for i in range(1_000)] + [("en", "b", 200, 60, 0), ("fr", "c", 200, 60, 0)]
+    judged = quality_rules.judged(measured_rows(spark, rows))
+    assert judged.where("n_symbols = 60 and kept").count() == 0
+
+
+def test_limits_differ_between_groups_of_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = quality_rules.limits(quality_rules.sketches(quality_rules.measured(docs), ["lang", "source"]), "lang", "source")
+    n = found.agg(F.count("*"), *[F.count_distinct(f"limit_{x}") for x in ("symbols", "repeats", "long")]).first()
+    assert n[0] > 20 and all(k > n[0] / 2 for k in n[1:])
 
 
 def test_rules_keep_good_and_reject_bad_documents(spark):
