@@ -7,6 +7,7 @@ round-robin to groups of bounded size that are packed side by side, so that no t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from skyledger.session import stage_table
 
@@ -30,60 +32,70 @@ CACHE_CHUNKS = 350_000
 
 #: ASCII letters in lower case, and a line's end as a blank: what the tokenizer makes of them anyhow.
 _LOWER_AND_BLANKS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+#: For texts with marks that a capital may be composed with before its case is lowered (U+0300 to U+037F).
+_BLANKS = bytes(32 if c == 10 else c for c in range(256))
+
+#: The last letter of a chunk, and a full stop or comma that is a token of its own behind it: an ASCII or Latin-1 letter
+#: (whose lower case is one letter, and that no mark behind it can change).
+_ENDED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]\Z")
+#: Lower-case letters of ASCII and Latin-1 alone.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_LATIN_1 = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids of texts, a chunk between blanks at a time.
+    """Token ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, a chunk between blanks at a time.
 
     The tokenizer lowers case, drops white space and never joins what it separates, so a text's ids are those of its
-    chunks in order, and chunks recur. A full stop or comma after a letter is a token of its own, so that a word is
-    encoded once for all of its endings. Known chunks are kept in two generations: when the young one is full, it
-    becomes the old one, and what is still in use moves up. Strings of the tokenizer's special tokens are ordinary
-    text here.
+    chunks in order, and chunks recur. A full stop or comma after a plain letter is a token of its own, so that a word
+    is encoded once for all of its endings; words of plain letters go to the model at once. Known chunks are kept in
+    two generations: when the young one is full, it becomes the old one, and what is still in use moves up. A text with a
+    string of one of the tokenizer's special tokens is encoded as a whole.
     """
 
     def __init__(self, path: str):
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.number = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer.encode_special_tokens = True  # lowering a chunk's case must not make a special token of it
+        self.number = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.in_model = {ord(c): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in _LATIN_1}
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The ids of a text, which is UTF-8."""
-        chunks = (text or b"").translate(_LOWER_AND_BLANKS).split(b" ")
-        try:
-            found = b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            self._learn(set(chunks))
-            found = b"".join([self.known[c] for c in chunks])
-        return np.frombuffer(found, self.number)
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
+        text = text or b""
+        if any(token in text for token in self.special):
+            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, self.number)
+        chunks = text.translate(_BLANKS if b"\xcc" in text or b"\xcd" in text else _LOWER_AND_BLANKS).split(b" ")
+        different = set(chunks)
+        if len(self.known) + len(different) > CACHE_CHUNKS:
             self.known, self.old = {}, self.known
+        new = different.difference(self.known)
+        if new:
+            self._learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), self.number)
+
+    def _learn(self, new: set[bytes]) -> None:
         known, old = self.known, self.old
-        ended, new = [], set()
-        for c in chunks:
-            if c in known:
-                continue
+        ended = [c for c in new if c not in old and _ENDED.search(c)]
+        words = new.difference(ended)
+        words.update([c[:-1] for c in ended], (b".", b","))
+        model, in_model, number, others = self.model.tokenize, self.in_model, self.number, []
+        for c in words:
             if c in old:
                 known[c] = old[c]
-            elif c[-1:] in (b".", b",") and c[:-1].decode()[-1:].isalpha():
-                ended.append(c)
-            else:
-                new.add(c)
-        for c in [c[:-1] for c in ended] + [b".", b","]:
-            if c not in known and c not in new:
-                if c in old:
-                    known[c] = old[c]
+            elif c not in known:
+                if _LETTERS.fullmatch(c):
+                    known[c] = np.array([t.id for t in model(c.decode() if c.isascii() else c.decode().translate(in_model))], number).tobytes()
                 else:
-                    new.add(c)
-        order = list(new)
-        for at in range(0, len(order), 10_000):
-            self._encode(order[at : at + 10_000])
+                    others.append(c)
+        for at in range(0, len(others), 10_000):
+            self._encode(others[at : at + 10_000])
         for c in ended:
             known[c] = known[c[:-1]] + known[c[-1:]]
 

@@ -142,6 +142,24 @@ def test_packing_is_a_partition_of_every_document(spark, data):
     assert used / (len(places) * packing.WINDOW) > 0.95
 
 
+ODD = [*"abeIiİıſßÉé.,'s!?1²½ \n\t\r\u00a0\u0307\u0327\u0301\u200d\u2003中Ωσς🙂-", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|>", "'ll", "Kǅ"]
+
+
+@given(st.lists(st.sampled_from(ODD), max_size=14).map("".join))
+@settings(max_examples=3_000, deadline=None)
+def test_ids_are_those_of_the_tokenizer(text):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    own = packing.encoder(path)
+    assert own(text.encode()).tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_known_words_are_kept_in_two_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 7)
+    own = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    for text in ("one two three.", "four, five six seven eight nine ten", "one, two", "three. four five, six", "one two three four five six seven eight nine"):
+        assert own(text.encode()).tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 64), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_best_fit_matches_a_search_of_all_windows(lengths):
