@@ -35,8 +35,23 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine, F.lit(False))
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances, in a scale in which no square overflows or vanishes if the plain formula's would."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = vectors - query
+        most = np.abs(apart).max(initial=0.0)
+        if most == 0 or 1e-140 < most < 1e140:
+            return np.sqrt((apart**2).sum(1))
+        scale = 2.0 ** min(1023, np.frexp(max(np.abs(vectors).max(), np.abs(query).max()) if np.isinf(most) else most)[1])
+        return np.sqrt(((vectors / scale - query / scale) ** 2).sum(1)) * scale
+
+
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """``(query, vector, distance)``: each query's ``k`` nearest of the block that were found, itself left out."""
+    # searched at a scale near 1, so that windows cover every line after a bounded number of rounds
+    original, asked = vectors, queries
+    scale = 2.0 ** min(1023, np.frexp(max(np.abs(vectors).max(initial=0.0), np.abs(queries).max(initial=0.0)))[1])
+    vectors, queries = vectors / scale, queries / scale
     lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], LINES))
     projected = vectors @ lines
     order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T)
@@ -44,13 +59,19 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
     out = []
     for at in range(0, len(queries), CHUNK_QUERIES):
         part = slice(at, at + CHUNK_QUERIES)
-        out += _search_chunk(vectors, ids, queries[part], query_ids[part], queries[part] @ lines, order, ranked, k)
+        for i, close in enumerate(_search_chunk(vectors, ids, queries[part], query_ids[part], queries[part] @ lines, order, ranked, k)):
+            exact = distances(original[close], asked[at + i])
+            best = np.lexsort((ids[close], exact))
+            found = ids[close][best]
+            first = np.sort(np.unique(found, return_index=True)[1])[:k]  # an id with several vectors counts by its nearest
+            out += [(int(query_ids[at + i]), int(found[b]), float(exact[best[b]])) for b in first]
     return out
 
 
 def _search_chunk(
     vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, centres: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int
-) -> list[tuple[int, int, float]]:
+) -> list[np.ndarray]:
+    """For each query the places of the verified vectors."""
     n, m = len(vectors), len(queries)
     need = int(np.ceil(COLLISIONS * LINES))
     itself = [ids == q for q in query_ids]
@@ -84,15 +105,7 @@ def _search_chunk(
                 rest.append(i)
         low, high, live = new_low, new_high, np.array(rest, np.int64)
         radius = radius * EXPANSION
-    out = []
-    for i in range(m):
-        close = np.flatnonzero(np.isfinite(distance[i]))
-        best = close[np.lexsort((ids[close], distance[i, close]))]
-        if different < n:
-            best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
-        best = best[: wanted[i]]
-        out += [(int(query_ids[i]), int(ids[b]), float(distance[i, b])) for b in best]
-    return out
+    return [np.flatnonzero(np.isfinite(distance[i])) for i in range(m)]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -103,8 +116,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Null, zero and non-finite vectors, and null ids, take no part; only vectors of the query's own length are its
     candidates. Ties go to the smaller id, and copies of one vector are all verified. A query's own id is never its
-    candidate, in any repeated row; repeated candidate rows count once, and an id with several vectors by its nearest. With at most ``k`` candidates all are
-    returned. Other columns are not looked at.
+    candidate, in any repeated row; repeated candidate rows count once, and an id with several vectors by its nearest.
+    With at most ``k`` candidates all are returned. Values may be of any finite size. Other columns are not looked at.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
