@@ -158,18 +158,25 @@ def evidence(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 def disclosing_terms(table: DataFrame) -> DataFrame:
     """``(entity, term, share)`` of the terms that disclose, from staged evidence.
 
-    ``share`` is PMI over information content: log(n(e,t) N / (n(e) n(t))) / log(N / n(e)), where n(e) and n(e,t) count
-    different contexts, n(t) documents, and N all documents. Term counts are summed only for terms that stand near an
-    entity often enough. Nothing is held per entity: pairs are keys of aggregates, so that no hot entity gathers rows.
+    ``share`` is PMI over information content: log(n(e,t) N / (n(e) n(t))) / log(N / n(e)). All four count different contexts, so
+    that copies of a passage change none: where a term (or any) stands near an entity, n(t) (or N) counts its different
+    contexts there; every other document with the term (or at all) is a context of its own. Term counts are summed
+    only for terms that stand near an entity often enough. Nothing is held per entity: pairs are keys of aggregates, so
+    that no hot entity gathers rows.
     """
-    rows = table.where("uid is not null").select(F.explode("near").alias("x")).select("x.entity", "x.term", "x.context").distinct()
+    docs = table.where("uid is not null")
+    near = docs.select("uid", F.explode("near").alias("x")).select("uid", "x.entity", "x.term", "x.context")
+    rows = near.select("entity", "term", "context").distinct()
     pairs = stage_table(rows.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pii-pairs")
-    entities = rows.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
+    entities = stage_table(rows.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts")), "pii-entities")
     wanted = stage_table(pairs.select("term").distinct(), "pii-terms")
+    beside = near.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("uid").alias("near_docs"), F.count_distinct("context").alias("near_contexts"))
     counted = table.where("uid is null").select("term", "docs").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("docs"))
-    total = F.lit(max(2, table.where("uid is not null").count())).cast("double")
+    counted = counted.join(beside, "term").select("term", (F.col("docs") - F.col("near_docs") + F.col("near_contexts")).alias("n"))
+    others = docs.where(F.size("near") == 0).count()
+    total = F.lit(max(2, others + (entities.agg(F.sum("contexts")).first()[0] or 0))).cast("double")
     information = F.log(total / F.col("contexts"))
-    share = F.log(F.col("both") * total / (F.col("contexts") * F.col("docs"))) / information
+    share = F.log(F.col("both") * total / (F.col("contexts") * F.col("n"))) / information
     joined = pairs.join(entities, "entity").join(counted, "term").where(information > 0)
     return joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 

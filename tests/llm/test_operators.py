@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skyledger.llm import chat_windows, language_id, main_text, mixing, near_duplicates, nearest, packing, pii, quality_classifier, quality_rules, queries
+from skyledger.session import stage_table
 from skyledger.sources.tables import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, size long, kept string, uid string"
@@ -237,6 +238,51 @@ def test_terms_that_disclose_are_found_and_common_ones_are_not(spark):
     assert "zorblax" not in clean[1000] and "[EMAIL]" in clean[1000] and clean[5] == text[5]
 
 
+def brute_shares(rows):
+    """The shares of all pairs from the definition: every count is a number of different contexts."""
+    near, with_term, docs = defaultdict(set), defaultdict(set), [(t, pii.base_spans(t or "")) for t in rows]
+    apart, entity_contexts = 0, set()
+    for k, (text, spans) in enumerate(docs):
+        own = pii.near_terms(text or "", spans)
+        apart += not own
+        for entity, term, context, _, _ in own:
+            near[entity, term].add(context)
+            entity_contexts.add((entity, context))
+            with_term[term].add(("near", context))
+        for word in set(pii._WORD.findall((text or "").lower())):
+            term = pii._signed(word)
+            if not any(t == term for _, t, _, _, _ in own):
+                with_term[term].add(("apart", k))
+    total, out = apart + len(entity_contexts), {}
+    for (entity, term), both in near.items():
+        contexts = len({c for e, c in entity_contexts if e == entity})
+        if len(both) >= pii.SUPPORT and total > contexts:
+            out[entity, term] = np.log(len(both) * total / (contexts * len(with_term[term]))) / np.log(total / contexts)
+    return out
+
+
+def test_shares_match_brute_force(spark, data):
+    texts = [r["text"] for r in table(spark, data, "documents").collect()]
+    who = ["met zorblax at zor@mail.example.com on monday", "paid zorblax by zor@mail.example.com late"]
+    texts += [f"{w} for story {k} of the town" for w in who for k in range(60)] + [None, ""]
+    found = pii.disclosing_terms(stage_table(pii.evidence(spark.createDataFrame([(t,) for t in texts], "text string")), "test-evidence"))
+    got = {(r["entity"], r["term"]): r["share"] for r in found.collect()}
+    want = {k: v for k, v in brute_shares(texts).items() if v >= pii.GENERALISE}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert any(t == pii._signed("zorblax") for _, t in got)
+
+
+def test_copies_of_a_passage_hide_nobody(spark):
+    rng = np.random.default_rng(4)
+    filler = lambda: " ".join(rng.choice([f"w{k}ord" for k in range(400)], 40))
+    passage = ["you can ask quimby zorblax at zor@mail.example.com about it", "letters to zor@mail.example.com reach quimby zorblax soon"]
+    rows = [(k, f"{filler()} {passage[k % 2] if k < 200 else ''} {filler()}") for k in range(1_000)]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(200):
+        terms = {rows[k][1][s["start"] : s["end"]] for s in found[k]["spans"] if s["kind"] == pii.TERM}
+        assert {"quimby", "zorblax"} <= terms
+
+
 # -- main text ----------------------------------------------------------------------------------------------------
 
 
