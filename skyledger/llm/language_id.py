@@ -24,6 +24,8 @@ ITERATIONS = 15
 #: Penalty of one more language, in units of half the logarithm of the number of words.
 PENALTY = 4.0
 UNKNOWN = "und"
+#: So many values of ``lang`` at most, for the model and the words a worker keeps to have a bound; more raise an error.
+MOST_LANGUAGES = 200
 #: Different words that a task holds before they are folded into trigram counts, and that a worker's cache keeps.
 HELD_WORDS = 200_000
 
@@ -91,8 +93,11 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """Trigram models of every language of ``labelled(text, lang)``.
 
-    Rows without a language don't count. What reaches the driver is at most languages x ``BUCKETS`` sums.
+    Rows without a language don't count. What reaches the driver is at most ``MOST_LANGUAGES`` x ``BUCKETS`` sums: more
+    values of ``lang`` are an error, as they are not languages.
     """
+    if labelled.where("lang is not null and text is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     rows = count_trigrams(labelled.where("lang is not null and text is not null")).toPandas()
     langs = tuple(sorted(rows["lang"].unique()))
     counts = np.zeros((BUCKETS, len(langs)))
@@ -143,6 +148,8 @@ def infer(log_words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return best
 
 
+#: Log-likelihoods that a worker's cache of words has room for.
+CACHE_FLOATS = 4_000_000
 #: Words of a batch that go through the arrays at a time.
 BATCH_WORDS = 200_000
 
@@ -159,15 +166,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keys: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value
         index: dict[str, int] = {}
-        rows = np.zeros((HELD_WORDS, len(langs)), np.float32)
+        held = min(HELD_WORDS, CACHE_FLOATS // max(1, len(langs)))
+        rows = np.zeros((held, len(langs)), np.float32)
 
         def look_up(words: list[str]) -> np.ndarray:
             """Log-likelihoods of words; the cache is emptied when full."""
             new = [w for w in set(words) if w not in index]
-            if len(index) + len(new) > HELD_WORDS:
+            if len(index) + len(new) > held:
                 index.clear()
                 new = list(set(words))
-                if len(new) > HELD_WORDS:  # one text with more different words than the cache has room for
+                if len(new) > held:  # one text with more different words than the cache has room for
                     return scored(words)
             if new:
                 first = len(index)

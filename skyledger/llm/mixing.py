@@ -32,29 +32,40 @@ def unit_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``rank`` from 0 by code point of ``source``, null last: ranges of sources are numbered side by side,
+    and only the number of sources in each range goes through one window."""
+    order = F.col("source").asc_nulls_last()
+    ranged = stage_table(sources.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("range").alias("__range"), F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    joined = ranged.withColumn("place", place).join(starts, F.col("range") == F.col("__range"))
+    return joined.withColumn("rank", F.col("start") + F.col("place")).drop("range", "__range", "place", "start")
+
+
 def source_targets(by_size: DataFrame) -> DataFrame:
     """``(source, source_size, docs, units, target)`` from ``by_size(source, size, docs, units)``.
 
-    A row per source goes through one window. Sources are ordered by how soon they reach their limit; a source is at
-    its limit if the words still to be dealt, by weight, would exceed it, and the rest share what is left by weight.
+    A source is at its limit if its weight times the level exceeds it; the level is what is left beside the full ones,
+    by weight. It only rises from round to round, and so does the number of full sources. A round is one aggregate of
+    two sums over the sources.
     """
     totals = by_size.groupBy("source").agg(
         F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("docs"), F.sum("units").alias("units")
     )
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = reduce(lambda c, kw: c.when(rank % len(WEIGHTS) == kw[0], float(kw[1])), enumerate(WEIGHTS), F.when(F.lit(False), 0.0))
-    limited = totals.withColumn("weight", weight).withColumn("limit", MOST_COPIES * F.col("source_size").cast("double"))
-    order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = SHARE * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    levelled = limited.withColumns({"level": left / F.sum("weight").over(after), "place": F.row_number().over(order)})
-    at_limit = levelled.withColumn("full", F.col("limit") <= F.col("weight") * F.col("level"))
-    level = F.min_by(F.when(~F.col("full"), F.col("level")), F.when(~F.col("full"), F.col("place"))).over(everything)
-    return at_limit.withColumn("final", level).select(
-        "source", "source_size", "docs", "units",
-        F.when(F.col("full"), F.col("limit")).otherwise(F.least("limit", F.col("weight") * F.col("final"))).alias("target"),
-    )
+    weight = reduce(lambda c, kw: c.when(F.col("rank") % len(WEIGHTS) == kw[0], float(kw[1])), enumerate(WEIGHTS), F.when(F.lit(False), 0.0))
+    limited = numbered(totals).withColumn("weight", weight).withColumn("limit", MOST_COPIES * F.col("source_size").cast("double"))
+    limited = stage_table(limited, "mix-limits")
+    everything, level, risen = SHARE * (limited.agg(F.sum("source_size")).first()[0] or 0), -1.0, 0.0
+    while risen != level:
+        level = risen
+        full = F.col("limit") <= F.col("weight") * level
+        used, open_weight = limited.agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+        risen = (everything - (used or 0.0)) / open_weight if open_weight else level
+    target = F.least("limit", F.col("weight") * level)
+    return limited.select("source", "source_size", "docs", "units", target.alias("target"))
 
 
 def tilted(tilt: Column, size: Column, mean: Column) -> Column:
@@ -67,7 +78,8 @@ def balance(by_size: DataFrame, targets: DataFrame) -> DataFrame:
 
     A Newton step is one aggregation over all documents (told apart by source and size only, which is all that a rate
     depends on) for all sources at once. A step that leaves the bracket of signs seen so far is replaced by its
-    middle. Tilts are rounded, so that the order in which sums are added up leaves no trace. A source at its limit needs no tilt: all its documents go twice. Only the largest deviation reaches the driver.
+    middle. Tilts are rounded, so that the order in which sums are added up leaves no trace. A source at its limit needs no tilt: all its
+    documents go twice. Only the largest deviation reaches the driver.
     """
     state = targets.withColumns({
         "mean": F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)), "tilt": F.lit(0.0),

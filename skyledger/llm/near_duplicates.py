@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Texts of a key that all others of it are compared with in the first round; twice as many in each that follows.
 LEADERS = 8
+#: Fingerprints whose balls one task emits.
+BALL_ROWS = 16_384
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 
@@ -99,7 +101,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rounded up apart, so an odd radius needs it, and then all pairs of the group are looked at).
     """
     half = (radius + 1) // 2
-    emitted = fps.select("fp").distinct().select("fp", F.explode(ball(F.col("fp"), half)).alias("word"))
+    tasks = max(1, -(-fps.count() // BALL_ROWS))  # by rows: a fingerprint is few bytes, its ball is not
+    emitted = fps.select("fp").repartition(tasks, "fp").distinct().select("fp", F.explode(ball(F.col("fp"), half)).alias("word"))
     order = Window.partitionBy("word").orderBy("fp")
     if radius == 2 * half:
         pairs = emitted.select(F.lag("fp").over(order).alias("a"), F.col("fp").alias("b"))
