@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: Keys a text and minima a key. Texts at similarity 0.8 share one of 20 keys with probability 1 - (1 - 0.8^5)^20 = 0.9996.
 BANDS, BAND_ROWS = 20, 5
 #: Texts of a key that all others of it are compared with in the first round; twice as many in each that follows.
-LEADERS = 8
+LEADERS = 2
 #: Fingerprints whose balls one task emits.
 BALL_ROWS = 16_384
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
