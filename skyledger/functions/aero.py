@@ -133,3 +133,29 @@ def fuel_flow_kg_s(ratio: Column, idle: Column, approach: Column, climb: Column,
     det = s2 * s4 - s3 * s3
     a, b = (s2 * s2y - s3 * sy) / det, (s4 * sy - s3 * s2y) / det
     return a * ratio * ratio + b * ratio
+
+
+def net_thrust_newton(drag: Column, mass_kg: Column, ax: Column) -> Column:
+    """What holds the drag and gives the acceleration."""
+    return drag + mass_kg * ax
+
+
+#: Which of an envelope's speeds bound the calibrated speed, by phase number.
+_SLOWEST = {2: "vminic", 3: "vminer", 4: "vminer", 5: "vminer", 6: "vminap"}
+_FASTEST = {0: "vmaxer", 1: "vmaxic", 2: "vmaxic", 3: "vmaxer", 4: "vmaxer", 5: "vmaxer", 6: "vmaxap"}
+
+
+def within_envelope(tas: Column, vs: Column, h: Column, ax: Column, own_tas: Column, phase: Column, envelope: Column) -> Column:
+    """A struct ``(tas, vs, h)`` of what an aircraft of that envelope may do of what is asked for.
+
+    ``envelope`` has ``vminto, vminic, vminer, vminap, vmaxic, vmaxer, vmaxap, vsmin, vsmax, hmax, axmax``. Heights stop at
+    ``hmax``; calibrated speeds stay between the phase's bounds; rates beyond the envelope's become the greatest
+    rate less what acceleration takes, and none is flown on the ground below take-off speed.
+    """
+    bound = lambda names: F.coalesce(*[F.when(phase == k, envelope[name]) for k, name in names.items()], F.lit(0.0))
+    height = F.least(h, envelope["hmax"])
+    cas = F.least(F.greatest(tas_to_cas(tas, height), bound(_SLOWEST)), bound(_FASTEST))
+    most = (1 - ax / envelope["axmax"]) * envelope["vsmax"]
+    rate = F.when((vs > 0) & (vs > envelope["vsmax"]), most).when((vs < 0) & (vs < envelope["vsmin"]), most).otherwise(vs)
+    rate = F.when((phase == 1) & (own_tas < envelope["vminto"]), 0.0).otherwise(rate)
+    return F.struct(cas_to_tas(cas, height).alias("tas"), rate.alias("vs"), height.alias("h"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skyledger.functions import aero
+
 # Instruction kinds by the names that logs use, unit names, tolerances of a match.
 FAMILIES = {
     "altitude_change": "altitude", "altitude_maintain": "altitude", "altitude": "altitude", "level": "altitude", "speed_adjust": "speed",
@@ -119,6 +122,26 @@ def altitude_ft(text: Column) -> Column:
     return F.coalesce(F.when(t.startswith("FL"), level).otherwise(t.try_cast("double")), F.lit(-1e9))
 
 
+def speed_mps(text: Column, h: Column) -> Column:
+    """True airspeed of ``M78``, ``M.78``, ``.78`` (Mach numbers) or knots of calibrated speed, at a height; -1 if it is neither."""
+    number = F.substring(text, 2, 20).try_cast("double")
+    mach = F.when(text.startswith("M"), F.when(number >= 20, number * 0.01).otherwise(number))
+    mach = F.when(text.rlike(r"^0?\."), text.try_cast("double")).otherwise(mach)
+    tas = F.when(text.startswith("M") | text.rlike(r"^0?\."), aero.mach_to_tas(mach, h)).otherwise(aero.cas_to_tas(text.try_cast("double") * aero.KT_MPS, h))
+    return F.coalesce(tas, F.lit(-1.0))
+
+
+def phase_of_flight(departure: Column, destination: Column, airports: Sequence[str]) -> Column:
+    """Departure, arrival or overflight, as seen from a terminal area with these airports."""
+    at = lambda name: F.coalesce(F.upper(F.trim(name)).isin(*airports), F.lit(False))
+    return F.when(at(departure), "departure").when(at(destination), "arrival").otherwise("overflight")
+
+
+def vertical_phase(rate_mps: Column) -> Column:
+    """Climbing or descending from half a metre a second on."""
+    return F.when(rate_mps > 0.5, "climbing").when(rate_mps < -0.5, "descending").when(rate_mps.isNotNull(), "level").otherwise("unknown")
+
+
 def clock_seconds(text: Column) -> Column:
     """Seconds of ``HH``, ``HH:MM`` or ``HH:MM:SS.ss``; null if a part is no number."""
     parts = F.split(F.trim(text), ":")

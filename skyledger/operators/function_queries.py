@@ -235,8 +235,73 @@ def missing_category(spark, folder):
     return table(spark, folder, "part").select("p_partkey", text.or_missing(t).alias("brand"))
 
 
-@query("vertical_phase", O.with_views("SELECT event_id, CASE WHEN vs_mps > 0.5 THEN 'climbing' WHEN vs_mps < -0.5 THEN 'descending' ELSE 'level' END AS vertical, CASE WHEN event_id % 5 = 0 THEN 'departure' WHEN event_id % 7 = 0 THEN 'arrival' ELSE 'overflight' END AS phase FROM track_path", "track_path"))
+AIRPORTS = ("ZSSS", "ZSPD")
+_PLACES = ("ZSSS", "ZBAA", "ZSPD", "ZGGG", "ZUUU")
+
+
+@query("vertical_phase", O.with_views("SELECT event_id, CASE WHEN vs_mps > 0.5 THEN 'climbing' WHEN vs_mps < -0.5 THEN 'descending' ELSE 'level' END AS vertical FROM track_path", "track_path"))
 def vertical_phase(spark, folder):
-    v, i = c("vs_mps"), c("event_id")
-    vertical = F.when(v > 0.5, "climbing").when(v < -0.5, "descending").when(v.isNotNull(), "level").otherwise("unknown")
-    return _path(spark, folder).select("event_id", vertical.alias("vertical"), F.when(i % 5 == 0, "departure").when(i % 7 == 0, "arrival").otherwise("overflight").alias("phase"))
+    return _path(spark, folder).select("event_id", text.vertical_phase(c("vs_mps")).alias("vertical"))
+
+
+@query("phase_of_flight", """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 5 IN (0, 2) THEN 'departure' WHEN l_partkey % 5 IN (0, 2) AND l_partkey % 7 <> 0 THEN 'arrival' ELSE 'overflight' END AS phase FROM lineitem""")
+def phase_of_flight(spark, folder):
+    """The phase of flights whose airports are known by name, in any case, or not at all."""
+    place = lambda key: F.get(F.array(*map(F.lit, _PLACES)), (key % 5).cast("int"))
+    ades = F.when(c("l_partkey") % 7 != 0, F.lower(place(c("l_partkey"))))
+    adep = F.concat(F.lit(" "), place(c("l_suppkey")), F.lit(" "))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", text.phase_of_flight(adep, ades, AIRPORTS).alias("phase"))
+
+
+@query("text_lon", """SELECT p_partkey, round((CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END) * (100 + p_size + (p_partkey % 60) / 60.0::DOUBLE + 15.5::DOUBLE / 3600), 9) AS degrees FROM part""")
+def text_lon(spark, folder):
+    """Longitudes with the letter in front or behind."""
+    west = c("p_partkey") % 2 == 0
+    t = F.concat_ws("'", (100 + c("p_size")).cast("string"), (c("p_partkey") % 60).cast("string"), F.lit("15.5"))
+    t = F.when(c("p_partkey") % 3 == 0, F.concat(t, F.when(west, "W").otherwise("E"))).otherwise(F.concat(F.when(west, "W").otherwise("E"), t))
+    return table(spark, folder, "part").select("p_partkey", F.round(text.coordinate(t), 9).alias("degrees"))
+
+
+def _sql_tas_of_cas(cas: str) -> str:
+    impact = f"(101325.0::DOUBLE * (pow(1 + 1.225::DOUBLE * {cas} * {cas} / (7.0::DOUBLE * 101325.0::DOUBLE), 3.5::DOUBLE) - 1))"
+    return f"(sign({cas}) * sqrt(7.0::DOUBLE * {_P} / {_RHO} * (pow(1 + {impact} / {_P}, 2.0::DOUBLE / 7.0::DOUBLE) - 1)))"
+
+
+@query("text_speed", path_sql(f"round(CASE event_id % 5 WHEN 0 THEN 0.78::DOUBLE * {_A} WHEN 1 THEN 0.8::DOUBLE * {_A} WHEN 2 THEN 0.6::DOUBLE * {_A} WHEN 3 THEN {_sql_tas_of_cas('(CAST(200 + event_id % 100 AS DOUBLE) * 0.514444::DOUBLE)')} ELSE -1 END, 5) AS tas_mps"))
+def text_speed(spark, folder):
+    """Speeds as texts, Mach numbers in three ways, knots, and one that is none."""
+    k = c("event_id") % 5
+    t = F.when(k == 0, "M78").when(k == 1, "M.8").when(k == 2, ".6").when(k == 3, (200 + c("event_id") % 100).cast("string")).otherwise("FAST")
+    return _path(spark, folder).select("event_id", r(text.speed_mps(t, c("alt_m")), "tas_mps", 5))
+
+
+_ENV = "50.0::DOUBLE + k AS vminto, 60.0::DOUBLE + k AS vminic, 70.0::DOUBLE + k AS vminer, 65.0::DOUBLE + k AS vminap, 100.0::DOUBLE + k AS vmaxic, 120.0::DOUBLE + k AS vmaxer, 90.0::DOUBLE + k AS vmaxap, -1.5::DOUBLE AS vsmin, 1.5::DOUBLE AS vsmax, 9000.0::DOUBLE + 500 * k AS hmax, 2.0::DOUBLE AS axmax"
+_LIMITS = {
+    "env": f"SELECT k, {_ENV} FROM (SELECT CAST(r_regionkey AS DOUBLE) AS k FROM region)",
+    "q0": "SELECT t.*, e.*, event_id % 7 AS phase, least(alt_m, hmax) AS hh FROM track_path t JOIN env e ON e.k = event_id % 5",
+    "q1": "SELECT * REPLACE (hh AS alt_m) FROM q0",
+    "q2": f"SELECT *, {_CAS} AS asked FROM q1",
+    "q3": """SELECT *, least(greatest(asked, CASE phase WHEN 2 THEN vminic WHEN 3 THEN vminer WHEN 4 THEN vminer WHEN 5 THEN vminer WHEN 6 THEN vminap ELSE 0 END),
+        CASE phase WHEN 1 THEN vmaxic WHEN 2 THEN vmaxic WHEN 6 THEN vmaxap ELSE vmaxer END) AS cas FROM q2""",
+}
+
+
+@query("phase_limit_check", O.with_views(f"""SELECT event_id, round({_sql_tas_of_cas('cas')}, 5) AS tas_mps, CASE WHEN phase = 1 AND gs_mps < vminto THEN 0 WHEN abs(vs_mps) > 1.5 THEN (1 - event_id % 3 / axmax) * vsmax ELSE vs_mps END AS vs_mps, alt_m AS h_m FROM q3""", "track_path", **_LIMITS))
+def phase_limit_check(spark, folder):
+    """Speed, rate and height that are asked for, held to the envelope of the type and the phase; types are a small dimension."""
+    k = c("r_regionkey").cast("double")
+    values = {"vminto": 50 + k, "vminic": 60 + k, "vminer": 70 + k, "vminap": 65 + k, "vmaxic": 100 + k, "vmaxer": 120 + k, "vmaxap": 90 + k, "vsmin": F.lit(-1.5), "vsmax": F.lit(1.5), "hmax": 9000 + 500 * k, "axmax": F.lit(2.0)}
+    types = table(spark, folder, "region").select(c("r_regionkey").cast("long").alias("type"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("envelope"))
+    t = _path(spark, folder).withColumn("type", c("event_id") % 5).join(types, "type")
+    ax = (c("event_id") % 3).cast("double")
+    held = aero.within_envelope(c("gs_mps"), c("vs_mps"), c("alt_m"), ax, c("gs_mps"), c("event_id") % 7, c("envelope"))
+    return t.select("event_id", held.alias("x")).select("event_id", r(c("x.tas"), "tas_mps", 5), c("x.vs").alias("vs_mps"), c("x.h").alias("h_m"))
+
+
+@query("perf_thrust", O.with_views(f"""SELECT event_id, round(q, 3) AS drag_n, round(q + 60000.0::DOUBLE * (event_id % 5) / 10, 3) AS thrust_n FROM (SELECT event_id, alt_m, qs * (0.02::DOUBLE + 0.04::DOUBLE * pow(60000.0::DOUBLE * 9.80665::DOUBLE / greatest(qs, 1.0::DOUBLE), 2)) AS q
+    FROM (SELECT event_id, alt_m, 0.5::DOUBLE * {O.density('alt_m')} * gs_mps * gs_mps * 120 AS qs FROM track_path))""", "track_path"))
+def perf_thrust(spark, folder):
+    """Net thrust in level flight, speeding up by up to 0.4 m/s2."""
+    drag = aero.drag_newton(c("gs_mps"), c("alt_m"), F.lit(60_000.0), F.lit(120.0), F.lit(0.02), F.lit(0.04), F.lit(0.0))
+    thrust = aero.net_thrust_newton(drag, F.lit(60_000.0), (c("event_id") % 5) / 10)
+    return _path(spark, folder).select("event_id", r(drag, "drag_n", 3), r(thrust, "thrust_n", 3))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,11 +30,33 @@ def close(spark, folder) -> DataFrame:
 
 
 def grouped(p: DataFrame) -> DataFrame:
-    """Pairs with the component of their tick's graph that they belong to."""
+    """Pairs with the component of their tick's graph that they belong to: the smallest id in it.
+
+    Nodes are numbered over ticks and aircraft, so none of two ticks can fall together whatever the ids are.
+    """
     p = stage_table(p, "group-pairs")
-    node = lambda x: c("tick") * 1_000_000 + c(x)
-    found = connected_components(p.select(node("id1").alias("a"), node("id2").alias("b")), "a", "b")
-    return p.withColumn("node", node("id1")).join(found, "node").drop("node")
+    each = p.select("tick", F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    names = stage_table(each.withColumn("node", F.monotonically_increasing_id()), "group-nodes")
+    of = lambda n: names.select("tick", c("id").alias(f"id{n}"), c("node").alias(f"node{n}"))
+    links = p.select("tick", "id1", "id2").join(of(1), ["tick", "id1"]).join(of(2), ["tick", "id2"])
+    found = names.join(connected_components(links.select(c("node1").alias("a"), c("node2").alias("b")), "a", "b"), "node")
+    least = found.groupBy(c("component").alias("root")).agg(F.min("id").alias("component"))
+    found = found.withColumnRenamed("component", "root").join(least, "root").select("tick", c("id").alias("id1"), "component")
+    return p.join(found, ["tick", "id1"])
+
+
+def members(g: DataFrame) -> DataFrame:
+    """``tick, component, id`` of all aircraft of groups of pairs."""
+    return g.select("tick", "component", F.explode(F.array("id1", "id2")).alias("id")).distinct()
+
+
+def pairs_of_groups(spark, folder) -> DataFrame:
+    """All pairs within the groups of close aircraft, and the group's mean latitude. A group is of one tick, so it is small."""
+    m = members(grouped(close(spark, folder)))
+    t = A.tracks(spark, folder)
+    mean = m.join(t.select("tick", c("trajectory_id").alias("id"), "lat"), ["tick", "id"]).groupBy("tick", "component").agg(F.avg("lat").alias("lat0"))
+    side = lambda n: m.withColumnRenamed("id", f"id{n}").join(P._side(t, n), ["tick", f"id{n}"])
+    return side(1).join(side(2), ["tick", "component"]).where("id1 < id2").join(mean, ["tick", "component"])
 
 
 @query("action_compat_pairs")
@@ -58,25 +80,55 @@ def level_assignment_greedy(spark, folder):
     return g.groupBy("tick", "component").applyInPandas(lambda x: R.colour(x), "tick long, component long, trajectory_id long, level_m double")
 
 
-@query("group_plan_templates")
+_NEAR = "now_nm <= 6 AND abs(alt1 - alt2) < 700"
+_PLANS = {
+    "e": f"SELECT tick, id1 AS a, id2 AS b FROM cpa WHERE {_NEAR} UNION SELECT tick, id2, id1 FROM cpa WHERE {_NEAR}",
+    "walk": "SELECT tick, a AS id, a AS seen FROM e UNION SELECT e.tick, e.b, w.seen FROM walk w JOIN e ON e.tick = w.tick AND e.a = w.id",
+    "mem": "SELECT w.tick, w.id, min(w.seen) AS component FROM walk w GROUP BY ALL",
+    "st": "SELECT m.tick, m.component, m.id, t.lat, t.lon, t.alt_m, t.gs_mps, t.trk_deg, avg(t.lat) OVER (PARTITION BY m.tick, m.component) AS lat0 FROM mem m JOIN tracks t ON t.tick = m.tick AND t.trajectory_id = m.id",
+    "plans": "SELECT DISTINCT tick, component, id AS who, what FROM st, (VALUES ('TURN_LEFT'), ('TURN_RIGHT'), ('CLIMB'), ('DESCEND'), ('DECELERATE')) v(what) UNION ALL SELECT DISTINCT tick, component, -1, '' FROM st",
+    "mv": """SELECT p.tick, p.component, p.who, p.what, s.id, s.lon * 111 * cos(radians(lat0)) AS x, s.lat * 111 AS y, s.alt_m / 0.3048::DOUBLE AS ft,
+        greatest(0.0::DOUBLE, gs_mps - CASE WHEN s.id = p.who AND what = 'DECELERATE' THEN 20 * 0.514444::DOUBLE ELSE 0 END) / 1000 AS v,
+        radians(trk_deg + CASE WHEN s.id <> p.who THEN 0 WHEN what = 'TURN_LEFT' THEN -30 WHEN what = 'TURN_RIGHT' THEN 30 ELSE 0 END) AS d,
+        CASE WHEN s.id <> p.who THEN 0 WHEN what = 'CLIMB' THEN 1 WHEN what = 'DESCEND' THEN -1 ELSE 0 END AS k FROM plans p JOIN st s ON s.tick = p.tick AND s.component = p.component""",
+    "run": """SELECT a.tick, a.component, a.who, a.what, sqrt(pow(b.x + b.v * sin(b.d) * t - a.x - a.v * sin(a.d) * t, 2) + pow(b.y + b.v * cos(b.d) * t - a.y - a.v * cos(a.d) * t, 2)) AS h,
+        abs(b.ft + b.k * least(2000, 25 * t) - a.ft - a.k * least(2000, 25 * t)) AS z FROM mv a JOIN mv b ON a.tick = b.tick AND a.component = b.component AND a.who = b.who AND a.what = b.what AND a.id < b.id, (SELECT unnest(range(0, 121, 5)) AS t)""",
+    "sc": "SELECT tick, component, who, what, round(1000.0::DOUBLE * count_if(h < 8 AND z < 1000) + greatest(0.0::DOUBLE, 8 - min(h)) + greatest(0.0::DOUBLE, 1000 - min(z)) / 1000, 6) AS score FROM run GROUP BY ALL",
+}
+
+
+@query("group_plan_templates", O.with_views("""SELECT tick, component, max(CASE WHEN who < 0 THEN score END) AS baseline, min(CASE WHEN who >= 0 THEN score END) AS score,
+    arg_min(who, (score, who, what)) FILTER (who >= 0) AS who, arg_min(what, (score, who, what)) FILTER (who >= 0) AS what, min(CASE WHEN who >= 0 THEN score END) + 1e-6 < max(CASE WHEN who < 0 THEN score END) AS improves FROM sc GROUP BY ALL""", "cpa", **_PLANS).replace("WITH ", "WITH RECURSIVE ", 1))
 def group_plan_templates(spark, folder):
-    """For each pair that is close, the template that leaves it the fewest losses and the most room, beside doing nothing."""
-    p = R.template_scores(close(spark, folder).withColumn("component", c("tick")))
-    score = 1000.0 * c("losses") + F.greatest(F.lit(0.0), R.GROUP_KM - c("min_km")) + F.greatest(F.lit(0.0), R.GROUP_FT - c("min_ft")) / 1000.0
-    s = p.withColumn("score", F.round(score, 6))
+    """For each group of close aircraft, who had best give way and how: the fewest losses and the most room over all its pairs."""
+    s = R.group_plans(pairs_of_groups(spark, folder))
     best = F.min(F.when(c("who") >= 0, F.struct("score", "who", "what"))).alias("best")
-    g = s.groupBy("tick", "id1", "id2").agg(best, F.min(F.when(c("who") < 0, c("score"))).alias("baseline"))
-    return g.select("tick", "id1", "id2", "baseline", "best.score", "best.who", "best.what", (c("best.score") + 1e-6 < c("baseline")).alias("improves"))
+    g = s.groupBy("tick", "component").agg(best, F.min(F.when(c("who") < 0, c("score"))).alias("baseline"))
+    return g.select("tick", "component", "baseline", "best.score", "best.who", "best.what", (c("best.score") + 1e-6 < c("baseline")).alias("improves"))
+
 
+#: An aircraft at a fixed gate that is to be let in.
+ENTRANT = {"lat1": 30.2, "lon1": 103.2, "alt1": 12000.0, "gs1": 220.0, "trk1": 90.0, "vs1": 0.0}
+ENTRY_NM, ENTRY_FT = 20.0, 5000.0
+_ENTRY = {
+    "e0": f"""SELECT tick, trajectory_id AS id, (lon - 103.2) * 60 * cos(radians(30.92095)) AS rx, (lat - 30.2) * 60 AS ry, gs_mps / 1852 * sin(radians(trk_deg)) - 220.0::DOUBLE / 1852 * sin(radians(90)) AS vx,
+        gs_mps / 1852 * cos(radians(trk_deg)) - 220.0::DOUBLE / 1852 * cos(radians(90)) AS vy, abs(alt_m - 12000) / 0.3048::DOUBLE AS ft FROM tracks""",
+    "e1": "SELECT *, greatest(0.0::DOUBLE, least(300.0::DOUBLE, -(rx * vx + ry * vy) / greatest(vx * vx + vy * vy, 1e-12))) AS tc FROM e0",
+    "e2": "SELECT tick, id, CASE WHEN ft >= 5000 THEN '' WHEN sqrt(rx * rx + ry * ry) < 20 THEN 'entry gate' WHEN sqrt(pow(rx + vx * tc, 2) + pow(ry + vy * tc, 2)) < 20 THEN 'predicted' ELSE '' END AS why FROM e1",
+}
 
-@query("entry_gate_check", O.with_views("""SELECT tick, count(*) AS aircraft, CASE WHEN count_if(d < 10 AND v < 1000) > 0 THEN 'too close' WHEN count_if(d < 20 AND v < 1000) > 0 THEN 'predicted' ELSE '' END AS reason FROM
-    (SELECT tick, sqrt(pow((lon - 103.2) * 60 * cos(radians(30.92095)), 2) + pow((lat - 30.2) * 60, 2)) AS d, abs(alt_m - 9500) / 0.3048::DOUBLE AS v FROM tracks) GROUP BY tick""", "tracks"))
+
+@query("entry_gate_check", O.with_views("SELECT tick, count(*) AS aircraft, coalesce(arg_min(why, id) FILTER (why <> ''), '') AS reason, min(id) FILTER (why <> '') AS against FROM e2 GROUP BY tick", "tracks", **_ENTRY))
 def entry_gate_check(spark, folder):
-    """Whether a new aircraft could enter at a fixed gate in each tick, and if not, the first reason."""
-    x, y = (c("lon") - 103.2) * 60 * F.cos(F.radians(F.lit(30.92095))), (c("lat") - 30.2) * 60
-    t = A.tracks(spark, folder).select("tick", F.sqrt(x**2 + y**2).alias("d"), (F.abs(c("alt_m") - 9500) / 0.3048).alias("v"))
-    within = lambda nm: F.bool_or((c("d") < nm) & (c("v") < 1000))
-    return t.groupBy("tick").agg(F.count("*").alias("aircraft"), F.when(within(10), "too close").when(within(20), "predicted").otherwise("").alias("reason"))
+    """Whether an aircraft could enter at a fixed gate in each tick; if not, why, and against which aircraft: the first that is
+    near the gate now, or that comes near it by its closest approach."""
+    fixed = {k: F.lit(v) for k, v in ENTRANT.items()}
+    t = P.with_cpa(P._side(A.tracks(spark, folder), 2).withColumns(fixed))
+    near, later = c("now_nm") < ENTRY_NM, c("cpa_nm") < ENTRY_NM
+    why = F.when(P.vertical_ft() < ENTRY_FT, F.when(near, "entry gate").when(later, "predicted"))
+    first = F.min(F.when(why.isNotNull(), F.struct(c("id2").alias("id"), why.alias("why")))).alias("first")
+    found = t.groupBy("tick").agg(F.count("*").alias("aircraft"), first)
+    return found.select("tick", "aircraft", F.coalesce("first.why", F.lit("")).alias("reason"), c("first.id").alias("against"))
 
 
 _REL = O.pmod(f"{O.bearing('lat1', 'lon1', 'lat2', 'lon2')} - trk1")
@@ -101,7 +153,8 @@ def sector_convergence(spark, folder):
 
 
 _BAND = "degrees(asin(least(1.0::DOUBLE, 5.0::DOUBLE / greatest(now_nm, 5.0::DOUBLE))))"
-_MID = f"round({O.wrap180(f'{O.bearing(chr(108) + chr(97) + chr(116) + chr(49), chr(108) + chr(111) + chr(110) + chr(49), chr(108) + chr(97) + chr(116) + chr(50), chr(108) + chr(111) + chr(110) + chr(50))} - trk1')}, 6)"
+_TOWARDS = O.bearing("lat1", "lon1", "lat2", "lon2")
+_MID = f"round({O.wrap180(f'{_TOWARDS} - trk1')}, 6)"
 
 
 @query("heading_band_complexity", O.with_views(
@@ -283,12 +336,53 @@ def ranker(features: list[str], categories: list[str]) -> Pipeline:
     return Pipeline(stages=[index, hot, together, GBTClassifier(labelCol="label", weightCol="weight", maxIter=8, maxDepth=4, seed=7)])
 
 
-@query("ranker_pipeline")
-def ranker_pipeline(spark, folder):
-    """The ranker fitted on candidates whose choice follows a rule, and its scores of all of them."""
+def positive_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``score``: the model's probability of a choice. A map over rows, whatever their number."""
+    return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+
+
+def labelled_candidates(spark, folder) -> DataFrame:
+    """Candidates with a label that follows a rule, and a weight."""
     e = Q.scored(spark, folder).select("event_id", "candidate_id", "kind", "direction", "phase", "delta", "alt_m", "gs_mps", "vs_mps")
     wanted = ((c("direction") == "climb") & (c("vs_mps") > 0)) | ((c("direction") == "hold") & (c("vs_mps") == 0))
-    rows = e.withColumns({"label": wanted.cast("double"), "weight": F.when(wanted, 3.0).otherwise(1.0)})
-    model = ranker(["delta", "alt_m", "gs_mps", "vs_mps"], ["kind", "direction", "phase"]).fit(rows)
-    scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    return e.withColumns({"label": wanted.cast("double"), "weight": F.when(wanted, 3.0).otherwise(1.0)})
+
+
+FEATURES, CATEGORIES = ["delta", "alt_m", "gs_mps", "vs_mps"], ["kind", "direction", "phase"]
+
+
+@query("ranker_score")
+def ranker_score(spark, folder):
+    """Every candidate's score by a ranker that is fitted on the candidates of even states."""
+    rows = labelled_candidates(spark, folder)
+    model = ranker(FEATURES, CATEGORIES).fit(rows.where("event_id % 2 = 0"))
+    return positive_score(model, rows).select("event_id", "candidate_id", "label", F.round("score", 9).alias("score"))
+
+
+@query("schema_guard", Q.views("SELECT v.name, v.name <> 'true_candidate_id' AS present, CASE v.name WHEN 'event_id' THEN count(event_id) WHEN 'candidate_id' THEN count(candidate_id) WHEN 'score' THEN count(score) ELSE 0 END AS filled FROM sc, (VALUES ('event_id'), ('candidate_id'), ('score'), ('true_candidate_id')) v(name) GROUP BY v.name"))
+def schema_guard(spark, folder):
+    """Which required columns the candidates have, and how many rows have a value in each."""
+    return column_report(Q.scored(spark, folder), ["event_id", "candidate_id", "score", "true_candidate_id"])
+
+
+def column_report(rows: DataFrame, required: list[str]) -> DataFrame:
+    """``name, present, filled`` of required columns."""
+    counted = rows.agg(*[F.count(x).alias(x) if x in rows.columns else F.lit(0).cast("long").alias(x) for x in required])
+    each = [F.struct(F.lit(x).alias("name"), F.lit(x in rows.columns).alias("present"), c(x).alias("filled")) for x in required]
+    return counted.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def require(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows``, or an error that names the columns they lack."""
+    lacking = sorted(set(columns) - set(rows.columns))
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    return rows
+
+
+@query("ranker_pipeline")
+def ranker_pipeline(spark, folder):
+    """The ranker fitted on candidates whose choice follows a rule, and its mean scores of all of them."""
+    rows = require(labelled_candidates(spark, folder), [*FEATURES, *CATEGORIES, "label", "weight"])
+    scored = positive_score(ranker(FEATURES, CATEGORIES).fit(rows), rows)
     return scored.groupBy("direction", "label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))

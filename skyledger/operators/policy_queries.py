@@ -224,6 +224,21 @@ def merge_by_key(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.unionByName(new).groupBy("fingerprint").agg(F.sum("seen").alias("seen"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+@query("mark_scene", O.with_views("SELECT fingerprint, CASE WHEN count_if(tick % 3 = 0) > 0 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN count_if(tick % 3 = 0) > 0 THEN 'tick ' || CAST(max(CASE WHEN tick % 3 = 0 THEN tick END) AS VARCHAR) ELSE '' END AS reason FROM scene GROUP BY 1", "cpa", **_SCENE))
+def mark_scene(spark, folder):
+    """A store of pending scenes, those of every third tick marked as failed, the last mark counting."""
+    s = scenes(spark, folder).select("tick", "fingerprint")
+    marks = s.where("tick % 3 = 0").select("fingerprint", c("tick").alias("turn"), F.lit("failed").alias("status"), F.concat(F.lit("tick "), c("tick").cast("string")).alias("reason"))
+    return marked(s.select("fingerprint", F.lit("pending").alias("status"), F.lit("").alias("reason")).distinct(), marks)
+
+
+def marked(store: DataFrame, marks: DataFrame, longest: int = 2000) -> DataFrame:
+    """The store with the status and the reason of each scene's last mark by ``turn``; marks of unknown scenes are left out."""
+    last = marks.groupBy("fingerprint").agg(F.max_by(F.struct("status", F.substring("reason", 1, longest).alias("reason")), "turn").alias("m"))
+    joined = store.join(last, "fingerprint", "left")
+    return joined.select("fingerprint", F.coalesce("m.status", "status").alias("status"), F.coalesce("m.reason", "reason").alias("reason"))
+
+
 @query("store_summary", O.with_views("SELECT count(DISTINCT fingerprint) AS scenes, count_if(n_edges > 10) AS dense, count(*) AS sightings FROM scene", "cpa", **_SCENE))
 def store_summary(spark, folder):
     return scenes(spark, folder).agg(F.countDistinct("fingerprint").alias("scenes"), F.count_if(c("n_edges") > 10).alias("dense"), F.count("*").alias("sightings"))

@@ -182,9 +182,9 @@ def wind_grid(cells: DataFrame, south: float, west: float, north: float, east: f
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file of a folder."""
+    """Path, name, size and SHA-256 of every file of a folder."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def catalog_faults(entries: DataFrame, fields: list[str]) -> DataFrame:

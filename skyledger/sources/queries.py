@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.functions import text
+from skyledger.functions import speech, text
 from skyledger.plans import oracle as O
 from skyledger.registry import query
+from skyledger.session import shared_dir
 from skyledger.sources import adapters as A
 from skyledger.sources import ingest as I
+from skyledger.sources import logs, sinks
 from skyledger.sources.tables import table
 
 c = F.col
@@ -190,21 +194,96 @@ def segment_time(spark, folder):
     return table(spark, folder, "events").select("event_id", F.round(base + (start + end) / 2, 6).alias("midpoint"), g(5).cast("int").alias("speaker"), F.greatest(F.lit(0.0), end - start).alias("duration_s"))
 
 
-@query("extract_callsign", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'CES' || (1000 + event_id % 9000) END AS callsign, CASE event_id % 3 WHEN 0 THEN 'controller_candidate' WHEN 1 THEN 'readback_candidate' ELSE 'uncertain' END AS role FROM events")
-def extract_callsign(spark, folder):
-    """Callsigns spoken as alias and number on either side, and the speaker's role from where they stand and from cue words."""
+_NAMES = sorted(speech.AIRLINES)
+_CODE = "CASE CAST(event_id % " + str(len(_NAMES)) + " AS INT) " + " ".join(f"WHEN {k} THEN '{speech.AIRLINES[n]}'" for k, n in enumerate(_NAMES)) + " END"
+_SAID_SIGN = f"{_CODE} || CAST(1000 + event_id % 9000 AS VARCHAR)"
+
+
+def transcripts(spark, folder) -> DataFrame:
+    """What is said: an airline's name and a number in front of an instruction, behind a readback, amid words, or no callsign."""
+    e, k = table(spark, folder, "events"), c("event_id") % 5
     n = F.translate((1000 + c("event_id") % 9000).cast("string"), "0123456789", "洞幺两三四五六拐八九")
-    k = c("event_id") % 3
-    said = F.when(k == 0, F.concat(F.lit("东方"), n, F.lit(" 下降到 保持"))).when(k == 1, F.concat(F.lit("明白 保持 东方"), n)).otherwise("早上好")
-    t = F.regexp_replace(said, r"\s+", "")
-    pattern = "(东方|东航)([0-9零洞幺一两二三四五六拐七八九]{2,6})"
-    digits = text.spoken_digits(F.regexp_extract(t, pattern, 2))
-    sign = F.when(t.rlike(pattern), F.concat(F.lit("CES"), digits))
-    at = F.instr(t, F.regexp_extract(t, pattern, 0))
-    end = at - 1 + F.length(F.regexp_extract(t, pattern, 0))
-    score = F.when(sign.isNotNull() & (at <= 4), 2).otherwise(0) - F.when(sign.isNotNull() & (F.length(t) - end <= 3), 2).otherwise(0) + t.rlike("下降到|上到|速度|航向").cast("int") - t.rlike("收到|明白|再见").cast("int")
-    role = F.when(score >= 1, "controller_candidate").when(score <= -1, "readback_candidate").otherwise("uncertain")
-    return table(spark, folder, "events").select("event_id", sign.alias("callsign"), role.alias("role"))
+    sign = F.concat(F.get(F.array(*map(F.lit, _NAMES)), (c("event_id") % len(_NAMES)).cast("int")), n)
+    said = F.when(k == 0, F.concat(sign, F.lit(" 下降到 保持"))).when(k == 1, F.concat(F.lit("明白 保持 "), sign)).when(k == 2, F.concat(F.lit("早上好塔台 "), sign, F.lit(" 请求滑行谢谢")))
+    return e.select("event_id", said.when(k == 3, "左转 谢谢").otherwise("早上好").alias("words"))
+
+
+@query("extract_callsign", f"SELECT event_id, CASE WHEN event_id % 5 < 3 THEN {_SAID_SIGN} END AS callsign FROM events")
+def extract_callsign(spark, folder):
+    """Callsigns spoken as an airline's name and number."""
+    return speech.with_callsign(transcripts(spark, folder), c("words")).select("event_id", "callsign")
+
+
+@query("speaker_role", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN -3 WHEN 3 THEN 1 ELSE 0 END AS score, CASE event_id % 5 WHEN 0 THEN 'controller_candidate' WHEN 1 THEN 'readback_candidate' WHEN 3 THEN 'controller_candidate' ELSE 'uncertain' END AS role FROM events")
+def speaker_role(spark, folder):
+    """Who speaks, from where the callsign stands and from cue words."""
+    scored = speech.with_callsign(transcripts(spark, folder), c("words")).withColumn("score", speech.role_score())
+    return scored.select("event_id", "score", speech.speaker_role(c("score")).alias("role"))
+
+
+# -- logs, binary captures and sinks --------------------------------------------------------------------------------------
+
+
+def shared_path(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scan_state_log", "SELECT event_id, round(event_id / 4.0::DOUBLE, 8) AS simt, event_type AS kind FROM events")
+def scan_state_log(spark, folder):
+    """State logs of ten files: two comment lines, then rows whose names stand in the second."""
+    e = table(spark, folder, "events").select("event_id", "event_type", F.concat(F.lit("f"), (c("event_id") % 10).cast("string")).alias("file"))
+    rows = e.select("file", (c("event_id") + 2).alias("line"), F.concat_ws(",", F.format_string("%.8f", c("event_id") / 4), s("event_id"), "event_type").alias("value"))
+    heads = spark.range(10).select(F.concat(F.lit("f"), s("id")).alias("file"), F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("line"), F.lit("# a log").alias("value")), F.struct(F.lit(-1).cast("long").alias("line"), F.lit("# simt, id, kind").alias("value")))).alias("x")).select("file", "x.*")
+    found = logs.state_log(rows.unionByName(heads)).select(c("fields")["id"].cast("long").alias("event_id"), c("fields")["simt"].cast("double").alias("simt"), c("fields")["kind"].alias("kind"))
+    return found
+
+
+@query("scan_flight_stats_log", "SELECT event_id, event_id / 4.0::DOUBLE AS deleted_s, 'KL' || event_id AS callsign, CAST(event_id % 7 AS DOUBLE) AS work_j, event_id % 2 = 0 AS resolving, CAST(event_id % 360 AS DOUBLE) AS pilot_hdg_deg FROM events WHERE event_id % 11 <> 0")
+def scan_flight_stats_log(spark, folder):
+    """Statistics of deleted aircraft; every eleventh row has lost a field."""
+    i = c("event_id")
+    values = {"deleted_s": (i / 4).cast("string"), "callsign": F.concat(F.lit("KL"), s("event_id")), "work_j": (i % 7).cast("string"), "resolving": F.when(i % 2 == 0, "True").otherwise("False"), "pilot_hdg_deg": (i % 360).cast("string")}
+    parts = [values.get(n, F.lit("1.5")) for n in logs.FLIGHT_STATS]
+    line = F.when(i % 11 == 0, F.concat_ws(", ", *parts[1:])).otherwise(F.concat_ws(", ", *parts))
+    found = logs.flight_stats_log(as_lines(table(spark, folder, "events"), "event_id", line))
+    return found.select(c("line").alias("event_id"), "deleted_s", "callsign", "work_j", "resolving", "pilot_hdg_deg")
+
+
+@query("ingest_modes_frames", "SELECT user_id, upper(printf('%014d', event_id)) AS message FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, printf('%028d', event_id) FROM events WHERE event_id % 3 = 1")
+def ingest_modes_frames(spark, folder):
+    """A binary capture per user: short and long messages, and pieces that are too short."""
+    i = c("event_id")
+    head = F.when(i % 3 == 0, "1A32").when(i % 3 == 1, "1A33").otherwise("1A32")
+    body = F.when(i % 3 == 0, F.lpad(s("event_id"), 14, "0")).when(i % 3 == 1, F.lpad(s("event_id"), 28, "0")).otherwise("0000")
+    piece = F.concat(head, F.when(i % 3 == 2, "00").otherwise("00000000000000"), body)
+    captures = table(spark, folder, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("event_id", piece.alias("x"))))["x"], "").alias("hex"))
+    return I.modes_frames(captures.select(s("user_id").alias("path"), F.unhex("hex").alias("content"))).select(c("path").cast("long").alias("user_id"), "message")
+
+
+@query("manifest_hashes", "SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(length(n_name) + 1 AS BIGINT) AS length, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def manifest_hashes(spark, folder):
+    """Size and hash of each file of a folder; a file has a nation's name in it."""
+    path = shared_path(spark, "manifest")
+    table(spark, folder, "nation").select(c("n_nationkey").alias("nation"), c("n_name").alias("value")).repartition(8, "nation").write.partitionBy("nation").text(path)
+    found = I.manifest(spark, path + "/*/*.txt")
+    return found.select(F.regexp_extract("path", r"nation=(\d+)/", 1).cast("long").alias("nation"), "length", "sha256")
+
+
+@query("sink_jsonl", "SELECT event_id, event_type, value, (SELECT count(*) FROM events) AS n_rows FROM events")
+def sink_jsonl(spark, folder):
+    """Rows written as JSON lines and read back, with the count that the writer returned."""
+    path = shared_path(spark, "jsonl")
+    n = sinks.write_jsonl(table(spark, folder, "events").select("value", "event_type", "event_id"), path)
+    return spark.read.schema("event_id long, event_type string, value double").json(path).withColumn("n_rows", F.lit(n).cast("long"))
+
+
+@query("sink_diagnostics_evolving", "SELECT o_orderkey AS row_id, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_custkey AS BIGINT) END AS episode, CASE WHEN o_orderkey % 2 = 1 THEN 'row_id,status,episode' ELSE 'row_id,status' END AS header FROM orders")
+def sink_diagnostics_evolving(spark, folder):
+    """Two runs append rows of different columns; all are read back together."""
+    path, o = shared_path(spark, "diagnostics"), table(spark, folder, "orders")
+    sinks.append_rows(o.where("o_orderkey % 2 = 0").select(c("o_orderkey").alias("row_id"), c("o_orderstatus").alias("status")), path)
+    sinks.append_rows(o.where("o_orderkey % 2 = 1").select(c("o_orderkey").alias("row_id"), c("o_orderstatus").alias("status"), c("o_custkey").alias("episode")), path)
+    return sinks.read_rows(spark, path).select("row_id", "status", "episode", "header")
 
 
 # -- surveillance messages ----------------------------------------------------------------------------------------------
