@@ -136,12 +136,6 @@ def candidates(refs: DataFrame, own: DataFrame, window_s: float) -> DataFrame:
     return found.withColumn("delta_s", F.abs(F.col("ref_epoch") - F.col("sys_epoch"))).drop("bucket")
 
 
-def unambiguous(found: DataFrame) -> DataFrame:
-    """Candidates that are the only one of both sides: what any one-to-one matching has to contain."""
-    alone = lambda key: F.count("*").over(Window.partitionBy(key)) == 1
-    return found.withColumns({"a": alone("ref_id"), "b": alone("sys_id")}).where("a and b").drop("a", "b")
-
-
 def ratio(a: Column, b: Column) -> Column:
     """A share to six places, half to even; null if there is nothing to share."""
     return F.when(b > 0, F.bround(a / b, 6))

@@ -8,33 +8,59 @@ from pyspark.sql import functions as F
 from skyledger.operators import evaluate as E
 from skyledger.plans import oracle as O
 from skyledger.registry import query
+from skyledger.session import stage_table
 from skyledger.sources import adapters as A
 from skyledger.sources.tables import table
 
 c = F.col
 WINDOW_S = 3600.0
 CAND = "SELECT r.callsign, r.family, r.event_id AS ref_id, s.event_id AS sys_id, abs(r.epoch - s.epoch) AS delta_s, r.target AS ref_target, s.target AS sys_target, r.unit FROM refs r JOIN sys s ON r.callsign = s.callsign AND r.family = s.family AND abs(r.epoch - s.epoch) <= 3600"
-SURE = "SELECT * FROM cand QUALIFY count(*) OVER (PARTITION BY ref_id) = 1 AND count(*) OVER (PARTITION BY sys_id) = 1"
 
 
-def matched(body: str) -> str:
-    return O.with_views(body, "refs", "sys", cand=CAND, m=SURE)
+def _ordered(agrees: str = "true") -> dict[str, str]:
+    """Views of the ordered matching ``m``: a row of the table of prefixes per reference, folded over the commands, then the way back."""
+    cell = "{'n': dp.line[j + 1].n, 's': dp.line[j + 1].s, 'w': 0, 'dn': dp.line[j].n + 1, 'ds': dp.line[j].s - abs(r.epoch - cmds.q[j].e), 'ok': abs(r.epoch - cmds.q[j].e) <= 3600 AND r.family = cmds.q[j].f AND " + agrees + "}"
+    kept = "CASE WHEN acc[-1].n > x[1].n OR (acc[-1].n = x[1].n AND acc[-1].s > x[1].s + 1e-12) THEN {'n': acc[-1].n, 's': acc[-1].s, 'w': 1, 'dn': x[1].dn, 'ds': x[1].ds, 'ok': x[1].ok} ELSE x[1] END"
+    best = "CASE WHEN y.ok AND (y.dn > y.n OR (y.dn = y.n AND y.ds > y.s + 1e-12)) THEN {'n': y.dn, 's': y.ds, 'w': 2, 'dn': y.dn, 'ds': y.ds, 'ok': y.ok} ELSE y END"
+    zero = "{'n': 0, 's': 0.0::DOUBLE, 'w': 0, 'dn': 0, 'ds': 0.0::DOUBLE, 'ok': false}"
+    step = f"list_append(acc, list_transform([{kept}], lambda y: {best})[1])"
+    return {
+        "ordered_refs": "SELECT *, row_number() OVER (PARTITION BY callsign ORDER BY epoch, event_id) AS i FROM refs",
+        "cmds": "SELECT callsign, list({'e': epoch, 'f': family, 'id': event_id, 't': target, 'u': unit} ORDER BY epoch, event_id) AS q FROM sys GROUP BY callsign",
+        "dp": f"""SELECT callsign, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(q) + 1), lambda j: {zero}) AS line FROM cmds
+            UNION ALL SELECT dp.callsign, r.i, list_reduce(list_concat([[{zero}]], list_transform(range(1, len(cmds.q) + 1), lambda j: [{cell}])), lambda acc, x: {step})
+            FROM dp JOIN ordered_refs r ON r.callsign = dp.callsign AND r.i = dp.i + 1 JOIN cmds ON cmds.callsign = dp.callsign""",
+        "back": """SELECT d.callsign, d.i, CAST(len(d.line) - 1 AS BIGINT) AS j, d.line[len(d.line)].w AS w FROM dp d WHERE d.i = (SELECT max(i) FROM dp x WHERE x.callsign = d.callsign)
+            UNION ALL SELECT d.callsign, d.i, b.j - CASE WHEN b.w <> 0 THEN 1 ELSE 0 END, d.line[b.j - CASE WHEN b.w <> 0 THEN 1 ELSE 0 END + 1].w
+            FROM back b JOIN dp d ON d.callsign = b.callsign AND d.i = b.i - CASE WHEN b.w <> 1 THEN 1 ELSE 0 END WHERE b.i > 0 AND b.j > 0""",
+        "m": """SELECT b.callsign, r.family, r.event_id AS ref_id, c.q[b.j].id AS sys_id, abs(r.epoch - c.q[b.j].e) AS delta_s, r.target AS ref_target, c.q[b.j].t AS sys_target, r.unit AS ref_unit, c.q[b.j].u AS sys_unit
+            FROM back b JOIN ordered_refs r ON r.callsign = b.callsign AND r.i = b.i JOIN cmds c ON c.callsign = b.callsign WHERE b.w = 2 AND b.i > 0 AND b.j > 0""",
+    }
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def matched(body: str, agrees: str = "true", **more: str) -> str:
+    return recursive(O.with_views(body, "refs", "sys", **_ordered(agrees), **more))
 
 
 def _sides(spark, folder):
     return A.references(spark, folder), A.system_commands(spark, folder)
 
 
-def _sure(spark, folder):
-    return E.unambiguous(E.candidates(*_sides(spark, folder), WINDOW_S))
+def _matches(spark, folder):
+    """The one-to-one matching in order of time; staged, as several steps of a query read it."""
+    return stage_table(E.match_ordered(*_sides(spark, folder), WINDOW_S), "matches")
 
 
-@query("match_candidates", matched("SELECT ref_id, sys_id, round(delta_s, 6) AS delta_s FROM cand"))
+@query("match_candidates", O.with_views("SELECT ref_id, sys_id, round(delta_s, 6) AS delta_s FROM cand", "refs", "sys", cand=CAND))
 def match_candidates(spark, folder):
     return E.candidates(*_sides(spark, folder), WINDOW_S).select("ref_id", "sys_id", F.round("delta_s", 6).alias("delta_s"))
 
 
-@query("match_events_ordered")
+@query("match_events_ordered", matched("SELECT callsign, family, ref_id, sys_id, delta_s, ref_target, sys_target, ref_unit, sys_unit FROM m"))
 def match_events_ordered(spark, folder):
     return E.match_ordered(*_sides(spark, folder), WINDOW_S)
 
@@ -44,7 +70,10 @@ def match_events_greedy(spark, folder):
     return E.match_greedy(*_sides(spark, folder), WINDOW_S)
 
 
-@query("strict_recall")
+_AGREES = "r.unit = cmds.q[j].u AND abs(r.target - cmds.q[j].t) <= CASE r.family WHEN 'altitude' THEN 100 ELSE 10 END"
+
+
+@query("strict_recall", matched("SELECT family, n.n AS \"references\", coalesce(x.n, 0) AS matched, round_even(coalesce(x.n, 0) / n.n, 6) AS recall FROM (SELECT family, count(*) AS n FROM refs GROUP BY 1) n LEFT JOIN (SELECT family, count(*) AS n FROM m GROUP BY 1) x USING (family)", _AGREES))
 def strict_recall(spark, folder):
     """Recall by family when the target has to agree too."""
     refs, own = _sides(spark, folder)
@@ -72,12 +101,12 @@ _BY = """SELECT {k}, coalesce(r.n, 0) AS "references", coalesce(s.n, 0) AS outpu
 
 @query("recall_per_aircraft", matched(_BY.format(k="callsign")))
 def recall_per_aircraft(spark, folder):
-    return E.recall_per_aircraft(*_sides(spark, folder), _sure(spark, folder))
+    return E.recall_per_aircraft(*_sides(spark, folder), _matches(spark, folder))
 
 
 @query("recall_by_family", matched(_BY.format(k="family")))
 def recall_by_family(spark, folder):
-    return E.recall_by_family(*_sides(spark, folder), _sure(spark, folder))
+    return E.recall_by_family(*_sides(spark, folder), _matches(spark, folder))
 
 
 @query("full_outer_callsign", O.with_views("SELECT callsign, r.n AS n_references, s.n AS n_outputs FROM (SELECT callsign, count(*) AS n FROM refs GROUP BY 1) r FULL JOIN (SELECT callsign, count(*) AS n FROM sys GROUP BY 1) s USING (callsign)", "refs", "sys"))
@@ -86,24 +115,24 @@ def full_outer_callsign(spark, folder):
     return refs.join(own, "callsign", "full")
 
 
-@query("recall_summary", O.with_views("""SELECT round_even(avg(recall), 6) AS macro_recall, CAST(sum("references") AS BIGINT) AS "references", CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(matched) AS BIGINT) AS matched,
-    round_even(sum(matched) / sum("references"), 6) AS micro_recall, round_even(sum(matched) / sum(outputs), 6) AS precision, round_even(sum(outputs) / sum("references"), 6) AS inflation FROM by_callsign""", "refs", "sys", cand=CAND, m=SURE, by_callsign=_BY.format(k="callsign")))
+@query("recall_summary", matched("""SELECT round_even(avg(recall), 6) AS macro_recall, CAST(sum("references") AS BIGINT) AS "references", CAST(sum(outputs) AS BIGINT) AS outputs, CAST(sum(matched) AS BIGINT) AS matched,
+    round_even(sum(matched) / sum("references"), 6) AS micro_recall, round_even(sum(matched) / sum(outputs), 6) AS precision, round_even(sum(outputs) / sum("references"), 6) AS inflation FROM by_callsign""", by_callsign=_BY.format(k="callsign")))
 def recall_summary(spark, folder):
-    return E.recall_summary(*_sides(spark, folder), _sure(spark, folder))
+    return E.recall_summary(*_sides(spark, folder), _matches(spark, folder))
 
 
 @query("parameter_accuracy", matched("SELECT family, count(*) AS comparable, count_if(abs(ref_target - sys_target) <= CASE family WHEN 'altitude' THEN 100 ELSE 10 END) AS hits FROM m GROUP BY family"))
 def parameter_accuracy(spark, folder):
     from skyledger.functions import text
 
-    m = _sure(spark, folder).withColumn("ok", text.target_match(c("family"), c("ref_target"), c("ref_unit"), c("sys_target"), c("sys_unit")))
+    m = _matches(spark, folder).withColumn("ok", text.target_match(c("family"), c("ref_target"), c("ref_unit"), c("sys_target"), c("sys_unit")))
     return m.groupBy("family").agg(F.count("ok").alias("comparable"), F.count_if("ok").alias("hits"))
 
 
 @query("anti_unmatched", matched("SELECT 'reference' AS side, event_id, callsign, family, target, unit FROM refs WHERE event_id NOT IN (SELECT ref_id FROM m) UNION ALL SELECT 'system', event_id, callsign, family, target, unit FROM sys WHERE event_id NOT IN (SELECT sys_id FROM m)"))
 def anti_unmatched(spark, folder):
     refs, own = _sides(spark, folder)
-    m = _sure(spark, folder)
+    m = _matches(spark, folder)
     left = lambda df, key, name: df.join(m.select(c(key).alias("event_id")), "event_id", "left_anti").select(F.lit(name).alias("side"), *E.EVENT[:5])
     return left(refs, "ref_id", "reference").unionByName(left(own, "sys_id", "system"))
 
