@@ -148,7 +148,7 @@ def encounter_rule_class(spark, folder):
 def sector_convergence(spark, folder):
     """The sum over converging pairs of the root of 2 and the squared miss distance: the first term is a constant, as in
     the metric that this is to agree with; ``2 / t`` would be the inverse form."""
-    p = P.with_cpa(P.pairs(A.tracks(spark, folder))).where((c("cpa_nm") < 20) & (c("tcpa") > 0))
+    p = P.approaches(A.tracks(spark, folder), 20.0).where(c("tcpa") > 0)
     return p.groupBy("tick").agg(F.round(F.sum(F.sqrt(2.0 + c("cpa_nm") ** 2)), 5).alias("convergence"), F.count("*").alias("n"))
 
 
@@ -165,7 +165,7 @@ _MID = f"round({O.wrap180(f'{_TOWARDS} - trk1')}, 6)"
     g="SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY tick, id1 ORDER BY a, b, id2 ROWS UNBOUNDED PRECEDING) AS island FROM m"))
 def heading_band_complexity(spark, folder):
     """The share of headings within 90 degrees that lead towards an aircraft near in height: a band per neighbour, merged."""
-    p = P.with_relative(P.pairs(A.tracks(spark, folder), ordered=True).where(F.abs(c("alt1") - c("alt2")) < 600)).where("now_nm < 40")
+    p = P.pairs_within(A.tracks(spark, folder), 40.0, ordered=True).where((F.abs(c("alt1") - c("alt2")) < 600) & (c("now_nm") < 40))
     half = F.round(F.degrees(F.asin(F.least(F.lit(1.0), 5.0 / F.greatest(c("now_nm"), F.lit(5.0))))), 6)
     mid = F.round(geo.wrap180(geo.bearing(c("lat1"), c("lon1"), c("lat2"), c("lon2")) - c("trk1")), 6)
     i = p.withColumns({"half": half, "mid": mid}).where("mid - half < 90 and mid + half > -90")
@@ -320,7 +320,7 @@ def sample_tags(spark, folder):
 def training_samples(spark, folder):
     """A nested sample per tick: its aircraft and its conflict edges."""
     t = A.tracks(spark, folder).groupBy("tick").agg(F.sort_array(F.collect_list(F.struct("trajectory_id", "lat", "lon", "alt_m"))).alias("aircraft"))
-    e = P.with_cpa(P.pairs(A.tracks(spark, folder))).where((c("cpa_nm") < 5) & (P.vertical_ft() < 1000))
+    e = P.approaches(A.tracks(spark, folder), 5.0).where(P.vertical_ft() < 1000)
     e = e.groupBy("tick").agg(F.sort_array(F.collect_list(F.struct("id1", "id2", F.round("tcpa", 3).alias("tcpa")))).alias("edges"))
     return t.join(e, "tick", "left").select("tick", F.size("aircraft").alias("n_aircraft"), F.coalesce(F.size("edges"), F.lit(0)).alias("n_edges"), F.to_json(F.struct("aircraft", "edges")).alias("sample"))
 

@@ -23,14 +23,19 @@ def rounded(*names: str) -> list:
 
 
 def _cpa(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of a tick of one sector, with their closest approach."""
     return P.with_cpa(P.pairs(A.tracks(spark, folder)))
 
 
+def _gated(spark: SparkSession, folder: str) -> DataFrame:
+    return P.approaches(A.tracks(spark, folder), P.GATE_NM)
+
+
 @query("close_pairs_by_geometry", O.with_views(
     f"SELECT {GEOMETRY} AS geometry, {RISK} AS risk, count(*) AS n, {O.r6('min(cpa_nm)')} AS min_cpa_nm, {O.r6('min(tcpa)', 4)} AS min_tcpa_s FROM cpa WHERE cpa_nm < 20 AND {VSEP} < 1000 GROUP BY ALL", "cpa"))
 def close_pairs_by_geometry(spark: SparkSession, folder: str) -> DataFrame:
     """Which pairs come too close, how and how soon."""
-    p = P.predicted_conflicts(_cpa(spark, folder))
+    p = P.predicted_conflicts(_gated(spark, folder))
     p = p.select(P.geometry().alias("geometry"), P.risk(F.col("tcpa") / 60, F.col("cpa_nm"), F.col("now_nm")).alias("risk"), "cpa_nm", "tcpa")
     return p.groupBy("geometry", "risk").agg(
         F.count("*").alias("n"), F.round(F.min("cpa_nm"), 6).alias("min_cpa_nm"), F.round(F.min("tcpa"), 4).alias("min_tcpa_s")
@@ -60,7 +65,7 @@ def cpa_clamped(spark, folder):
 
 @query("predicted_conflicts", O.with_views(f"SELECT tick, id1, id2, {O.r6('tcpa', 4)} AS tcpa, {O.r6('cpa_nm')} AS cpa_nm, {O.r6(VSEP)} AS vsep_ft FROM cpa WHERE cpa_nm < 20 AND {VSEP} < 1000", "cpa"))
 def predicted_conflicts(spark, folder):
-    return P.predicted_conflicts(_cpa(spark, folder)).select("tick", "id1", "id2", F.round("tcpa", 4).alias("tcpa"), *rounded("cpa_nm", "vsep_ft"))
+    return P.predicted_conflicts(_gated(spark, folder)).select("tick", "id1", "id2", F.round("tcpa", 4).alias("tcpa"), *rounded("cpa_nm", "vsep_ft"))
 
 
 @query("encounter_geometry", O.with_views(f"SELECT {GEOMETRY} AS geometry, count(*) AS n FROM cpa GROUP BY ALL", "cpa"))
@@ -75,7 +80,7 @@ def risk_bucket(spark, folder):
 
 @query("loss_events", O.with_views(f"SELECT tick, count(*) AS n_losses, {O.r6('min(now_nm)')} AS min_nm, {O.r6(f'min({VSEP})')} AS min_ft FROM cpa WHERE now_nm < 5 AND {VSEP} < 999 GROUP BY tick", "cpa"))
 def loss_events(spark, folder):
-    p = P.loss_events(P.with_relative(P.pairs(A.tracks(spark, folder))))
+    p = P.loss_events(P.pairs_within(A.tracks(spark, folder), P.LOSS_NM))
     return p.groupBy("tick").agg(F.count("*").alias("n_losses"), F.round(F.min("now_nm"), 6).alias("min_nm"), F.round(F.min("vsep_ft"), 6).alias("min_ft"))
 
 
@@ -145,8 +150,9 @@ def resolution_vectors(spark, folder):
 def neighbourhood_average(spark, folder):
     """Means over what is near and goes the same way, itself included."""
     t = A.tracks(spark, folder)
-    p = P.with_relative(P._side(t, 1).join(P._side(t, 2), "tick"))
-    p = p.where((F.col("now_nm") <= 15) & (F.abs(geo.wrap180(F.col("trk2") - F.col("trk1"))) <= 90))
+    own = P._side(t, 1).withColumns({f"{n}2": F.col(f"{n}1") for n in ("id", *P.SHORT.values())})
+    p = P.pairs_within(t, 15.0, ordered=True)
+    p = p.unionByName(P.with_relative(own)).where((F.col("now_nm") <= 15) & (F.abs(geo.wrap180(F.col("trk2") - F.col("trk1"))) <= 90))
     mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
     return p.groupBy("tick", F.col("id1").alias("trajectory_id")).agg(F.count("*").alias("n_near"), mean("gs2", "mean_gs"), mean("vs2", "mean_vs"), mean("lat2", "mean_lat"), mean("lon2", "mean_lon"))
 
@@ -215,7 +221,7 @@ def select_targets(spark, folder):
     "cpa", d=f"SELECT tick, id1, id2, {GEOMETRY} AS geometry, tcpa, cpa_nm FROM cpa WHERE cpa_nm < 20 AND {VSEP} < 1000"))
 def conflict_context(spark, folder):
     """Per aircraft of a predicted conflict: how many, of which kinds, and how pressing."""
-    d = P.predicted_conflicts(_cpa(spark, folder)).withColumn("geometry", P.geometry())
+    d = P.predicted_conflicts(_gated(spark, folder)).withColumn("geometry", P.geometry())
     each = d.select("tick", F.explode(F.array("id1", "id2")).alias("id"), "geometry", "tcpa", "cpa_nm")
     head_on, pressing = F.col("geometry") == "head_on", (F.col("tcpa") / 60 <= 3) | (F.col("cpa_nm") < 3)
     return each.groupBy("tick", "id").agg(
@@ -229,7 +235,7 @@ def conflict_context(spark, folder):
     "cpa", d=f"SELECT tick, id1, id2 FROM cpa WHERE cpa_nm < 5 AND {VSEP} < 1000"))
 def scene_degrees(spark, folder):
     """The degree sequence of each tick's conflict graph."""
-    d = _cpa(spark, folder).where((F.col("cpa_nm") < 5) & (P.vertical_ft() < 1000))
+    d = _gated(spark, folder).where((F.col("cpa_nm") < 5) & (P.vertical_ft() < 1000))
     degree = d.select("tick", F.explode(F.array("id1", "id2")).alias("id")).groupBy("tick", "id").agg(F.count("*").alias("degree"))
     sequence = F.array_join(F.transform(F.sort_array(F.collect_list("degree")), lambda x: x.cast("string")), ",")
     return degree.groupBy("tick").agg(F.expr("sum(degree) div 2").alias("n_edges"), F.max("degree").alias("max_degree"), sequence.alias("degrees"))
@@ -241,6 +247,6 @@ def scene_degrees(spark, folder):
     walk="SELECT a AS node, a AS seen FROM both_e UNION SELECT b.b AS node, w.seen FROM walk w JOIN both_e b ON b.a = w.node").replace("WITH ", "WITH RECURSIVE ", 1))
 def connected_components_query(spark, folder):
     """Groups of aircraft that losses of separation link, within a tick; nodes are tick * 1000 + id."""
-    e = P.with_relative(P.pairs(A.tracks(spark, folder))).where((F.col("now_nm") < 5) & (P.vertical_ft() < 1000))
+    e = P.pairs_within(A.tracks(spark, folder), P.LOSS_NM).where((F.col("now_nm") < 5) & (P.vertical_ft() < 1000))
     node = lambda c: F.col("tick") * 1000 + F.col(c)
     return connected_components(e.select(node("id1").alias("a"), node("id2").alias("b")), "a", "b")

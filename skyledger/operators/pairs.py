@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +20,55 @@ def _side(states: DataFrame, n: int) -> DataFrame:
     return states.select("tick", F.col("trajectory_id").alias(f"id{n}"), *[F.col(c).alias(f"{SHORT[c]}{n}") for c in STATE])
 
 
+def once(p: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``p`` with further columns that are worked out once.
+
+    Conditions on them would else be moved before the step that makes them and their formulas copied as often as
+    they are named, which makes generated code too large to compile. A generator of one row holds them back.
+    """
+    made = F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return p.select(*[F.col(n) for n in p.columns if n not in columns], made)
+
+
+def reach_nm(states: DataFrame, gate_nm: float, within_s: float) -> float:
+    """How far apart two of these aircraft can be now and still be within the gate some time soon: the gate, and what the two
+    fastest can fly towards each other. One number reaches the driver."""
+    fastest = states.agg(F.max(F.abs("gs_mps"))).first()[0] or 0.0
+    return gate_nm + 2 * fastest / geo.NM_M * within_s
+
+
+def stretch(states: DataFrame) -> float:
+    """How many times the plane's distance can be that on the earth for these aircraft, which must not lie on both sides of
+    the date line: by the latitude farthest from the equator, and a fifth more for the ellipsoid."""
+    farthest = states.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    return 1.2 * max(1.0, math.cos(math.radians(geo.CENTRE_LAT)) / max(math.cos(math.radians(farthest)), 1e-3))
+
+
 def pairs(states: DataFrame, ordered: bool = False) -> DataFrame:
-    """All pairs of one tick, each once, or in both orders. Ticks are the join key, so pairs never cross ticks."""
+    """All pairs of one tick, each once, or in both orders: for ticks of a bounded number of aircraft, such as one sector's.
+
+    Ticks are the join key, so pairs never cross ticks. Where a result has a reach, ``pairs_within`` is to be used.
+    """
     same = F.col("id1") != F.col("id2") if ordered else F.col("id1") < F.col("id2")
     return _side(states, 1).join(_side(states, 2), "tick").where(same)
 
 
-def pairs_within(states: DataFrame, radius_nm: float) -> DataFrame:
-    """Pairs of a tick that are within a radius, each once.
+def pairs_within(states: DataFrame, radius_nm: float, ordered: bool = False) -> DataFrame:
+    """Pairs of a tick that are within a radius, each once or in both orders.
 
     States are put into cells as wide as the radius; one side is copied to the neighbouring cells, and cells are a join
     key beside the tick, so that work follows the number of near pairs and a crowded tick is spread over tasks.
     """
     x, y = geo.local_xy_nm(F.col("lat"), F.col("lon"))
     celled = states.withColumns({"cx": F.floor(x / radius_nm), "cy": F.floor(y / radius_nm)})
-    left = _side(celled, 1)
     left = celled.select("tick", F.col("trajectory_id").alias("id1"), *[F.col(c).alias(f"{SHORT[c]}1") for c in STATE], "cx", "cy")
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     right = celled.withColumn("d", F.explode(around)).select(
         "tick", F.col("trajectory_id").alias("id2"), *[F.col(c).alias(f"{SHORT[c]}2") for c in STATE],
         (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"),
     )
-    found = with_relative(left.join(right, ["tick", "cx", "cy"]).where("id1 < id2").drop("cx", "cy"))
+    same = "id1 <> id2" if ordered else "id1 < id2"
+    found = with_relative(left.join(right, ["tick", "cx", "cy"]).where(same).drop("cx", "cy"))
     return found.where(F.col("now_nm") <= radius_nm)
 
 
@@ -49,20 +78,26 @@ def with_relative(p: DataFrame) -> DataFrame:
     x2, y2 = geo.local_xy_nm(F.col("lat2"), F.col("lon2"))
     vx1, vy1 = geo.velocity_nm_s(F.col("trk1"), F.col("gs1"))
     vx2, vy2 = geo.velocity_nm_s(F.col("trk2"), F.col("gs2"))
-    out = p.withColumns({"rx": x2 - x1, "ry": y2 - y1, "vx": vx2 - vx1, "vy": vy2 - vy1})
-    return out.withColumn("now_nm", F.sqrt(F.col("rx") ** 2 + F.col("ry") ** 2))
+    out = once(p, {"rx": x2 - x1, "ry": y2 - y1, "vx": vx2 - vx1, "vy": vy2 - vy1})
+    return out.withColumn("now_nm", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")))
 
 
 def with_cpa(p: DataFrame, horizon_s: float = HORIZON_S) -> DataFrame:
     """Time and distance of closest approach, the time held to [0, horizon]; 0 if the pair does not move apart or on."""
-    r = with_relative(p)
-    vv = F.col("vx") ** 2 + F.col("vy") ** 2
+    r = p if "now_nm" in p.columns else with_relative(p)
+    vv = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")
     free = -(F.col("rx") * F.col("vx") + F.col("ry") * F.col("vy")) / vv
-    r = r.withColumn("tcpa", F.when(vv <= 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(horizon_s), free))))
+    r = once(r, {"tcpa": F.when(vv <= 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(horizon_s), free)))})
     dx, dy = F.col("rx") + F.col("vx") * F.col("tcpa"), F.col("ry") + F.col("vy") * F.col("tcpa")
     return r.withColumn("cpa_nm", F.sqrt(dx * dx + dy * dy))
 
 
+def approaches(states: DataFrame, gate_nm: float, horizon_s: float = HORIZON_S) -> DataFrame:
+    """Pairs whose closest approach within the horizon is under the gate; found by cells as wide as they can reach."""
+    found = with_cpa(pairs_within(states, reach_nm(states, gate_nm, horizon_s)), horizon_s)
+    return found.where(F.col("cpa_nm") < gate_nm)
+
+
 def vertical_ft() -> Column:
     return F.abs(F.col("alt1") - F.col("alt2")) / 0.3048
 
@@ -96,27 +131,26 @@ def directed_conflicts(states: DataFrame, zone_m: float = 9260.0, height_m: floa
     Distances take the earth's radius at the pair's mean latitude; ``radius='sum'`` takes it at the sum, for results
     that are to match systems which do so.
     """
-    p = pairs(states, ordered=True)
+    p = pairs_within(states, stretch(states) * reach_nm(states, zone_m / geo.NM_M, lookahead_s), ordered=True).drop("rx", "ry", "vx", "vy", "now_nm")
     a = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     dist = geo.distance_nm(*a) * geo.NM_M
     if radius == "sum":
         dist = dist / geo.earth_radius(0.5 * (a[0] + a[2])) * geo.earth_radius(a[0] + a[2])
-    p = p.withColumns({"qdr": geo.bearing(*a), "dist_m": dist})
-    p = p.withColumns({"dx": F.col("dist_m") * F.sin(F.radians("qdr")), "dy": F.col("dist_m") * F.cos(F.radians("qdr"))})
+    p = once(p, {"qdr": geo.bearing(*a), "dist_m": dist})
     u = lambda n: F.col(f"gs{n}") * F.sin(F.radians(f"trk{n}"))
     v = lambda n: F.col(f"gs{n}") * F.cos(F.radians(f"trk{n}"))
-    p = p.withColumns({"du": u(2) - u(1), "dv": v(2) - v(1)})
+    p = once(p, {"dx": F.col("dist_m") * F.sin(F.radians("qdr")), "dy": F.col("dist_m") * F.cos(F.radians("qdr")), "du": u(2) - u(1), "dv": v(2) - v(1)})
     p = p.withColumn("dv2", F.greatest(F.col("du") ** 2 + F.col("dv") ** 2, F.lit(1e-6)))
-    p = p.withColumn("tcpa", -(F.col("du") * F.col("dx") + F.col("dv") * F.col("dy")) / F.col("dv2"))
+    p = once(p, {"tcpa": -(F.col("du") * F.col("dx") + F.col("dv") * F.col("dy")) / F.col("dv2")})
     p = p.withColumn("dcpa2", F.abs(F.col("dist_m") ** 2 - F.col("tcpa") ** 2 * F.col("dv2")))
     half = F.sqrt(F.greatest(F.lit(0.0), zone_m**2 - F.col("dcpa2"))) / F.sqrt(F.col("dv2"))
     inside = F.col("dcpa2") < zone_m**2
-    p = p.withColumns({"in_h": F.when(inside, F.col("tcpa") - half).otherwise(1e8), "out_h": F.when(inside, F.col("tcpa") + half).otherwise(-1e8)})
+    p = once(p.where(inside), {"in_h": F.when(inside, F.col("tcpa") - half).otherwise(1e8), "out_h": F.when(inside, F.col("tcpa") + half).otherwise(-1e8)})
     dalt, dvs = F.col("alt2") - F.col("alt1"), F.col("vs2") - F.col("vs1")
     dvs = F.when(F.abs(dvs) < 1e-6, 1e-6).otherwise(dvs)
     high, low = (dalt + height_m) / -dvs, (dalt - height_m) / -dvs
-    p = p.withColumns({"tinconf": F.greatest("in_h", F.least(high, low)), "toutconf": F.least("out_h", F.greatest(high, low))})
-    kept = inside & (F.col("tinconf") <= F.col("toutconf")) & (F.col("toutconf") > 0) & (F.col("tinconf") < lookahead_s)
+    p = once(p, {"tinconf": F.greatest("in_h", F.least(high, low)), "toutconf": F.least("out_h", F.greatest(high, low))})
+    kept = (F.col("tinconf") <= F.col("toutconf")) & (F.col("toutconf") > 0) & (F.col("tinconf") < lookahead_s)
     return p.where(kept).withColumn("dcpa_m", F.sqrt("dcpa2"))
 
 
@@ -154,32 +188,33 @@ def contacts(
 
     Modes are ``horizontal``, ``spatial``, ``temporal`` and ``combined``. The speed is the ground speed.
     """
-    p = pairs(states, ordered=True)
+    # kept are pairs within ``observe_km``, or that come near enough, or whose courses cross, within the look-ahead
+    reach = reach_nm(states, max(observe_km, horizontal_km) * 1000 / geo.NM_M, lookahead_s)
+    p = pairs_within(states, stretch(states) * reach, ordered=True).drop("rx", "ry", "vx", "vy", "now_nm")
     mid = F.radians((F.col("lat1") + F.col("lat2")) / 2)
     speed = lambda n: F.col(f"gs{n}") / 1000.0
     east = lambda n: speed(n) * F.sin(F.radians(f"trk{n}"))
     north = lambda n: speed(n) * F.cos(F.radians(f"trk{n}"))
-    p = p.withColumns({
+    p = once(p, {
         "x": (F.col("lon2") - F.col("lon1")) * 111.32 * F.cos(mid), "y": (F.col("lat2") - F.col("lat1")) * 110.57,
         "u1": east(1), "w1": north(1), "u2": east(2), "w2": north(2),
         "horiz_km": geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), "vert_ft": vertical_ft(),
     })
     du, dw = F.col("u2") - F.col("u1"), F.col("w2") - F.col("w1")
     vv = du**2 + dw**2
-    p = p.withColumn("raw_tcpa", F.when(vv > 1e-9, -(F.col("x") * du + F.col("y") * dw) / vv))
+    p = once(p, {"raw_tcpa": F.when(vv > 1e-9, -(F.col("x") * du + F.col("y") * dw) / vv), "det": F.col("u2") * F.col("w1") - F.col("u1") * F.col("w2")})
     p = p.withColumn("tcpa", F.greatest(F.lit(0.0), F.least(F.lit(lookahead_s), F.coalesce("raw_tcpa", F.lit(lookahead_s)))))
     climb = (F.col("vs2") - F.col("vs1")) / 0.3048
-    p = p.withColumns({
+    p = once(p, {
+        "tcpa": F.col("tcpa"), "t1": (F.col("u2") * F.col("y") - F.col("w2") * F.col("x")) / F.col("det"), "t2": (F.col("u1") * F.col("y") - F.col("w1") * F.col("x")) / F.col("det"),
         "dcpa_km": F.sqrt((F.col("x") + du * F.col("tcpa")) ** 2 + (F.col("y") + dw * F.col("tcpa")) ** 2),
         "later_ft": F.abs((F.col("alt2") - F.col("alt1")) / 0.3048 + climb * F.col("tcpa")),
     })
     # times at which either is where the courses cross: t1 * v1 - t2 * v2 = r, by Cramer's rule
-    det = F.col("u2") * F.col("w1") - F.col("u1") * F.col("w2")
-    t1 = (F.col("u2") * F.col("y") - F.col("w2") * F.col("x")) / det
-    t2 = (F.col("u1") * F.col("y") - F.col("w1") * F.col("x")) / det
-    ahead = (F.abs(det) > 1e-9) & t1.between(0, lookahead_s) & t2.between(0, lookahead_s)
+    t1, t2 = F.col("t1"), F.col("t2")
+    ahead = (F.abs("det") > 1e-9) & t1.between(0, lookahead_s) & t2.between(0, lookahead_s)
     at_crossing = F.abs((F.col("alt1") + F.col("vs1") * t1 - F.col("alt2") - F.col("vs2") * t2) / 0.3048) <= vertical_ft_min
-    p = p.withColumns({"time_gap_s": F.when(ahead, F.abs(t1 - t2)), "applicable": F.coalesce(ahead & at_crossing, F.lit(False))})
+    p = once(p, {"time_gap_s": F.when(ahead, F.abs(t1 - t2)), "applicable": F.coalesce(ahead & at_crossing, F.lit(False))})
     space, flat = F.lit(mode != "temporal"), F.lit(mode == "horizontal")
     timed = F.lit(mode in ("temporal", "combined"))
     collision = (F.col("horiz_km") <= collide_km) & (F.col("vert_ft") <= collide_ft)
@@ -187,7 +222,7 @@ def contacts(
     ahead_loss = space & (F.col("raw_tcpa") > 0) & (F.col("raw_tcpa") <= lookahead_s) & (F.col("dcpa_km") <= horizontal_km)
     ahead_loss = F.coalesce(ahead_loss & (flat | (F.col("later_ft") <= vertical_ft_min)), F.lit(False))
     late = F.coalesce(timed & F.col("applicable") & (F.col("time_gap_s") < temporal_s), F.lit(False))
-    p = p.withColumns({"loss": loss, "predicted": ahead_loss, "temporal": late, "collision": collision})
+    p = once(p, {"loss": loss, "predicted": ahead_loss, "temporal": late, "collision": collision})
     p = p.where(F.col("loss") | F.col("predicted") | F.col("temporal") | (F.col("horiz_km") <= observe_km))
     urgent = 0.25 + 0.75 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("tcpa") / lookahead_s))
     now_h, now_v = penetration(F.col("horiz_km"), horizontal_km, collide_km), penetration(F.col("vert_ft"), vertical_ft_min, collide_ft)

@@ -192,7 +192,7 @@ def scenes(spark, folder) -> DataFrame:
     """A fingerprint per tick: the sorted, bucketed edges of its conflict graph, without names, hashed."""
     from skyledger.functions import geo
 
-    e = P.with_cpa(P.pairs(A.tracks(spark, folder))).where((c("cpa_nm") < 5) & (P.vertical_ft() < 1000))
+    e = P.approaches(A.tracks(spark, folder), 5.0).where(P.vertical_ft() < 1000)
     bucket = lambda x, w: F.bround(x / w).cast("long").cast("string")
     edge = F.concat_ws(",", bucket(F.abs(geo.wrap180(c("trk1") - c("trk2"))), 15), bucket(P.vertical_ft(), 500), bucket(c("tcpa"), 30))
     text = F.array_join(F.sort_array(F.collect_list(edge)), ";")
@@ -263,7 +263,7 @@ def prototype_round_robin(spark, folder):
     d="SELECT tick, id1, id2, tcpa FROM cpa WHERE cpa_nm < 5 AND abs(alt1 - alt2) / 0.3048::DOUBLE < 1000"))
 def role_order(spark, folder):
     """A stable rank of a scene's aircraft that does not depend on names until all else is equal."""
-    e = P.with_cpa(P.pairs(A.tracks(spark, folder))).where((c("cpa_nm") < 5) & (P.vertical_ft() < 1000))
+    e = P.approaches(A.tracks(spark, folder), 5.0).where(P.vertical_ft() < 1000)
     s = e.select("tick", F.explode(F.array("id1", "id2")).alias("id"), "tcpa").groupBy("tick", "id").agg(F.count("*").alias("degree"), F.bround(F.min("tcpa") / 60).cast("long").alias("tb"))
     return s.select("tick", "id", F.row_number().over(Window.partitionBy("tick").orderBy(F.desc("degree"), "tb", "id")).alias("role"))
 
@@ -300,7 +300,7 @@ def join_tick_to_program(spark, folder):
 
 @query("tracked_topk", O.with_views("SELECT tick, id1, id2, row_number() OVER (PARTITION BY tick ORDER BY round(tcpa, 4), round(now_nm, 6), id1, id2) AS place FROM cpa WHERE cpa_nm < 5 QUALIFY place <= 3", "cpa"))
 def tracked_topk(spark, folder):
-    p = P.with_cpa(P.pairs(A.tracks(spark, folder))).where("cpa_nm < 5")
+    p = P.approaches(A.tracks(spark, folder), 5.0)
     order = Window.partitionBy("tick").orderBy(F.round("tcpa", 4), F.round("now_nm", 6), "id1", "id2")
     return p.withColumn("place", F.row_number().over(order)).where("place <= 3").select("tick", "id1", "id2", "place")
 
