@@ -177,10 +177,27 @@ def gate(rows: pd.DataFrame, cooldown_s: float = 7200.0, axis_s: float = 14400.0
     return pd.DataFrame(out, columns=["callsign", "event_id", "accepted", "reason"])
 
 
-@query("cooldown_gate")
+MEMORY_S = 86400.0
+_GATED = """SELECT event_id, callsign, n, true AS accepted, '' AS reason, epoch + 7200 AS any_until, CASE WHEN alt THEN epoch + 14400 ELSE -1.0::DOUBLE END AS ua, CASE WHEN alt THEN -1.0::DOUBLE ELSE epoch + 14400 END AS us,
+        CASE WHEN alt THEN target END AS ta, CASE WHEN alt THEN epoch END AS ea, CASE WHEN NOT alt THEN target END AS ts, CASE WHEN NOT alt THEN epoch END AS es FROM k WHERE n = 1
+    UNION ALL SELECT event_id, callsign, n, why = '', why, CASE WHEN why = '' THEN epoch + 7200 ELSE any_until END, CASE WHEN why = '' AND alt THEN epoch + 14400 ELSE ua END, CASE WHEN why = '' AND NOT alt THEN epoch + 14400 ELSE us END,
+        CASE WHEN why = '' AND alt THEN target ELSE ta END, CASE WHEN why = '' AND alt THEN epoch ELSE ea END, CASE WHEN why = '' AND NOT alt THEN target ELSE ts END, CASE WHEN why = '' AND NOT alt THEN epoch ELSE es END
+    FROM (SELECT k.event_id, k.callsign, k.n, k.epoch, k.alt, k.target, w.any_until, w.ua, w.us, w.ta, w.ea, w.ts, w.es, CASE WHEN k.epoch < w.any_until THEN 'aircraft cooldown' WHEN k.epoch < CASE WHEN k.alt THEN w.ua ELSE w.us END THEN 'axis cooldown'
+        WHEN coalesce(CASE WHEN k.alt THEN w.ta = k.target AND k.epoch - w.ea < 86400 ELSE w.ts = k.target AND k.epoch - w.es < 86400 END, false) THEN 'repeated target' ELSE '' END AS why FROM k JOIN walk w ON k.callsign = w.callsign AND k.n = w.n + 1)"""
+
+
+@query("cooldown_gate", O.with_views("SELECT callsign, event_id, accepted, reason FROM walk", "sys", k="SELECT *, family = 'altitude' AS alt, row_number() OVER (PARTITION BY callsign ORDER BY epoch, event_id) AS n FROM sys", walk=_GATED).replace("WITH ", "WITH RECURSIVE ", 1))
 def cooldown_gate(spark, folder):
-    """Commands that the pauses after accepted commands let through; state is kept per aircraft only."""
-    return A.system_commands(spark, folder).select("callsign", "event_id", "family", "target", "epoch").groupBy("callsign").applyInPandas(lambda rows: gate(rows), _REJECT)
+    """Commands that the pauses after accepted commands let through.
+
+    No pause or memory outlasts ``MEMORY_S``, so an aircraft's commands are gated apart where a gap is as long; a
+    group is one such stretch, however long the history is.
+    """
+    own = A.system_commands(spark, folder).select("callsign", "event_id", "family", "target", "epoch")
+    order = Window.partitionBy("callsign").orderBy("epoch", "event_id")
+    starts = F.coalesce((c("epoch") - F.lag("epoch").over(order) >= MEMORY_S).cast("long"), F.lit(1).cast("long"))
+    stretches = own.withColumn("starts", starts).withColumn("stretch", F.sum("starts").over(order)).drop("starts")
+    return stretches.groupBy("callsign", "stretch").applyInPandas(lambda rows: gate(rows, memory_s=MEMORY_S), _REJECT)
 
 
 # -- scenes and stores --------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo
+from skyledger.operators import spatial
 from skyledger.plans import oracle as O
 from skyledger.registry import query
 from skyledger.sources import adapters as A
@@ -305,22 +306,13 @@ def waypoints(spark, folder) -> DataFrame:
     )
 
 
-@query("nearest_point_join", O.with_views("SELECT event_id, wpt FROM tracks t CROSS JOIN w QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(pow((wlon - lon) * cos(radians(lat)), 2) + pow(wlat - lat, 2), 12), wpt) = 1", "tracks", w=_WPT))
+_WRAPPED = "((wlon - lon + 540) % 360 - 180)"
+
+
+@query("nearest_point_join", O.with_views(f"SELECT event_id, wpt FROM tracks t CROSS JOIN w QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(pow({_WRAPPED} * cos(radians(lat)), 2) + pow(wlat - lat, 2), 12), wpt) = 1", "tracks", w=_WPT))
 def nearest_point_join(spark, folder):
-    """The nearest waypoint of each state, by cells: the ring of cells about a state is widened until it holds a point
-    nearer than what lies outside the ring, so states are never paired with all points."""
-    states, points = A.tracks(spark, folder).select("event_id", "lat", "lon"), waypoints(spark, folder)
-    found, left, width = None, states, 0.25
-    d2 = F.round(F.pow((c("wlon") - c("lon")) * F.cos(F.radians("lat")), 2) + F.pow(c("wlat") - c("lat"), 2), 12)
-    for size in (width, 4 * width, 16 * width, 1024 * width):
-        around = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-        celled = points.withColumn("d", around).withColumns({"cy": F.floor(c("wlat") / size) + c("d.y"), "cx": F.floor(c("wlon") / size) + c("d.x")})
-        joined = left.withColumns({"cy": F.floor(c("lat") / size), "cx": F.floor(c("lon") / size)}).join(celled, ["cy", "cx"])
-        best = joined.groupBy("event_id").agg(F.min(F.struct(d2.alias("d2"), c("wpt"))).alias("b"))
-        sure = best.where(F.sqrt("b.d2") < size * 0.85).select("event_id", c("b.wpt").alias("wpt"))
-        found = sure if found is None else found.unionByName(sure)
-        left = left.join(sure, "event_id", "left_anti")
-    return found
+    """The nearest waypoint of each state, by cells that are widened until one is sure to be the nearest."""
+    return spatial.nearest_points(A.tracks(spark, folder).select("event_id", "lat", "lon"), waypoints(spark, folder))
 
 
 @query("resolve_name_nearest", O.with_views("SELECT event_id, wpt FROM (SELECT *, event_id % 40 AS name FROM tracks) t JOIN w USING (name) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(pow((wlon - lon) * cos(radians(lat)), 2) + pow(wlat - lat, 2), 12), wpt) = 1", "tracks", w=_WPT))

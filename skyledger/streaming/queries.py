@@ -85,11 +85,24 @@ _GATE = """WITH RECURSIVE track_sys AS (SELECT event_id, 'CES' || CAST(100 + use
 @query("stream_cooldown_gate", _GATE)
 def stream_cooldown_gate(spark, folder):
     e = stream_table(spark, folder, "events").where(c("event_type").isin("click", "view"))
-    commands = e.select("event_id", F.concat(F.lit("CES"), (100 + c("user_id")).cast("string")).alias("callsign"), (F.unix_micros(c("ts").cast("timestamp")).cast("double") / 1000000).alias("epoch"))
+    commands = e.select("event_id", c("ts").cast("timestamp").alias("time"), F.concat(F.lit("CES"), (100 + c("user_id")).cast("string")).alias("callsign"), (F.unix_micros(c("ts").cast("timestamp")).cast("double") / 1000000).alias("epoch"))
     return finished(K.cooldown_gate(commands), "append", ["event_id"])
 
 
-@query("stream_command_execution")
+_NUMBERED = "SELECT *, CASE WHEN event_id % 6 = 0 THEN alt_m + 600 END AS target_m, CAST(event_id * 17 % 101 AS DOUBLE) AS risk, row_number() OVER (PARTITION BY trajectory_id ORDER BY t, event_id) AS n FROM track_path"
+_EXECUTED = """SELECT trajectory_id, n, target_m AS target, t AS since, NULL::VARCHAR AS outcome, 0.0::DOUBLE AS seconds FROM x WHERE n = 1
+    UNION ALL SELECT x.trajectory_id, x.n, CASE WHEN x.target_m IS NOT NULL THEN x.target_m WHEN abs(x.alt_m - w.target) <= 300 THEN NULL ELSE w.target END, CASE WHEN x.target_m IS NOT NULL THEN x.t ELSE w.since END,
+    CASE WHEN abs(x.alt_m - w.target) <= 300 THEN 'reached' WHEN w.target IS NOT NULL AND x.target_m IS NOT NULL THEN 'superseded' END, x.t - w.since FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1"""
+_STALLED = """SELECT trajectory_id, n, risk AS best, 0 AS stalled, false AS told FROM x WHERE n = 1
+    UNION ALL SELECT x.trajectory_id, x.n, CASE WHEN x.risk < w.best OR w.stalled = 1 THEN x.risk ELSE w.best END, CASE WHEN x.risk < w.best OR w.stalled = 1 THEN 0 ELSE w.stalled + 1 END, x.risk >= w.best AND w.stalled = 1
+    FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1"""
+
+
+def walked(body: str, walk: str) -> str:
+    return path(body, x=_NUMBERED, walk=walk).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("stream_command_execution", walked("SELECT outcome, count(*) AS n, round(avg(seconds), 3) AS mean_s FROM walk WHERE outcome IS NOT NULL GROUP BY 1", _EXECUTED))
 def stream_command_execution(spark, folder):
     found = finished(K.command_execution(timed(spark, folder)), "append", ["command_id"])
     return found.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 3).alias("mean_s"))
@@ -103,7 +116,7 @@ def stream_clear_window(spark, folder):
     return finished(K.clear_window(timed(spark, folder).withColumn("clear", c("inside")), 7200.0), "append", ["event_id"])
 
 
-@query("stream_replan_stall")
+@query("stream_replan_stall", walked("SELECT trajectory_id, count(*) AS replans FROM walk WHERE told GROUP BY 1", _STALLED))
 def stream_replan_stall(spark, folder):
     risks = timed(spark, folder).withColumn("risk", (c("event_id") * 17 % 101).cast("double"))
     return finished(K.replan_stall(risks), "append", ["event_id"]).groupBy("trajectory_id").agg(F.count("*").alias("replans"))
@@ -115,11 +128,18 @@ def stream_adsb_fusion(spark, folder):
     return finished(K.message_fusion(messages), "append", ["trajectory_id"]).groupBy("trajectory_id").agg(F.count("*").alias("complete"))
 
 
-@query("stream_conflict_monitor", path("SELECT CAST(floor(a.t / 1200) * 1200 AS BIGINT) AS start_s, count(*) AS n_pairs FROM track_path a JOIN track_path b ON floor(a.t / 1200) = floor(b.t / 1200) AND a.trajectory_id < b.trajectory_id AND abs(a.alt_m - b.alt_m) < 650 GROUP BY 1"))
+_MONITOR = {
+    "mp": """SELECT CAST(floor(a.t / 1200) * 1200 AS BIGINT) AS start_s, (b.lon - a.lon) * 60 * cos(radians(30.92095)) AS rx, (b.lat - a.lat) * 60 AS ry,
+        b.gs_mps / 1852 * sin(radians(b.trk_deg)) - a.gs_mps / 1852 * sin(radians(a.trk_deg)) AS vx, b.gs_mps / 1852 * cos(radians(b.trk_deg)) - a.gs_mps / 1852 * cos(radians(a.trk_deg)) AS vy
+        FROM track_path a JOIN track_path b ON floor(a.t / 1200) = floor(b.t / 1200) AND a.trajectory_id < b.trajectory_id AND abs(a.alt_m - b.alt_m) < 650""",
+    "mc": "SELECT *, CASE WHEN vx * vx + vy * vy <= 1e-12 THEN 0 ELSE greatest(0.0::DOUBLE, least(300.0::DOUBLE, -(rx * vx + ry * vy) / (vx * vx + vy * vy))) END AS tc FROM mp",
+}
+
+
+@query("stream_conflict_monitor", path("SELECT start_s, count(*) AS n_pairs FROM mc WHERE sqrt(pow(rx + vx * tc, 2) + pow(ry + vy * tc, 2)) < 20 GROUP BY 1", **_MONITOR))
 def stream_conflict_monitor(spark, folder):
-    """Pairs that are near in height in each tick of 20 minutes."""
-    p = K.tick_pairs(track(spark, folder), "20 minutes", "1 hour").where(F.abs(c("alt1") - c("alt2")) < 650)
-    found = finished(p.select("at", "id1", "id2"), "append", ["at"])
+    """How many pairs come within 20 NM while near in height, in each tick of 20 minutes."""
+    found = finished(K.approaching(track(spark, folder), "20 minutes", "1 hour", 20.0, 650.0).select("at", "id1", "id2"), "append", ["at"])
     return found.groupBy(F.unix_seconds("at").alias("start_s")).agg(F.count("*").alias("n_pairs"))
 
 
