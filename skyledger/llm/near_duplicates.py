@@ -229,14 +229,15 @@ def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         leaders = rows.withColumn("place", place).where(F.col("place") <= leading)
         leaders = stage_table(leaders.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a")), "similar-leaders")
         close = rows.join(leaders, "key").where((F.col("turn_a") < F.col("turn")) & (F.least("n", "n_a") / F.greatest("n", "n_a") >= SIMILARITY))
-        pairs = close.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+        close = stage_table(close.select("key", "a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")), "similar-close")
+        pairs = close.drop("key").distinct()
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
         both = F.size(F.array_intersect("hashes_a", "hashes_b"))
         found = stage_table(pairs.where(both / (F.col("n_a") + F.col("n_b") - both) >= SIMILARITY).select("a", "b"), "similar-links")
         links, leading = found if links is None else links.union(found), 2 * leading
         others = rows.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        done = others.join(leaders.select("key", "a"), "key").join(found.withColumnRenamed("b", "node"), ["a", "node"]).select("key", "node")
+        done = close.join(found, ["a", "b"]).select("key", F.col("b").alias("node"))
         rows = stage_table(others.join(done, ["key", "node"], "left_anti"), "similar-keys")
     return links
 
