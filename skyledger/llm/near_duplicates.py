@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 5
 #: Texts of a key that all others of it are compared with in the first round; twice as many in each that follows.
 LEADERS = 2
+#: Bits of a set's parity map, in longs of 64.
+PARITY_LONGS = 8
 #: Fingerprints whose balls one task emits.
 BALL_ROWS = 16_384
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -178,23 +180,34 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def parity_map(hashes: np.ndarray) -> list[int]:
+    """``PARITY_LONGS`` longs: a bit is set if an odd number of a set's hashes fall on it.
+
+    A hash that only one of two sets has changes one bit, so maps differ in at most as many bits as the sets do in members.
+    """
+    odd = np.bincount((hashes % (64 * PARITY_LONGS)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def with_keys(keyed: DataFrame) -> DataFrame:
-    """``keyed(doc_id, text_hash, text)`` with the fingerprint ``fp``, the number ``n`` of shingles and ``keys`` for ``text``."""
+    """``keyed(doc_id, text_hash, text)`` with the fingerprint ``fp``, the number ``n`` of shingles, ``keys`` and the parity map ``odd`` for ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, odd = [], [], [], []
             for text in batch.column(2):
                 text = text.as_py()
                 own = shingle_set(text)
                 fps.append(fingerprint(text))
                 sizes.append(len(own))
                 keys.append(band_keys(own))
-            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", "n", "keys"])
+                odd.append(parity_map(own))
+            longs = pa.list_(pa.int64())
+            columns = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(odd, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "fp", "n", "keys", "odd"])
 
     kind = dict(keyed.dtypes)["doc_id"]
-    return keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n long, keys array<long>")
+    return keyed.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, n long, keys array<long>, odd array<long>")
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -209,26 +222,33 @@ def with_sets(texts: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)``: verified links between similar texts, from ``nodes(node, least, n, keys)`` and ``texts(node, text)``.
+    """``(a, b)``: verified links between similar texts, from ``nodes(node, least, n, keys, odd)`` and ``texts(node, text)``.
 
     In a round, the first texts of every key by their least id, its leaders, are compared with all texts of the key; what
     is neither a leader nor similar to one goes into the next round. So two texts that share a key are compared unless
     an earlier text has been found similar to one of them: of any two texts that are the first of their components,
     none with a common key is left uncompared. Texts similar to a leader leave a key, so
-    its pairs grow with the square only of what shares it without being similar.
+    its pairs grow with the square only of what shares it without being similar. Most of those the join drops at once:
+    sets of similarity s differ in (1 - s) / (1 + s) of their sizes' sum, so parity maps that differ in more bits
+    belong to no similar pair. What passes is verified on whole sets; no similar pair fails to pass.
     """
     turn = F.struct(F.col("least").isNull().alias("no_id"), "least", "node")
     rows = nodes.select("node", "n", turn.alias("turn"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    rows = stage_table(rows.join(shared, "key", "left_semi"), "similar-keys")
+    rows = rows.join(shared, "key", "left_semi").join(nodes.select("node", "odd"), "node")
+    rows = stage_table(rows, "similar-keys")
     asked = texts.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = stage_table(with_sets(asked), "similar-sets")
     links, leading = None, LEADERS
+    apart = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("odd_a")[k])) for k in range(PARITY_LONGS)), F.lit(0))
     while links is None or not rows.isEmpty():
         place = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
         leaders = rows.withColumn("place", place).where(F.col("place") <= leading)
-        leaders = stage_table(leaders.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a")), "similar-leaders")
-        close = rows.join(leaders, "key").where((F.col("turn_a") < F.col("turn")) & (F.least("n", "n_a") / F.greatest("n", "n_a") >= SIMILARITY))
+        renamed = [F.col(c).alias(d) for c, d in (("node", "a"), ("n", "n_a"), ("turn", "turn_a"), ("odd", "odd_a"))]
+        leaders = stage_table(leaders.select("key", *renamed), "similar-leaders")
+        may = (F.col("turn_a") < F.col("turn")) & (F.least("n", "n_a") / F.greatest("n", "n_a") >= SIMILARITY)
+        may &= apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("n") + F.col("n_a")) + 1e-6
+        close = rows.join(leaders, "key").where(may)
         close = stage_table(close.select("key", "a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b")), "similar-close")
         pairs = close.drop("key").distinct()
         for side in "ab":
@@ -251,7 +271,7 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     marked = stage_table(with_keys(keyed), "similar-marked")
     nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(
-        F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")
+        F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("odd").alias("odd")
     )
     nodes = stage_table(nodes, "similar-nodes")
     fps = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 from skyledger.llm import near_duplicates as N
 
 
@@ -42,3 +43,13 @@ def test_no_two_similar_documents_stay(spark):
     assert len(kept) < len(texts) and 0 in {d for d, _ in kept} and 91 not in {d for d, _ in kept}
     long = [t for _, t in kept if len(t) > 20]
     assert all(similarity(a, b) < N.SIMILARITY for a, b in itertools.combinations(long, 2))
+
+
+def test_parity_maps_never_differ_more_than_sets():
+    rng = np.random.default_rng(9)
+    assert N.parity_map(np.zeros(0, np.uint64)) == [0] * N.PARITY_LONGS
+    for n in (1, 7, 60, 500, 5000):
+        common, left, right = (rng.integers(0, 1 << 64, k, np.uint64) for k in (n, n // 5, n // 9))
+        maps = [np.array(N.parity_map(np.unique(np.r_[common, own])), np.int64).view(np.uint8) for own in (left, right)]
+        bits = int(np.unpackbits(maps[0] ^ maps[1]).sum())
+        assert bits <= len(left) + len(right) and (n == 1 or bits > 0)
