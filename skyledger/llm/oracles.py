@@ -60,4 +60,43 @@ SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_char
 FROM own LEFT JOIN lead USING (conv_id) LEFT JOIN sys USING (conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_chat": CHAT, "op9_quality_rules": QUALITY_RULES}
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+HARD_NEGATIVES = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS INT) AS rank,
+    s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+def _code_rounds(rounds: int) -> str:
+    """Codes after so many rounds: a row per component, entries as rows of the same form, one pair of steps a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT rid, part, entry, error FROM (SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS error
+            FROM c JOIN b{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY c.rid, c.part, b.entry) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY error, entry) = 1)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS MATERIALIZED (SELECT c.part, a.entry, c.pos, sum(c.x) AS total, count(*) AS n FROM c JOIN a{k} a ON a.rid = c.rid AND a.part = c.part GROUP BY c.part, a.entry, c.pos)""")
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, CASE WHEN m.n IS NULL THEN b.x ELSE CAST((m.total - ((m.total % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x
+            FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)""")
+    return ", ".join(steps)
+
+
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, embedding FROM embeddings WHERE {_USABLE}),
+w AS (SELECT CAST(ceil(max(len(embedding)) / 4) AS BIGINT) AS width FROM k),
+c AS MATERIALIZED (SELECT rid, i // width AS part, i % width AS pos, CAST(coalesce(floor(1024 * CAST(embedding[i + 1] AS DOUBLE)), 0) AS BIGINT) AS x
+    FROM (SELECT rid, embedding, width, unnest(range(4 * width)) AS i FROM k CROSS JOIN w)),
+b0 AS MATERIALIZED (SELECT part, rid AS entry, pos, x FROM c WHERE rid < 256), {_code_rounds(4)},
+e AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM a4 GROUP BY rid),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (rid) CROSS JOIN h
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_chat": CHAT, "op9_quality_rules": QUALITY_RULES, "op11_hard_negatives": HARD_NEGATIVES, "op12_vector_codes": VECTOR_CODES}
