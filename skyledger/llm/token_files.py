@@ -56,21 +56,41 @@ _SPACE = r"\s\u180e\u200b-\u200f\u2060\ufeff"
 _JOINED = re.compile(f" (?=[{_SPACE}]|\\Z)")
 _SPLIT = re.compile(f" (?=[^{_SPACE}])")
 
+#: Plain letters (ASCII and Latin-1), and signs that are a token or more of their own behind them: ASCII's, but for the
+#: apostrophe, which can begin a token with letters.
+_LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"([{_LETTER}]+)([{_SIGN}]*(?:\n[{_LETTER}]+[{_SIGN}]*)*)")
+_PARTS = re.compile(f"[{_LETTER}]+|[{_SIGN}]+|\n")
+
 _encoders: dict[str, ByteEncoder] = {}
 
 
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class ByteEncoder:
     """Token ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, for a byte-level tokenizer.
 
     A token may begin with a blank but never goes on past one that a character other than white space follows, so a
     text's ids are those of its chunks between such blanks, each with the blank before it. Chunks recur: known ones are
-    kept in two generations, and what is still in use moves up. A text with a special token's string is encoded whole.
+    kept in two generations, and what is still in use moves up. A word of plain letters goes to the model at once, and
+    once for all that may stand behind it. A text with a special token's string is encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self.number = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.packed = [int(k).to_bytes(int(self.number[-1]), "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.behind: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -81,20 +101,38 @@ class ByteEncoder:
         first, *chunks = _SPLIT.split(text) if _JOINED.search(text) else text.split(" ")
         different = set(chunks)
         if len(self.known) + len(different) > CACHE_CHUNKS:
-            self.known, self.old = {}, self.known
+            self.known, self.old, self.behind = {}, self.known, {}
         new = different.difference(self.known)
         if new:
             self._learn(new)
         head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.number).tobytes() if first else b""
         return np.frombuffer(head + b"".join(map(self.known.__getitem__, chunks)), self.number)
 
+    def _part(self, part: str) -> bytes:
+        """The ids of what is split from its surroundings before the model sees it."""
+        if part.isascii() and part != "\n":
+            mapped = part.replace(" ", BYTE_LETTERS[32])
+        else:
+            mapped = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
+
     def _learn(self, new: set[str]) -> None:
-        known, old, unseen = self.known, self.old, []
+        known, old, behind, unseen = self.known, self.old, self.behind, []
         for c in new:
             if c in old:
                 known[c] = old[c]
-            else:
+                continue
+            plain = _PLAIN.fullmatch(c)
+            if not plain:
                 unseen.append(c)
+                continue
+            word, rest = plain.groups()
+            if word not in known:
+                known[word] = old[word] if word in old else self._part(f" {word}")
+            if rest:
+                if rest not in behind:
+                    behind[rest] = b"".join(map(self._part, _PARTS.findall(rest)))
+                known[c] = known[word] + behind[rest]
         for at in range(0, len(unseen), 10_000):
             part = unseen[at : at + 10_000]
             found = self.tokenizer.encode([f" {c}" for c in part], is_pretokenized=True, add_special_tokens=False)
