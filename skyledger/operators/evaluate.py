@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,105 +24,189 @@ def canonical(rows: DataFrame, callsign: list[str], family: list[str], epoch: Co
     return out.withColumn("valid", F.col("callsign").isNotNull() & F.col("family").isNotNull() & F.col("epoch").isNotNull())
 
 
-def in_islands(refs: DataFrame, own: DataFrame, window_s: float, by_family: bool) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``island``: events of one aircraft between gaps longer than the window.
+def in_islands(refs: DataFrame, own: DataFrame, window_s: float, keys: list[str]) -> DataFrame:
+    """Events of both sides with ``side`` and ``island``, a stretch of time without an empty interval as wide as the window.
 
-    No match can cross such a gap, so islands are matched apart from each other without changing the result, which
-    keeps the groups small however long an aircraft's history is.
+    No match can cross an empty interval, so islands are matched apart from each other without changing the result.
+    They are found from the occupied intervals alone, which are an aggregate of the events; a key of any number of events
+    is spread over its intervals, and islands with events of one side only are left out before events are shuffled.
     """
-    keys = ["callsign", "family"] if by_family else ["callsign"]
     both = refs.select(*EVENT, F.lit(0).alias("side")).unionByName(own.select(*EVENT, F.lit(1).alias("side")))
-    order = Window.partitionBy(*keys).orderBy("epoch", "side", "event_id")
-    starts = F.coalesce((F.col("epoch") - F.lag("epoch").over(order) > window_s).cast("long"), F.lit(1).cast("long"))
-    marked = both.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order)).drop("starts")
-    own_island = Window.partitionBy(*keys, "island")  # one with events of one side only has nothing to match
-    marked = marked.withColumns({"low": F.min("side").over(own_island), "high": F.max("side").over(own_island)}).where("low < high").drop("low", "high")
-    return marked.where("side = 0").drop("side"), marked.where("side = 1").drop("side")
+    both = both.withColumn("interval", F.floor(F.col("epoch") / max(window_s, 1e-6)))
+    occupied = both.groupBy(*keys, "interval").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    order = Window.partitionBy(*keys).orderBy("interval")
+    starts = F.coalesce((F.col("interval") - F.lag("interval").over(order) > 1).cast("long"), F.lit(1).cast("long"))
+    marked = occupied.withColumn("starts", starts).withColumn("island", F.sum("starts").over(order))
+    whole = Window.partitionBy(*keys, "island")
+    marked = marked.withColumns({"low": F.min("low").over(whole), "high": F.max("high").over(whole)}).where("low < high")
+    return both.join(marked.select(*keys, "interval", "island"), [*keys, "interval"]).drop("interval")
 
 
 MATCH = "callsign string, family string, ref_id long, sys_id long, delta_s double, ref_target double, sys_target double, ref_unit string, sys_unit string"
 
 
-def _grouped(refs: DataFrame, own: DataFrame, window_s: float, by_family: bool, pick: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]]) -> DataFrame:
-    left, right = in_islands(refs, own, window_s, by_family)
-    keys = ["callsign", "family", "island"] if by_family else ["callsign", "island"]
-    # both sides come from one frame; columns of their own keep the planner from mixing them up
-    right = right.select(*[F.col(name).alias(name) for name in right.columns])
+Pick = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], list[tuple[int, int]]]
+
+
+def _grouped(refs: DataFrame, own: DataFrame, window_s: float, keys: list[str], pick: Pick) -> DataFrame:
+    """Matches of all islands. A task reads its islands one after another in order, and matches those that a batch ends
+    as slices of its columns; it holds a batch and an island at most."""
+    group = [*keys, "island"]
+
+    def matches(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = {c: rows[c].to_numpy() for c in (*EVENT, "side")}
+        starts = np.flatnonzero(_changes(rows, group))
+        left, right = [], []
+        for low, high in zip(starts, [*starts[1:], len(rows)]):
+            sides = [low + np.flatnonzero(columns["side"][low:high] == side) for side in (0, 1)]
+            found = pick(*({c: x[at] for c, x in columns.items()} for at in sides))
+            left += [sides[0][i] for i, _ in found]
+            right += [sides[1][j] for _, j in found]
+        a, b = ({c: x[at] for c, x in columns.items()} for at in (np.array(left, np.int64), np.array(right, np.int64)))
+        delta = np.abs(a["epoch"].astype(float) - b["epoch"].astype(float))
+        values = (a["callsign"], a["family"], a["event_id"], b["event_id"], delta, a["target"], b["target"], a["unit"], b["unit"])
+        return pd.DataFrame(dict(zip([x.split()[0] for x in MATCH.split(", ")], values)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = int(np.flatnonzero(_changes(batch, group))[-1])
+            if held and not last and _same_key(held[-1], batch, group):
+                held.append(batch)
+                continue
+            if held or last:
+                yield matches(pd.concat([*held, batch.iloc[:last]], ignore_index=True))
+            held = [batch.iloc[last:]]
+        if held:
+            yield matches(pd.concat(held, ignore_index=True))
+
+    dealt = in_islands(refs, own, window_s, keys).repartition(*group).sortWithinPartitions(*group, "epoch", "event_id")
+    return dealt.mapInPandas(run, MATCH)
+
+
+def _changes(rows: pd.DataFrame, group: list[str]) -> np.ndarray:
+    """True for the first row of each group."""
+    out = np.ones(len(rows), bool)
+    out[1:] = False
+    for c in group:
+        x = rows[c].to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.sort_values(["epoch", "event_id"], ignore_index=True) for x in (a, b))
-        found = pick(a, b) if len(a) and len(b) else []
-        rows = [
-            (a.callsign[i], a.family[i], a.event_id[i], b.event_id[j], abs(a.epoch[i] - b.epoch[j]), a.target[i], b.target[j], a.unit[i], b.unit[j])
-            for i, j in found
-        ]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in MATCH.split(", ")])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, MATCH)
+def _same_key(before: pd.DataFrame, after: pd.DataFrame, group: list[str]) -> bool:
+    return all(before[c].iloc[-1] == after[c].iloc[0] for c in group)
 
 
-def _agrees(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    limit = (a.family + " " + a.unit).map(text.TOLERANCE).to_numpy(float)[:, None]
-    gap = np.abs(a.target.to_numpy(float)[:, None] - b.target.to_numpy(float)[None, :])
-    turn = np.abs((gap + 180.0) % 360.0 - 180.0)
-    gap = np.where((a.family == "heading").to_numpy()[:, None], turn, gap)
-    return (gap <= limit) & (a.unit.to_numpy()[:, None] == b.unit.to_numpy()[None, :])
+def _agrees(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: int, at: slice) -> np.ndarray:
+    """Which of the commands ``at`` have the target of reference ``i``, in its unit."""
+    limit = text.TOLERANCE.get(f"{a['family'][i]} {a['unit'][i]}", np.nan)
+    gap = np.abs(float(a["target"][i]) - b["target"][at].astype(float))
+    if a["family"][i] == "heading":
+        gap = np.abs((gap + 180.0) % 360.0 - 180.0)
+    return (gap <= limit) & (b["unit"][at] == a["unit"][i])
 
 
-def ordered_pairs(a: pd.DataFrame, b: pd.DataFrame, window_s: float, strict: bool) -> list[tuple[int, int]]:
-    """The one-to-one pairs in time order that are most, and of these those with the least total time difference.
+class Chain:
+    """For prefixes of the commands, the best chain of pairs that ends in them: most pairs, then least seconds.
 
-    Each cell of the table holds the best (pairs, -seconds) of two prefixes. Among equally good ways, leaving out the
-    last reference is preferred, then leaving out the last command, then pairing them.
+    References come in order of time, so the commands in their window move on only: those before it are done with, and
+    those after it have the chain of the last command seen. A step therefore costs its window, not all commands.
+    Seconds are counted in billionths, so that sums are exact and ties are ties.
     """
-    delta = np.abs(a.epoch.to_numpy(float)[:, None] - b.epoch.to_numpy(float)[None, :])
-    fits = (delta <= window_s) & (a.family.to_numpy()[:, None] == b.family.to_numpy()[None, :])
-    if strict:
-        fits &= _agrees(a, b)
-    n, m = fits.shape
-    best = np.zeros((n + 1, m + 1, 2))
-
-    def beats(x: np.ndarray, y: np.ndarray) -> bool:
-        return x[0] > y[0] or (x[0] == y[0] and x[1] > y[1] + 1e-12)
-
-    way = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = [best[i - 1, j], best[i, j - 1]]
-            if fits[i - 1, j - 1]:
-                options.append(best[i - 1, j - 1] + (1.0, -delta[i - 1, j - 1]))
-            k = 0
-            for o in range(1, len(options)):
-                if beats(options[o], options[k]):
-                    k = o
-            best[i, j], way[i, j] = options[k], k
-    out, i, j = [], n, m
-    while i and j:
-        if way[i, j] == 2:
-            out.append((i - 1, j - 1))
-        i, j = i - (way[i, j] != 1), j - (way[i, j] != 0)
-    return out[::-1]
 
+    def __init__(self, commands: int):
+        self.pairs, self.time, self.last = [0] * (commands + 1), [0] * (commands + 1), [-1] * (commands + 1)
+        self.seen = 0
+        self.links: list[tuple[int, int, int]] = []
+
+    def add(self, i: int, low: int, high: int, fits: list[bool], delta: list[int]) -> None:
+        """Reference ``i`` may be paired with those of the commands from ``low`` to ``high`` that ``fits`` tells."""
+        pairs, time, last = self.pairs, self.time, self.last
+        for c in range(self.seen, high):
+            pairs[c + 1], time[c + 1], last[c + 1] = pairs[c], time[c], last[c]
+        self.seen = max(self.seen, high)
+        most, least, link = -1, 0, -1  # the reference's best pair so far; the first of equals
+        before, spent, chain = pairs[low], time[low], last[low]
+        for c, fit, gap in zip(range(low, self.seen), fits, delta):
+            if fit and (before + 1 > most or (before + 1 == most and spent + gap < least)):
+                most, least, link = before + 1, spent + gap, len(self.links)
+                self.links.append((i, c, chain))
+            before, spent, chain = pairs[c + 1], time[c + 1], last[c + 1]
+            if most > before or (most == before and least < spent):
+                pairs[c + 1], time[c + 1], last[c + 1] = most, least, link
+
+    def traced(self) -> list[tuple[int, int]]:
+        out, at = [], self.last[self.seen]
+        while at >= 0:
+            i, j, at = self.links[at]
+            out.append((i, j))
+        return out[::-1]
+
+
+def _columns(rows: pd.DataFrame | dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return rows if isinstance(rows, dict) else {c: rows[c].to_numpy() for c in rows.columns}
 
-def match_ordered(refs: DataFrame, own: DataFrame, window_s: float = 60.0, strict: bool = False) -> DataFrame:
-    """Order-preserving one-to-one matches by aircraft, family and time."""
-    return _grouped(refs, own, window_s, False, lambda a, b: ordered_pairs(a, b, window_s, strict))
 
+def ordered_pairs(a: pd.DataFrame | dict[str, np.ndarray], b: pd.DataFrame | dict[str, np.ndarray], window_s: float, strict: bool) -> list[tuple[int, int]]:
+    """Places of the one-to-one pairs in time order that are most, and of these those with the least total time difference.
 
-def greedy_pairs(a: pd.DataFrame, b: pd.DataFrame, window_s: float) -> list[tuple[int, int]]:
-    """References in order of time, each with the nearest command that is still free; ties go to the earlier one."""
-    free, times, out = np.ones(len(b), bool), b.epoch.to_numpy(float), []
-    for i, t in enumerate(a.epoch.to_numpy(float)):
-        gap = np.where(free, np.abs(times - t), np.inf)
-        j = int(gap.argmin())
-        if gap[j] <= window_s:
-            free[j] = False
+    Of equally good ways the last pair has the earliest reference, then the earliest command; so has the one before it.
+    Both sides are in order of time.
+    """
+    a, b = _columns(a), _columns(b)
+    mine, theirs = a["epoch"].astype(float), b["epoch"].astype(float)
+    own, families, chain = a["family"], b["family"], Chain(len(theirs))
+    low, high = (np.searchsorted(theirs, mine + d).tolist() for d in (-window_s - 1e-6, window_s + 1e-6))
+    for i in range(len(mine)):
+        at = slice(low[i], high[i])
+        delta = np.abs(mine[i] - theirs[at])
+        fits = (delta <= window_s) & (families[at] == own[i])
+        if strict:
+            fits &= _agrees(a, b, i, at)
+        if fits.any():
+            chain.add(i, low[i], high[i], fits.tolist(), np.rint(delta * 1e9).astype(np.int64).tolist())
+    return chain.traced()
+
+
+def match_ordered(refs: DataFrame, own: DataFrame, window_s: float = 60.0, strict: bool = False) -> DataFrame:
+    """Order-preserving one-to-one matches by aircraft, family and time."""
+    return _grouped(refs, own, window_s, ["callsign"], lambda a, b: ordered_pairs(a, b, window_s, strict))
+
+
+def _free(towards: np.ndarray, at: int) -> int:
+    """The nearest free place from ``at`` on in one direction; the way there is shortened for later searches."""
+    end = at
+    while towards[end] != end:
+        end = towards[end]
+    while towards[at] != end:
+        towards[at], at = end, towards[at]
+    return int(end)
+
+
+def greedy_pairs(a: pd.DataFrame | dict[str, np.ndarray], b: pd.DataFrame | dict[str, np.ndarray], window_s: float) -> list[tuple[int, int]]:
+    """Places of pairs: references in order of time, each with the nearest command that is still free; ties go to the
+    earlier one. Both sides are in order of time. A reference costs a search of its place, not all commands."""
+    mine, theirs = (_columns(x)["epoch"].astype(float) for x in (a, b))
+    n, out = len(theirs), []
+    before, after = np.arange(n + 1), np.arange(n + 1)  # of the first k commands, and from the k-th on: the nearest free one
+    for i, (t, place) in enumerate(zip(mine, np.searchsorted(theirs, mine))):
+        left, right = _free(before, place) - 1, _free(after, place)
+        gap_left = t - theirs[left] if left >= 0 else np.inf
+        gap_right = theirs[right] - t if right < n else np.inf
+        if min(gap_left, gap_right) <= window_s:
+            # of commands at one time the first free one
+            j = _free(after, int(np.searchsorted(theirs, theirs[left]))) if gap_left <= gap_right else right
             out.append((i, j))
+            before[j + 1], after[j] = j, j + 1
     return out
 
 
 def match_greedy(refs: DataFrame, own: DataFrame, window_s: float = 60.0) -> DataFrame:
-    return _grouped(refs, own, window_s, True, lambda a, b: greedy_pairs(a, b, window_s))
+    """One-to-one matches by aircraft and family: references in order of time, each with the nearest free command."""
+    return _grouped(refs, own, window_s, ["callsign", "family"], lambda a, b: greedy_pairs(a, b, window_s))
 
 
 def candidates(refs: DataFrame, own: DataFrame, window_s: float) -> DataFrame:
