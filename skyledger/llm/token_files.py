@@ -111,10 +111,11 @@ class ByteEncoder:
     def _part(self, part: str) -> bytes:
         """The ids of what is split from its surroundings before the model sees it."""
         if part.isascii() and part != "\n":
-            mapped = part.replace(" ", BYTE_LETTERS[32])
+            part = part.replace(" ", BYTE_LETTERS[32])
         else:
-            mapped = part.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
+            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        found, packed = self.model.tokenize(part), self.packed
+        return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
 
     def _learn(self, new: set[str]) -> None:
         known, old, behind, unseen = self.known, self.old, self.behind, []
@@ -122,11 +123,13 @@ class ByteEncoder:
             if c in old:
                 known[c] = old[c]
                 continue
-            plain = _PLAIN.fullmatch(c)
-            if not plain:
+            if c.isascii() and c.isalpha():
+                word, rest = c, ""
+            elif plain := _PLAIN.fullmatch(c):
+                word, rest = plain.groups()
+            else:
                 unseen.append(c)
                 continue
-            word, rest = plain.groups()
             if word not in known:
                 known[word] = old[word] if word in old else self._part(f" {word}")
             if rest:
@@ -201,9 +204,12 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
             packed = _lanes(rest[of_width] & np.uint32((1 << w) - 1), w)
             for block, row in zip(of_width.tolist(), packed):
                 out[block] = row.tobytes()
-    for block in np.flatnonzero(index["exceptions"]).tolist():
-        places = np.flatnonzero(over[block])
-        out[block] += places.astype("u1").tobytes() + over[block, places].astype("<u4").tobytes()
+    of_block, places = np.nonzero(over)
+    high, places = over[of_block, places].astype("<u4").tobytes(), places.astype("u1").tobytes()
+    at = 0
+    for block, n in zip(*(x.tolist() for x in (np.flatnonzero(index["exceptions"]), index["exceptions"][index["exceptions"] > 0]))):
+        out[block] += places[at : at + n] + high[4 * at : 4 * (at + n)]
+        at += n
     sizes = np.fromiter(map(len, out), np.uint64, count)
     index["start"] = np.cumsum(sizes) - sizes
     return out, index
