@@ -91,7 +91,12 @@ def flat_destination(lat: Column, lon: Column, angle: Column, dist_nm: Column) -
 
 def local_xy_nm(lat: Column, lon: Column, lat0: float = CENTRE_LAT, lon0: float = CENTRE_LON) -> tuple[Column, Column]:
     """East and north of a fixed centre on its tangent plane."""
-    return (lon - lon0) * 60.0 * F.cos(F.radians(F.lit(lat0))), (lat - lat0) * 60.0
+    return east_north_nm(lat - lat0, lon - lon0, lat0)
+
+
+def east_north_nm(north: Column, east: Column, lat0: float = CENTRE_LAT) -> tuple[Column, Column]:
+    """Differences of latitude and longitude on the tangent plane of a fixed centre."""
+    return east * 60.0 * F.cos(F.radians(F.lit(lat0))), north * 60.0
 
 
 def velocity_nm_s(track: Column, speed_mps: Column) -> tuple[Column, Column]:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo
+from skyledger.operators.cells import SHORT, STATE, near_pairs
 
-STATE = ("lat", "lon", "alt_m", "gs_mps", "trk_deg", "vs_mps")
-SHORT = {"lat": "lat", "lon": "lon", "alt_m": "alt", "gs_mps": "gs", "trk_deg": "trk", "vs_mps": "vs"}
 HORIZON_S = 300.0
 LOSS_NM, LOSS_FT, LOSS_SLACK_FT = 5.0, 1000.0, 1.0
 GATE_NM = 20.0
@@ -30,18 +27,9 @@ def once(p: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return p.select(*[F.col(n) for n in p.columns if n not in columns], made)
 
 
-def reach_nm(states: DataFrame, gate_nm: float, within_s: float) -> float:
-    """How far apart two of these aircraft can be now and still be within the gate some time soon: the gate, and what the two
-    fastest can fly towards each other. One number reaches the driver."""
-    fastest = states.agg(F.max(F.abs("gs_mps"))).first()[0] or 0.0
-    return gate_nm + 2 * fastest / geo.NM_M * within_s
-
-
-def stretch(states: DataFrame) -> float:
-    """How many times the plane's distance can be that on the earth for these aircraft, which must not lie on both sides of
-    the date line: by the latitude farthest from the equator, and a fifth more for the ellipsoid."""
-    farthest = states.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    return 1.2 * max(1.0, math.cos(math.radians(geo.CENTRE_LAT)) / max(math.cos(math.radians(farthest)), 1e-3))
+def flown_nm(within_s: float) -> Column:
+    """How far an aircraft flies at its speed over ground."""
+    return F.abs("gs_mps") / geo.NM_M * within_s
 
 
 def pairs(states: DataFrame, ordered: bool = False) -> DataFrame:
@@ -56,29 +44,23 @@ def pairs(states: DataFrame, ordered: bool = False) -> DataFrame:
 def pairs_within(states: DataFrame, radius_nm: float, ordered: bool = False) -> DataFrame:
     """Pairs of a tick that are within a radius, each once or in both orders.
 
-    States are put into cells as wide as the radius; one side is copied to the neighbouring cells, and cells are a join
-    key beside the tick, so that work follows the number of near pairs and a crowded tick is spread over tasks.
+    The distance is that on the sector's plane, over the date line too. Cells are a join key beside the tick, so that
+    work follows the number of near pairs and a crowded tick is spread over tasks.
     """
-    x, y = geo.local_xy_nm(F.col("lat"), F.col("lon"))
-    celled = states.withColumns({"cx": F.floor(x / radius_nm), "cy": F.floor(y / radius_nm)})
-    left = celled.select("tick", F.col("trajectory_id").alias("id1"), *[F.col(c).alias(f"{SHORT[c]}1") for c in STATE], "cx", "cy")
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    right = celled.withColumn("d", F.explode(around)).select(
-        "tick", F.col("trajectory_id").alias("id2"), *[F.col(c).alias(f"{SHORT[c]}2") for c in STATE],
-        (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"),
-    )
-    same = "id1 <> id2" if ordered else "id1 < id2"
-    found = with_relative(left.join(right, ["tick", "cx", "cy"]).where(same).drop("cx", "cy"))
-    return found.where(F.col("now_nm") <= radius_nm)
+    return with_relative(near_pairs(states, radius_nm, ordered=ordered, sphere=False)).where(F.col("now_nm") <= radius_nm)
+
+
+def over_date_line(degrees: Column) -> Column:
+    """A difference of longitudes, the shorter way; those under 180 degrees stay exactly as they are."""
+    return degrees - 360.0 * F.rint(degrees / 360.0)
 
 
 def with_relative(p: DataFrame) -> DataFrame:
-    """Relative position and velocity on the sector's plane, and the distance now."""
-    x1, y1 = geo.local_xy_nm(F.col("lat1"), F.col("lon1"))
-    x2, y2 = geo.local_xy_nm(F.col("lat2"), F.col("lon2"))
+    """Relative position and velocity on the sector's plane, the shorter way round the earth, and the distance now."""
+    rx, ry = geo.east_north_nm(F.col("lat2") - F.col("lat1"), over_date_line(F.col("lon2") - F.col("lon1")))
     vx1, vy1 = geo.velocity_nm_s(F.col("trk1"), F.col("gs1"))
     vx2, vy2 = geo.velocity_nm_s(F.col("trk2"), F.col("gs2"))
-    out = once(p, {"rx": x2 - x1, "ry": y2 - y1, "vx": vx2 - vx1, "vy": vy2 - vy1})
+    out = once(p, {"rx": rx, "ry": ry, "vx": vx2 - vx1, "vy": vy2 - vy1})
     return out.withColumn("now_nm", F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry")))
 
 
@@ -93,8 +75,8 @@ def with_cpa(p: DataFrame, horizon_s: float = HORIZON_S) -> DataFrame:
 
 
 def approaches(states: DataFrame, gate_nm: float, horizon_s: float = HORIZON_S) -> DataFrame:
-    """Pairs whose closest approach within the horizon is under the gate; found by cells as wide as they can reach."""
-    found = with_cpa(pairs_within(states, reach_nm(states, gate_nm, horizon_s)), horizon_s)
+    """Pairs whose closest approach within the horizon is under the gate; found by cells as wide as those of a speed can reach."""
+    found = with_cpa(near_pairs(states, gate_nm, flown_nm(horizon_s), sphere=False), horizon_s)
     return found.where(F.col("cpa_nm") < gate_nm)
 
 
@@ -131,7 +113,7 @@ def directed_conflicts(states: DataFrame, zone_m: float = 9260.0, height_m: floa
     Distances take the earth's radius at the pair's mean latitude; ``radius='sum'`` takes it at the sum, for results
     that are to match systems which do so.
     """
-    p = pairs_within(states, stretch(states) * reach_nm(states, zone_m / geo.NM_M, lookahead_s), ordered=True).drop("rx", "ry", "vx", "vy", "now_nm")
+    p = near_pairs(states, zone_m / geo.NM_M, flown_nm(lookahead_s), ordered=True)
     a = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
     dist = geo.distance_nm(*a) * geo.NM_M
     if radius == "sum":
@@ -189,14 +171,13 @@ def contacts(
     Modes are ``horizontal``, ``spatial``, ``temporal`` and ``combined``. The speed is the ground speed.
     """
     # kept are pairs within ``observe_km``, or that come near enough, or whose courses cross, within the look-ahead
-    reach = reach_nm(states, max(observe_km, horizontal_km) * 1000 / geo.NM_M, lookahead_s)
-    p = pairs_within(states, stretch(states) * reach, ordered=True).drop("rx", "ry", "vx", "vy", "now_nm")
+    p = near_pairs(states, max(observe_km, horizontal_km, collide_km) * 1000 / geo.NM_M, flown_nm(lookahead_s), ordered=True)
     mid = F.radians((F.col("lat1") + F.col("lat2")) / 2)
     speed = lambda n: F.col(f"gs{n}") / 1000.0
     east = lambda n: speed(n) * F.sin(F.radians(f"trk{n}"))
     north = lambda n: speed(n) * F.cos(F.radians(f"trk{n}"))
     p = once(p, {
-        "x": (F.col("lon2") - F.col("lon1")) * 111.32 * F.cos(mid), "y": (F.col("lat2") - F.col("lat1")) * 110.57,
+        "x": over_date_line(F.col("lon2") - F.col("lon1")) * 111.32 * F.cos(mid), "y": (F.col("lat2") - F.col("lat1")) * 110.57,
         "u1": east(1), "w1": north(1), "u2": east(2), "w2": north(2),
         "horiz_km": geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), "vert_ft": vertical_ft(),
     })
@@ -206,7 +187,8 @@ def contacts(
     p = p.withColumn("tcpa", F.greatest(F.lit(0.0), F.least(F.lit(lookahead_s), F.coalesce("raw_tcpa", F.lit(lookahead_s)))))
     climb = (F.col("vs2") - F.col("vs1")) / 0.3048
     p = once(p, {
-        "tcpa": F.col("tcpa"), "t1": (F.col("u2") * F.col("y") - F.col("w2") * F.col("x")) / F.col("det"), "t2": (F.col("u1") * F.col("y") - F.col("w1") * F.col("x")) / F.col("det"),
+        "tcpa": F.col("tcpa"), "t1": F.when(F.abs("det") > 1e-9, (F.col("u2") * F.col("y") - F.col("w2") * F.col("x")) / F.col("det")),
+        "t2": F.when(F.abs("det") > 1e-9, (F.col("u1") * F.col("y") - F.col("w1") * F.col("x")) / F.col("det")),
         "dcpa_km": F.sqrt((F.col("x") + du * F.col("tcpa")) ** 2 + (F.col("y") + dw * F.col("tcpa")) ** 2),
         "later_ft": F.abs((F.col("alt2") - F.col("alt1")) / 0.3048 + climb * F.col("tcpa")),
     })
