@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.operators import pairs as P
 from skyledger.operators import policy as L
+from skyledger.operators.gating import gate_step
 from skyledger.plans import oracle as O
 from skyledger.registry import query
 from skyledger.sources import adapters as A
@@ -162,42 +165,57 @@ _REJECT = "callsign string, event_id long, accepted boolean, reason string"
 
 def gate(rows: pd.DataFrame, cooldown_s: float = 7200.0, axis_s: float = 14400.0, memory_s: float = 86400.0) -> pd.DataFrame:
     """Accept or reject one aircraft's candidates in order of time; what is accepted starts the next pauses."""
-    any_until, until, last, out = float("-inf"), {}, {}, []
+    state, out = None, []
     for r in rows.sort_values(["epoch", "event_id"]).itertuples():
-        previous, reason = last.get(r.family), ""
-        if r.epoch < any_until:
-            reason = "aircraft cooldown"
-        elif r.epoch < until.get(r.family, float("-inf")):
-            reason = "axis cooldown"
-        elif previous and previous[0] == r.target and r.epoch - previous[1] < memory_s:
-            reason = "repeated target"
+        state, reason = gate_step(state, r, cooldown_s, axis_s, memory_s)
         out.append((r.callsign, r.event_id, not reason, reason))
-        if not reason:
-            any_until, until[r.family], last[r.family] = r.epoch + cooldown_s, r.epoch + axis_s, (r.target, r.epoch)
     return pd.DataFrame(out, columns=["callsign", "event_id", "accepted", "reason"])
 
 
-MEMORY_S = 86400.0
+def gated(commands: DataFrame, cooldown_s: float = 7200.0, axis_s: float = 14400.0, memory_s: float = 86400.0) -> DataFrame:
+    """``callsign, event_id, accepted, reason`` of all aircraft: a task walks through its aircraft in order of time, batch by
+    batch, and carries an aircraft's few numbers on from one batch to the next, so no history has to fit into memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                if r.callsign != name:
+                    name, state = r.callsign, None
+                state, reason = gate_step(state, r, cooldown_s, axis_s, memory_s)
+                out.append((r.callsign, r.event_id, not reason, reason))
+            yield pd.DataFrame(out, columns=["callsign", "event_id", "accepted", "reason"])
+
+    return commands.repartition("callsign").sortWithinPartitions("callsign", "epoch", "event_id").mapInPandas(run, _REJECT)
+
+
 _GATED = """SELECT event_id, callsign, n, true AS accepted, '' AS reason, epoch + 7200 AS any_until, CASE WHEN alt THEN epoch + 14400 ELSE -1.0::DOUBLE END AS ua, CASE WHEN alt THEN -1.0::DOUBLE ELSE epoch + 14400 END AS us,
         CASE WHEN alt THEN target END AS ta, CASE WHEN alt THEN epoch END AS ea, CASE WHEN NOT alt THEN target END AS ts, CASE WHEN NOT alt THEN epoch END AS es FROM k WHERE n = 1
     UNION ALL SELECT event_id, callsign, n, why = '', why, CASE WHEN why = '' THEN epoch + 7200 ELSE any_until END, CASE WHEN why = '' AND alt THEN epoch + 14400 ELSE ua END, CASE WHEN why = '' AND NOT alt THEN epoch + 14400 ELSE us END,
         CASE WHEN why = '' AND alt THEN target ELSE ta END, CASE WHEN why = '' AND alt THEN epoch ELSE ea END, CASE WHEN why = '' AND NOT alt THEN target ELSE ts END, CASE WHEN why = '' AND NOT alt THEN epoch ELSE es END
     FROM (SELECT k.event_id, k.callsign, k.n, k.epoch, k.alt, k.target, w.any_until, w.ua, w.us, w.ta, w.ea, w.ts, w.es, CASE WHEN k.epoch < w.any_until THEN 'aircraft cooldown' WHEN k.epoch < CASE WHEN k.alt THEN w.ua ELSE w.us END THEN 'axis cooldown'
-        WHEN coalesce(CASE WHEN k.alt THEN w.ta = k.target AND k.epoch - w.ea < 86400 ELSE w.ts = k.target AND k.epoch - w.es < 86400 END, false) THEN 'repeated target' ELSE '' END AS why FROM k JOIN walk w ON k.callsign = w.callsign AND k.n = w.n + 1)"""
+        WHEN coalesce(CASE WHEN k.alt THEN w.ta = k.target AND k.epoch - w.ea < 86400 ELSE w.ts = k.target AND k.epoch - w.es < 86400 END, false) THEN 'repeated target'
+        WHEN k.alt AND coalesce((k.phase = 'departure' AND k.target < w.ta) OR (k.phase = 'arrival' AND k.target > w.ta), false) THEN 'regressive altitude'
+        WHEN NOT k.alt AND coalesce((w.ts - k.speed) * (k.target - k.speed) < 0, false) THEN 'speed reversal' ELSE '' END AS why FROM k JOIN walk w ON k.callsign = w.callsign AND k.n = w.n + 1)"""
 
 
-@query("cooldown_gate", O.with_views("SELECT callsign, event_id, accepted, reason FROM walk", "sys", k="SELECT *, family = 'altitude' AS alt, row_number() OVER (PARTITION BY callsign ORDER BY epoch, event_id) AS n FROM sys", walk=_GATED).replace("WITH ", "WITH RECURSIVE ", 1))
-def cooldown_gate(spark, folder):
-    """Commands that the pauses after accepted commands let through.
+_PHASED = "SELECT *, family = 'altitude' AS alt, CASE event_id % 3 WHEN 0 THEN 'departure' WHEN 1 THEN 'arrival' ELSE 'enroute' END AS phase, CAST(200 + 10 * (event_id % 9) AS DOUBLE) AS speed, row_number() OVER (PARTITION BY callsign ORDER BY epoch, event_id) AS n FROM sys"
+#: Walks the commands ``k`` of each aircraft; the streaming gate has the same twin.
+GATE_SQL = O.with_views("SELECT callsign, event_id, accepted, reason FROM walk", "sys", k=_PHASED, walk=_GATED).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def with_phase(commands: DataFrame) -> DataFrame:
+    """Commands with the phase of flight and the ground speed that the gate looks at."""
+    k = c("event_id") % 3
+    return commands.withColumns({"phase": F.when(k == 0, "departure").when(k == 1, "arrival").otherwise("enroute"), "ground_speed_kt": (200 + 10 * (c("event_id") % 9)).cast("double")})
 
-    No pause or memory outlasts ``MEMORY_S``, so an aircraft's commands are gated apart where a gap is as long; a
-    group is one such stretch, however long the history is.
-    """
+
+@query("cooldown_gate", GATE_SQL)
+def cooldown_gate(spark, folder):
+    """Commands that the pauses and targets of accepted commands let through, with the reason against the others."""
     own = A.system_commands(spark, folder).select("callsign", "event_id", "family", "target", "epoch")
-    order = Window.partitionBy("callsign").orderBy("epoch", "event_id")
-    starts = F.coalesce((c("epoch") - F.lag("epoch").over(order) >= MEMORY_S).cast("long"), F.lit(1).cast("long"))
-    stretches = own.withColumn("starts", starts).withColumn("stretch", F.sum("starts").over(order)).drop("starts")
-    return stretches.groupBy("callsign", "stretch").applyInPandas(lambda rows: gate(rows, memory_s=MEMORY_S), _REJECT)
+    return gated(with_phase(own))
 
 
 # -- scenes and stores --------------------------------------------------------------------------------------------------

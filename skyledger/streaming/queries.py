@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyledger.operators.policy_queries import GATE_SQL, with_phase
 from skyledger.plans import oracle as O
 from skyledger.registry import query
 from skyledger.streaming import operators as S
 from skyledger.streaming import stateful as K
-from skyledger.streaming.runs import finished, stream_table
+from skyledger.streaming.runs import as_stream, finished, folded, stream_table
 
 c = F.col
 _HOURS = "CAST(floor(t / {w}) * {w} AS BIGINT) AS start_s"
@@ -77,35 +78,47 @@ def stream_track_ingest(spark, folder):
     return finished(S.command_dedup(track(spark, folder)), "append", ["event_id"]).groupBy("trajectory_id").agg(F.count("*").alias("reports"))
 
 
-_GATE = """WITH RECURSIVE track_sys AS (SELECT event_id, 'CES' || CAST(100 + user_id AS VARCHAR) AS callsign, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS epoch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('click', 'view')),
-    walk AS (SELECT event_id, callsign, n, true AS accepted, epoch + 7200 AS until FROM track_sys WHERE n = 1 UNION ALL SELECT s.event_id, s.callsign, s.n, s.epoch >= w.until, CASE WHEN s.epoch >= w.until THEN s.epoch + 7200 ELSE w.until END FROM track_sys s JOIN walk w ON s.callsign = w.callsign AND s.n = w.n + 1)
-    SELECT callsign, event_id, accepted FROM walk"""
-
-
-@query("stream_cooldown_gate", _GATE)
+@query("stream_cooldown_gate", GATE_SQL)
 def stream_cooldown_gate(spark, folder):
+    """The gate on a stream of commands: the same rules, row for row, as on a table."""
     e = stream_table(spark, folder, "events").where(c("event_type").isin("click", "view"))
-    commands = e.select("event_id", c("ts").cast("timestamp").alias("time"), F.concat(F.lit("CES"), (100 + c("user_id")).cast("string")).alias("callsign"), (F.unix_micros(c("ts").cast("timestamp")).cast("double") / 1000000).alias("epoch"))
-    return finished(K.cooldown_gate(commands), "append", ["event_id"])
+    altitude, i = c("event_id") % 2 == 0, c("event_id")
+    commands = e.select(
+        i, c("ts").cast("timestamp").alias("time"), F.concat(F.lit("CES"), (100 + c("user_id")).cast("string")).alias("callsign"), F.when(altitude, "altitude").otherwise("speed").alias("family"),
+        F.when(altitude, 300 * (i % 20) + 1200).otherwise(200 + 10 * (i % 12)).cast("double").alias("target"), (F.unix_micros(c("ts").cast("timestamp")).cast("double") / 1000000).alias("epoch"),
+    )
+    return folded(K.cooldown_gate(with_phase(commands)))
 
 
 _NUMBERED = "SELECT *, CASE WHEN event_id % 6 = 0 THEN alt_m + 600 END AS target_m, CAST(event_id * 17 % 101 AS DOUBLE) AS risk, row_number() OVER (PARTITION BY trajectory_id ORDER BY t, event_id) AS n FROM track_path"
-_EXECUTED = """SELECT trajectory_id, n, target_m AS target, t AS since, NULL::VARCHAR AS outcome, 0.0::DOUBLE AS seconds FROM x WHERE n = 1
-    UNION ALL SELECT x.trajectory_id, x.n, CASE WHEN x.target_m IS NOT NULL THEN x.target_m WHEN abs(x.alt_m - w.target) <= 300 THEN NULL ELSE w.target END, CASE WHEN x.target_m IS NOT NULL THEN x.t ELSE w.since END,
-    CASE WHEN abs(x.alt_m - w.target) <= 300 THEN 'reached' WHEN w.target IS NOT NULL AND x.target_m IS NOT NULL THEN 'superseded' END, x.t - w.since FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1"""
-_STALLED = """SELECT trajectory_id, n, risk AS best, 0 AS stalled, false AS told FROM x WHERE n = 1
-    UNION ALL SELECT x.trajectory_id, x.n, CASE WHEN x.risk < w.best OR w.stalled = 1 THEN x.risk ELSE w.best END, CASE WHEN x.risk < w.best OR w.stalled = 1 THEN 0 ELSE w.stalled + 1 END, x.risk >= w.best AND w.stalled = 1
-    FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1"""
+_KINDS = """SELECT trajectory_id, event_id, t, kind, CASE kind WHEN 'altitude' THEN alt_m ELSE gs_mps + event_id % 23 END AS value, CASE kind WHEN 'altitude' THEN 300.0::DOUBLE ELSE 5.0::DOUBLE END AS tolerance,
+    CASE WHEN kind = 'altitude' AND event_id % 6 = 0 THEN alt_m + 600 WHEN kind = 'speed' AND event_id % 5 = 0 THEN gs_mps + event_id % 23 + 10 END AS target, row_number() OVER (PARTITION BY trajectory_id, kind ORDER BY t, event_id) AS n FROM track_path CROSS JOIN (VALUES ('altitude'), ('speed')) v(kind)"""
+_EXECUTED = """SELECT trajectory_id, kind, n, target AS goal, CASE WHEN target IS NOT NULL THEN t END AS since, value AS start, false AS begun, NULL::VARCHAR AS told, CASE WHEN target IS NOT NULL THEN 'planned' END AS given, CAST(NULL AS DOUBLE) AS seconds FROM x WHERE n = 1
+    UNION ALL SELECT trajectory_id, kind, n, CASE WHEN target IS NOT NULL THEN target WHEN near THEN NULL ELSE goal END, CASE WHEN target IS NOT NULL THEN t ELSE since END, CASE WHEN target IS NOT NULL THEN value ELSE start END,
+        CASE WHEN target IS NOT NULL THEN false ELSE begun OR coalesce(moves, false) END, CASE WHEN near THEN 'reached' WHEN moves AND target IS NOT NULL THEN 'executing,superseded' WHEN moves THEN 'executing' WHEN goal IS NOT NULL AND target IS NOT NULL THEN 'superseded' END,
+        CASE WHEN target IS NOT NULL THEN 'planned' END, t - since
+    FROM (SELECT x.*, w.goal, w.since, w.start, w.begun, abs(x.value - w.goal) <= x.tolerance AS near, abs(x.value - w.goal) > x.tolerance AND NOT w.begun AND (x.t - w.since > 300 OR abs(x.value - w.goal) <= 0.9::DOUBLE * abs(w.goal - w.start)) AS moves
+        FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.kind = w.kind AND x.n = w.n + 1)"""
+_STALLED = """SELECT trajectory_id, n, risk AS best, 0 AS stalled, CAST(NULL AS DOUBLE) AS until, false AS told FROM x WHERE n = 1
+    UNION ALL SELECT trajectory_id, n, CASE WHEN paused THEN best WHEN better OR stuck THEN risk ELSE best END, CASE WHEN paused THEN stalled WHEN better OR stuck THEN 0 ELSE stalled + 1 END,
+        CASE WHEN paused THEN until WHEN NOT better AND stuck THEN t + 7200 END, NOT paused AND NOT better AND stuck
+    FROM (SELECT x.*, w.best, w.stalled, w.until, coalesce(x.t < w.until, false) AS paused, x.risk < w.best AS better, w.stalled = 1 AS stuck FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1)"""
 
 
-def walked(body: str, walk: str) -> str:
-    return path(body, x=_NUMBERED, walk=walk).replace("WITH ", "WITH RECURSIVE ", 1)
+def walked(body: str, walk: str, rows: str = _NUMBERED, **own: str) -> str:
+    return path(body, x=rows, walk=walk, **own).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("stream_command_execution", walked("SELECT outcome, count(*) AS n, round(avg(seconds), 3) AS mean_s FROM walk WHERE outcome IS NOT NULL GROUP BY 1", _EXECUTED))
+@query("stream_command_execution", walked("SELECT kind, status, count(*) AS n, round(avg(seconds), 3) AS mean_s FROM (SELECT kind, unnest(string_split(told, ',')) AS status, seconds FROM walk UNION ALL SELECT kind, given, 0.0::DOUBLE FROM walk WHERE given IS NOT NULL) GROUP BY 1, 2", _EXECUTED, _KINDS))
 def stream_command_execution(spark, folder):
-    found = finished(K.command_execution(timed(spark, folder)), "append", ["command_id"])
-    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 3).alias("mean_s"))
+    """How many commands of a kind were planned, carried out, reached and superseded, and after how long."""
+    speed = c("gs_mps") + c("event_id") % 23
+    kinds = [
+        F.struct(F.lit("altitude").alias("kind"), c("alt_m").alias("value"), c("target_m").alias("target"), F.lit(300.0).alias("tolerance")),
+        F.struct(F.lit("speed").alias("kind"), speed.alias("value"), F.when(c("event_id") % 5 == 0, speed + 10).alias("target"), F.lit(5.0).alias("tolerance")),
+    ]
+    reports = timed(spark, folder).select("trajectory_id", "time", "t", "event_id", F.inline(F.array(*kinds)))
+    return folded(K.command_execution(reports)).groupBy("kind", "status").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 3).alias("mean_s"))
 
 
 _ISLAND = "SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM track_path"
@@ -113,19 +126,19 @@ _ISLAND = "SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY
 
 @query("stream_clear_window", path("SELECT trajectory_id, arg_min(event_id, t) AS event_id FROM (SELECT *, min(t) OVER (PARTITION BY trajectory_id, k) AS since FROM g WHERE inside) WHERE t - since >= 7200 GROUP BY trajectory_id, k", g=_ISLAND))
 def stream_clear_window(spark, folder):
-    return finished(K.clear_window(timed(spark, folder).withColumn("clear", c("inside")), 7200.0), "append", ["event_id"])
+    return folded(K.clear_window(timed(spark, folder).withColumn("clear", c("inside")), 7200.0))
 
 
 @query("stream_replan_stall", walked("SELECT trajectory_id, count(*) AS replans FROM walk WHERE told GROUP BY 1", _STALLED))
 def stream_replan_stall(spark, folder):
     risks = timed(spark, folder).withColumn("risk", (c("event_id") * 17 % 101).cast("double"))
-    return finished(K.replan_stall(risks), "append", ["event_id"]).groupBy("trajectory_id").agg(F.count("*").alias("replans"))
+    return folded(K.replan_stall(risks)).groupBy("trajectory_id").agg(F.count("*").alias("replans"))
 
 
 @query("stream_adsb_fusion", path("SELECT trajectory_id, count(*) AS complete FROM (SELECT *, max(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END) OVER w AS kinds FROM track_path WINDOW w AS (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)) WHERE kinds = 4 GROUP BY 1"))
 def stream_adsb_fusion(spark, folder):
     messages = timed(spark, folder).withColumn("kind", c("event_id") % 4)
-    return finished(K.message_fusion(messages), "append", ["trajectory_id"]).groupBy("trajectory_id").agg(F.count("*").alias("complete"))
+    return folded(K.message_fusion(messages)).groupBy("trajectory_id").agg(F.count("*").alias("complete"))
 
 
 _MONITOR = {
@@ -143,8 +156,32 @@ def stream_conflict_monitor(spark, folder):
     return found.groupBy(F.unix_seconds("at").alias("start_s")).agg(F.count("*").alias("n_pairs"))
 
 
-@query("stream_conflict_tracker", path("SELECT event_id, trajectory_id, CASE WHEN alert THEN 'new' ELSE 'cleared' END AS status FROM (SELECT *, NOT inside AS alert, lag(NOT inside) OVER (PARTITION BY trajectory_id ORDER BY t, event_id) AS was FROM track_path) WHERE (alert AND NOT coalesce(was, false)) OR (NOT alert AND was)"))
+_COMMANDS = """SELECT trajectory_id, n, target_m AS target FROM x WHERE n = 1
+    UNION ALL SELECT x.trajectory_id, x.n, CASE WHEN x.target_m IS NOT NULL THEN x.target_m WHEN abs(x.alt_m - w.target) <= 300 THEN NULL ELSE w.target END FROM x JOIN walk w ON x.trajectory_id = w.trajectory_id AND x.n = w.n + 1"""
+_SIX = "CAST(floor(t / 21600) AS BIGINT)"
+_CLOSEST = "sqrt(pow(rx + vx * {0}, 2) + pow(ry + vy * {0}, 2))"
+_FREE = "CASE WHEN vx * vx + vy * vy <= 1e-12 THEN 0 ELSE greatest(0.0::DOUBLE, least({0}::DOUBLE, -(rx * vx + ry * vy) / (vx * vx + vy * vy))) END"
+_TRACKED = {
+    "of_tick": f"""SELECT x.*, {_SIX} AS six, walk.target IS NOT NULL AS pending, bool_or(x.target_m IS NOT NULL) OVER (PARTITION BY x.trajectory_id, {_SIX}) AS issued FROM x JOIN walk ON x.trajectory_id = walk.trajectory_id AND x.n = walk.n
+        QUALIFY row_number() OVER (PARTITION BY x.trajectory_id, {_SIX} ORDER BY x.n DESC) = 1""",
+    "met": """SELECT a.six, a.trajectory_id AS id1, b.trajectory_id AS id2, a.issued OR b.issued AS issued, a.pending OR b.pending AS pending, abs(a.alt_m - b.alt_m) / 0.3048::DOUBLE AS vsep,
+        (b.lon - a.lon) * 60 * cos(radians(30.92095)) AS rx, (b.lat - a.lat) * 60 AS ry, b.gs_mps / 1852 * sin(radians(b.trk_deg)) - a.gs_mps / 1852 * sin(radians(a.trk_deg)) AS vx,
+        b.gs_mps / 1852 * cos(radians(b.trk_deg)) - a.gs_mps / 1852 * cos(radians(a.trk_deg)) AS vy FROM of_tick a JOIN of_tick b ON a.six = b.six AND a.trajectory_id < b.trajectory_id""",
+    "seen": f"""SELECT *, {_CLOSEST.format(_FREE.format(300))} AS near_nm, {_CLOSEST.format(_FREE.format(600))} AS later_nm, sqrt(rx * rx + ry * ry) AS now_nm FROM met WHERE sqrt(rx * rx + ry * ry) <= 40""",
+    "told": """SELECT *, row_number() OVER (PARTITION BY id1, id2 ORDER BY six) AS k, CASE WHEN now_nm < 5 AND vsep < 1000 THEN 'Loss' WHEN issued THEN 'Issued' WHEN pending THEN 'Executing' WHEN near_nm < 5 AND vsep < 1000 THEN 'Detected' WHEN later_nm < 8 AND vsep < 2000 THEN 'Monitoring' ELSE 'Removed' END AS now_is,
+        (now_nm < 5 OR near_nm < 5) AND vsep < 1000 AS begins FROM seen""",
+    "life": """SELECT id1, id2, k, six, begins AS live, CASE WHEN begins THEN six END AS since, CASE WHEN begins THEN now_is END AS status, begins AS changed, false AS gone, CAST(NULL AS BIGINT) AS gone_since, CAST(NULL AS BIGINT) AS gone_six FROM told WHERE k = 1
+        UNION ALL SELECT id1, id2, k, six, kept AND now_is <> 'Removed', CASE WHEN NOT kept THEN NULL WHEN stays THEN since ELSE six END, CASE WHEN kept THEN now_is END, kept AND (NOT stays OR now_is <> status), live AND NOT stays, since, last_six
+        FROM (SELECT t.*, l.live, l.since, l.status, l.six AS last_six, l.live AND t.six - l.six <= 1 AS stays, (l.live AND t.six - l.six <= 1) OR t.begins AS kept FROM told t JOIN life l ON l.id1 = t.id1 AND l.id2 = t.id2 AND t.k = l.k + 1)""",
+}
+
+
+@query("stream_conflict_tracker", walked("""SELECT id1, id2, CAST(six * 21600 AS DOUBLE) AS t, status, CAST(since * 21600 AS DOUBLE) AS first FROM life WHERE changed
+    UNION ALL SELECT id1, id2, CAST((gone_six + 1) * 21600 AS DOUBLE), 'Removed', CAST(gone_since * 21600 AS DOUBLE) FROM life WHERE gone""", _COMMANDS, **_TRACKED))
 def stream_conflict_tracker(spark, folder):
-    """When each aircraft's alert (here: its error reports) begins and ends."""
-    flags = timed(spark, folder).withColumn("alert", ~c("inside"))
-    return finished(K.life_cycle(flags), "append", ["event_id"]).select("event_id", "trajectory_id", "status")
+    """The life of each pair's conflict in ticks of six hours. Three queries, each taking up the last one's files: reports
+    with their commands by aircraft, the last of a tick; pairs of a tick; and their life by pair."""
+    reports = as_stream(folded(K.with_commands(timed(spark, folder))), "commanded")
+    states = finished(K.latest_of_tick(reports, "6 hours"), "update", ["tick", "trajectory_id"])
+    pairs = as_stream(K.watched_pairs(states), "watched")
+    return folded(K.conflict_life(pairs, 21600.0))
