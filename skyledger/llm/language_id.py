@@ -24,8 +24,8 @@ ITERATIONS = 15
 #: Penalty of one more language, in units of half the logarithm of the number of words.
 PENALTY = 4.0
 UNKNOWN = "und"
-#: So many values of ``lang`` at most, for the model and the words a worker keeps to have a bound; more raise an error.
-MOST_LANGUAGES = 200
+#: Up to so many languages have all buckets; with twice as many, half the buckets, and so on, so that a model has a bound.
+FULL_LANGUAGES = 200
 #: Different words that a task holds before they are folded into trigram counts, and that a worker's cache keeps.
 HELD_WORDS = 200_000
 
@@ -84,63 +84,78 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """``log_p[bucket, language]`` for ``langs``, in order of name."""
+    """``log_p[bucket, language]`` for ``langs``, in order of name; a trigram's bucket is its full one without ``shift`` bits."""
 
     langs: tuple[str, ...]
     log_p: np.ndarray
+    shift: int = 0
 
 
 def fit(labelled: DataFrame) -> Model:
     """Trigram models of every language of ``labelled(text, lang)``.
 
-    Rows without a language don't count. What reaches the driver is at most ``MOST_LANGUAGES`` x ``BUCKETS`` sums: more
-    values of ``lang`` are an error, as they are not languages.
+    Rows without a language don't count. Any number of languages may be learned: what reaches the driver is at most
+    ``FULL_LANGUAGES`` x ``BUCKETS`` sums, as more languages share fewer buckets.
     """
-    if labelled.where("lang is not null and text is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    rows = count_trigrams(labelled.where("lang is not null and text is not null")).toPandas()
+    known = labelled.where("lang is not null and text is not null")
+    number = known.agg(F.count_distinct("lang")).first()[0]
+    shift = next(k for k in range(BUCKETS.bit_length()) if number <= FULL_LANGUAGES << k or BUCKETS >> k == 1)
+    buckets = BUCKETS >> shift
+    counted = count_trigrams(known)
+    if shift:
+        counted = counted.groupBy("lang", F.shiftright("bucket", shift).alias("bucket")).agg(F.sum("n").alias("n"))
+    rows = counted.toPandas()
     langs = tuple(sorted(rows["lang"].unique()))
-    counts = np.zeros((BUCKETS, len(langs)))
+    counts = np.zeros((buckets, len(langs)))
     if langs:
         at = rows["lang"].map({lang: k for k, lang in enumerate(langs)}).to_numpy()
         counts[rows["bucket"].to_numpy(), at] = rows["n"].to_numpy()
-    return Model(langs, np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32))
+    return Model(langs, np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * buckets)).astype(np.float32), shift)
 
 
-def mixture(likelihood: np.ndarray, starts: np.ndarray, allowed: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def mixture(
+    likelihood: np.ndarray, starts: np.ndarray, allowed: np.ndarray, scale: np.ndarray, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihoods of documents by expectation-maximisation.
 
     ``likelihood``: words x languages, each row scaled to a maximum of 1 and the scale's logarithm in ``scale``;
-    ``starts``: each document's first word; ``allowed``: documents x languages that it may consist of.
+    ``starts``: each document's first word; ``allowed``: documents x languages that it may consist of; ``weights``: how
+    often a document has each of its words, once by default.
     """
-    sizes = np.diff(np.append(starts, len(likelihood)))
+    lengths = np.diff(np.append(starts, len(likelihood)))
+    weights = np.ones(len(likelihood)) if weights is None else weights
+    words = np.add.reduceat(weights, starts)
     share = allowed / allowed.sum(1, keepdims=True)
     for _ in range(ITERATIONS):
-        joint = likelihood * np.repeat(share, sizes, axis=0)
-        joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
-    total = np.log(np.maximum((likelihood * np.repeat(share, sizes, axis=0)).sum(1), 1e-30)) + scale
-    return share, np.add.reduceat(total, starts)
+        joint = likelihood * np.repeat(share, lengths, axis=0)
+        joint *= (weights / np.maximum(joint.sum(1), 1e-30))[:, None]
+        share = np.add.reduceat(joint, starts, axis=0) / words[:, None]
+    total = np.log(np.maximum((likelihood * np.repeat(share, lengths, axis=0)).sum(1), 1e-30)) + scale
+    return share, np.add.reduceat(weights * total, starts)
 
 
-def infer(log_words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Documents x languages: the proportions in the best set of languages. ``sizes``: words of each document, none 0."""
+def infer(log_words: np.ndarray, sizes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Documents x languages: the proportions in the best set of languages. ``sizes``: different words of each document,
+    none 0; ``weights``: how often it has each, once by default."""
     docs, langs = len(sizes), log_words.shape[1]
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    weights = np.ones(len(log_words)) if weights is None else weights
     scale = log_words.max(1)
     likelihood = np.exp(log_words - scale[:, None])
     if langs == 1:
         return np.ones((docs, 1))
-    ranking, _ = mixture(likelihood, starts, np.ones((docs, langs)), scale)
+    ranking, _ = mixture(likelihood, starts, np.ones((docs, langs)), scale, weights)
     ranks = np.argsort(np.argsort(-ranking, axis=1, kind="stable"), axis=1)
     best = (ranks == 0).astype(float)
-    at_best = np.add.reduceat(np.log(np.maximum((likelihood * np.repeat(best, sizes, axis=0)).sum(1), 1e-30)) + scale, starts)
+    at_best = np.log(np.maximum((likelihood * np.repeat(best, sizes, axis=0)).sum(1), 1e-30)) + scale
+    at_best = np.add.reduceat(weights * at_best, starts)
+    cost = PENALTY * 0.5 * np.log(np.maximum(np.add.reduceat(weights, starts), 2))
     live = np.arange(docs)
     for k in range(2, langs + 1):  # only documents that gained by the last language are asked about the next
         words = np.repeat(np.isin(np.arange(docs), live), sizes)
         own = np.concatenate(([0], np.cumsum(sizes[live])[:-1]))
-        share, total = mixture(likelihood[words], own, (ranks[live] < k).astype(float), scale[words])
-        gained = total - at_best[live] > PENALTY * 0.5 * np.log(np.maximum(sizes[live], 2))
+        share, total = mixture(likelihood[words], own, (ranks[live] < k).astype(float), scale[words], weights[words])
+        gained = total - at_best[live] > cost[live]
         best[live[gained]], at_best[live[gained]] = share[gained], total[gained]
         live = live[gained]
         if not len(live):
@@ -150,7 +165,7 @@ def infer(log_words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 #: Log-likelihoods that a worker's cache of words has room for.
 CACHE_FLOATS = 4_000_000
-#: Words of a batch that go through the arrays at a time.
+#: Different words of a batch's documents that go through the arrays at a time; fewer for more than 20 languages.
 BATCH_WORDS = 200_000
 
 
@@ -158,13 +173,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keys: list[st
     """The columns ``keys``, ``lang_pred``, ``score`` (the predicted language's proportion) and ``n_langs``.
 
     ``und`` with score 0 if the text is null or has no letter, or if no language was learned. Of equal proportions
-    the language that comes first by name wins. Whole texts are used; long ones in one piece.
+    the language that comes first by name wins. Whole texts are used; equal words of a text are one row with a weight, so
+    a very long text takes the room of its different words.
     """
     keys = keys or []
-    langs, shared = model.langs, docs.sparkSession.sparkContext.broadcast(model.log_p)
+    langs, model_shift, shared = model.langs, model.shift, docs.sparkSession.sparkContext.broadcast(model.log_p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = shared.value
+        log_p, shift = shared.value, model_shift
+        batch_words = min(BATCH_WORDS, max(1, CACHE_FLOATS // max(1, len(langs))))
         index: dict[str, int] = {}
         held = min(HELD_WORDS, CACHE_FLOATS // max(1, len(langs)))
         rows = np.zeros((held, len(langs)), np.float32)
@@ -185,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keys: list[st
 
         def scored(words: list[str]) -> np.ndarray:
             grams, lengths = trigram_buckets(words)
-            return np.add.reduceat(log_p[grams], np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0)
+            return np.add.reduceat(log_p[grams >> shift], np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0)
 
         for batch in batches:
             n = batch.num_rows
@@ -194,17 +211,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keys: list[st
             at = 0
             while at < n:
                 words: list[str] = []
+                weights: list[int] = []
                 who, sizes = [], []
-                while at < n and len(words) < BATCH_WORDS:
+                while at < n and len(words) < batch_words:
                     text = texts[at].as_py()
                     if langs and has_letter(text):
-                        found = words_of(text)
+                        found = Counter(words_of(text))
                         words += found
+                        weights += found.values()
                         who.append(at)
                         sizes.append(len(found))
                     at += 1
                 if who:
-                    shares = infer(look_up(words).astype(np.float64), np.array(sizes))
+                    shares = infer(look_up(words).astype(np.float64), np.array(sizes), np.array(weights, float))
                     for i, share in zip(who, shares):
                         k = int(share.argmax())
                         label[i], score[i], several[i] = langs[k], float(min(1.0, share[k])), int((share > 0).sum())
