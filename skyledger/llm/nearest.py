@@ -21,8 +21,9 @@ COLLISIONS = 0.55
 EXPANSION = 1.15
 #: The first radius, as a share of the distance to the nearest of a few vectors.
 FIRST = 0.7
-BLOCK_VECTORS = 20_000
-BLOCK_QUERIES = 2_000
+#: Components of a block of vectors and of one of queries: 20 000 and 2 000 of 64, and fewer longer ones.
+BLOCK_VALUES = 20_000 * 64
+QUERY_VALUES = 2_000 * 64
 #: Queries whose counts are held at a time.
 CHUNK_QUERIES = 128
 SEED = 20_240_607
@@ -116,13 +117,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Null, zero and non-finite vectors, and null ids, take no part; only vectors of the query's own length are its
     candidates. Ties go to the smaller id, and copies of one vector are all verified. A query's own id is never its
-    candidate, in any repeated row; repeated candidate rows count once, and an id with several vectors by its nearest.
+    candidate, in any repeated row; repeated candidate rows count once, and an id with several vectors by its nearest. A query with several vectors asks
+    by each of them, and a candidate counts by its least distance from any.
     With at most ``k`` candidates all are returned. Values may be of any finite size. Other columns are not looked at.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
-    n, queries = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    blocks, query_blocks = max(1, -(-n // BLOCK_VECTORS)), max(1, -(-queries // BLOCK_QUERIES))
+    values, asked_values = rows.agg(F.sum(F.size("v")), F.sum(F.when(F.col("q"), F.size("v")))).first()
+    blocks, query_blocks = max(1, -(-(values or 0) // BLOCK_VALUES)), max(1, -(-(asked_values or 0) // QUERY_VALUES))
     part = lambda of: F.pmod(F.xxhash64("id"), F.lit(of))
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = rows.select("id", "v", F.size("v").alias("dims"), part(blocks).cast("int").alias("block")).withColumn("query_block", each(query_blocks))
@@ -131,7 +133,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
         if len(block) and len(asked):
-            asked = asked.drop_duplicates("id")
             found = search_block(
                 np.array(block["v"].tolist(), float), block["id"].to_numpy(), np.array(asked["v"].tolist(), float), asked["id"].to_numpy(), k
             )
