@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.columns import on_plain_names
 from skyledger.llm.quality_rules import word_count
 from skyledger.session import stage_table
 
@@ -173,10 +174,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, with the columns of ``docs``.
+    """``docs`` with each row as often as the mix takes it, with the columns of ``docs``, whatever their names.
 
     Only rows that share id, source and size are numbered, by a hash of the text.
     """
+    return on_plain_names(docs, _mixed, id_col, text_col, source_col)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     planned = plan_mix(docs, id_col, text_col, source_col).where("copies > 0").select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__words"), "n", "copies"
     )

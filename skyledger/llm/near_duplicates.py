@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.columns import on_plain_names
 from skyledger.plans.components import connected_components
 from skyledger.session import stage_table
 
@@ -151,7 +152,11 @@ def _keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str)
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (nulls last; of several rows
-    with that id, the one with the least text hash, and of equal rows one). Columns are those of ``docs``."""
+    with that id, the one with the least text hash, and of equal rows one). Columns are those of ``docs``, whatever their names."""
+    return on_plain_names(docs, lambda table, at, text: _one_of_each(table, at, text, **options), id_col, text_col)
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, **options: int) -> DataFrame:
     groups = near_duplicate_groups(docs, id_col, text_col, **options)
     # two components of rows without any id must not be taken for one
     component = F.coalesce(F.col("component_id"), F.col("fp"))
@@ -268,6 +273,10 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents are linked if their sets of five-word shingles have a similarity of at least ``SIMILARITY``, or their
     fingerprints differ in at most ``RADIUS`` bits. Texts are nodes by their hash, so that copies meet as one row.
     """
+    return on_plain_names(docs, _one_of_similar, id_col, text_col)
+
+
+def _one_of_similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     marked = stage_table(with_keys(keyed), "similar-marked")
     nodes = marked.groupBy(F.col("text_hash").alias("node")).agg(

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.llm.columns import on_plain_names
 from skyledger.session import stage_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -236,10 +237,14 @@ def sanitised_text(text: str, spans: list[tuple[int, int, int]], removed: set[in
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced and all other columns as they are.
+    """``docs`` with personal data in ``text_col`` replaced and all other columns as they are, whatever their names.
 
     Overlapping spans are replaced as one, by the kind of the first. A null text stays null.
     """
+    return on_plain_names(docs, _sanitised, text_col)
+
+
+def _sanitised(docs: DataFrame, text_col: str) -> DataFrame:
     columns = docs.columns
     found = with_terms(stage_table(evidence(docs, text_col, keep=columns), "pii-evidence"))
     picked = found.select(*[F.col(f"k_{c}").alias(c) for c in columns], "spans", "removed")

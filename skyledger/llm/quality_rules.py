@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.llm.columns import on_plain_names
 from skyledger.session import stage_table
 
 BLANKS = " \t\n\x0b\f\r"
@@ -186,6 +187,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    table = stage_table(measured(docs, text_col, "__q_"), "quality-measured")
-    return judged(table, lang_col, source_col, "__q_").where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``, whatever their names."""
+
+    def kept(table: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+        return judged(stage_table(measured(table, text, "__q_"), "quality-measured"), lang, source, "__q_").where("kept")
+
+    return on_plain_names(docs, kept, text_col, lang_col, source_col)

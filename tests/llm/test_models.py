@@ -66,10 +66,11 @@ def test_mixture_word_by_word():
         assert np.allclose(share[d], own) and abs(total[d] - want) < 1e-9
 
 
-def test_too_many_languages_are_an_error(spark):
-    docs = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(language_id.MOST_LANGUAGES * 2)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="values of lang"):
-        language_id.identify(docs)
+def test_any_number_of_languages_is_learned(spark):
+    docs = spark.createDataFrame([(k, "some words", f"l{k}") for k in range(language_id.FULL_LANGUAGES * 2)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.langs) == language_id.FULL_LANGUAGES * 2 and model.log_p.size <= language_id.FULL_LANGUAGES * language_id.BUCKETS
+    assert {r["lang_pred"] for r in language_id.predict(docs.limit(3), model).collect()} == {"l0"}
 
 
 def test_rounding_unit_by_unit(spark):
