@@ -14,6 +14,7 @@ from skyledger.session import shared_dir
 from skyledger.sources import adapters as A
 from skyledger.sources import ingest as I
 from skyledger.sources import logs, sinks
+from skyledger.sources import modes as M
 from skyledger.sources.tables import table
 
 c = F.col
@@ -289,19 +290,32 @@ def sink_diagnostics_evolving(spark, folder):
 # -- surveillance messages ----------------------------------------------------------------------------------------------
 
 
-@query("adsb_fields", "SELECT event_id, CAST(17 AS BIGINT) AS df, printf('%06X', event_id) AS icao, CAST(11 AS BIGINT) AS type_code, CAST(event_id % 2 AS BIGINT) AS odd, CAST((event_id * 37) % 131072 AS BIGINT) AS cpr_lat, CAST((event_id * 91) % 131072 AS BIGINT) AS cpr_lon, CAST((event_id % 1000) * 25 - 1000 AS BIGINT) AS alt_ft FROM events")
+#: What each event's message says: the position or the velocity of the aircraft, or its name, one after another.
+MESSAGES = """SELECT *, event_id % 13 <> 0 AS valid, event_id % 4 AS kind, 30 + CAST(trajectory_id * 37 % 1000 AS DOUBLE) / 1000 AS at_lat, 103 + CAST(trajectory_id * 53 % 1500 AS DOUBLE) / 1000 AS at_lon,
+    (event_id % 1000) * 25 - 1000 AS feet, trajectory_id % 401 - 200 AS east, event_id % 301 - 150 AS north, (event_id % 61 - 30) * 64 AS fpm, 'CES' || CAST(100 + trajectory_id AS VARCHAR) AS called FROM track_path"""
+
+
+def messages(path: DataFrame) -> DataFrame:
+    """``event_id, trajectory_id, raw``: a message for each report, by turns an even and an odd position, a velocity and a
+    name. Every thirteenth has one wrong bit. ``path`` may be a stream."""
+    i, a = c("event_id"), c("trajectory_id")
+    lat, lon = 30 + (a * 37 % 1000).cast("double") / 1000, 103 + (a * 53 % 1500).cast("double") / 1000
+    at = lambda odd: M.position_bits((i % 1000) * 25 - 1000, F.lit(odd), *M.encoded(lat, lon, odd))
+    kind = i % 4
+    rest = F.when(kind == 0, at(0)).when(kind == 1, at(1)).when(kind == 2, M.velocity_bits(a % 401 - 200, i % 301 - 150, (i % 61 - 30) * 64)).otherwise(M.name_bits(F.concat(F.lit("CES"), (100 + a).cast("string"))))
+    whole = M.message(a + 0x780000, F.when(kind < 2, 11).when(kind == 2, 19).otherwise(4), rest)
+    wrong = F.conv(F.conv(F.substring(whole, 10, 1), 16, 10).cast("int").bitwiseXOR(F.lit(4)).cast("string"), 10, 16)
+    return path.withColumn("raw", F.when(i % 13 == 0, F.concat(F.substring(whole, 1, 9), wrong, F.substring(whole, 11, 18))).otherwise(whole))
+
+
+@query("adsb_fields", O.with_views("""SELECT event_id, valid, CASE WHEN valid THEN printf('%06X', 7864320 + trajectory_id) END AS icao, CASE WHEN valid THEN CASE WHEN kind < 2 THEN 11 WHEN kind = 2 THEN 19 ELSE 4 END END AS type_code,
+    CASE WHEN valid AND kind < 2 THEN kind END AS odd, CASE WHEN valid AND kind < 2 THEN feet END AS alt_ft, CASE WHEN valid AND kind = 2 THEN round(sqrt(east * east + north * north), 6) END AS speed_kt,
+    CASE WHEN valid AND kind = 2 AND (east <> 0 OR north <> 0) THEN round(CASE WHEN degrees(atan2(east, north)) < 0 THEN degrees(atan2(east, north)) + 360 ELSE degrees(atan2(east, north)) END, 6) END AS track_deg,
+    CASE WHEN valid AND kind = 2 THEN fpm END AS climb_fpm, CASE WHEN valid AND kind = 3 THEN called END AS name FROM msg""", "track_path", msg=MESSAGES))
 def adsb_fields(spark, folder):
-    """Position messages built from integers, and decoded from their hex text."""
-    i = c("event_id")
-    raw = i % 1000
-    alt12 = F.shiftleft(F.shiftright(raw, 4), 5).bitwiseOR(F.lit(16)).bitwiseOR(raw.bitwiseAND(F.lit(15)))
-    pad = lambda x, n: F.lpad(F.conv(x.cast("string"), 10, 2), n, "0")
-    bits = F.concat(pad(F.lit(17), 5), pad(F.lit(5), 3), pad(i, 24), pad(F.lit(11), 5), F.lit("000"), pad(alt12, 12), F.lit("0"), (i % 2).cast("string"), pad(i * 37 % 131072, 17), pad(i * 91 % 131072, 17))
-    e = table(spark, folder, "events").select("event_id", bits.alias("bits"))
-    number = lambda a, n: F.conv(F.substring("bits", a, n), 2, 10).cast("long")
-    q = F.concat(F.substring("bits", 41, 7), F.substring("bits", 49, 4))
-    altitude = F.when(F.substring("bits", 48, 1) == "1", F.conv(q, 2, 10).cast("long") * 25 - 1000)
-    return e.select(
-        "event_id", number(1, 5).alias("df"), F.lpad(F.conv(F.substring("bits", 9, 24), 2, 16), 6, "0").alias("icao"), number(33, 5).alias("type_code"), number(54, 1).alias("odd"),
-        number(55, 17).alias("cpr_lat"), number(72, 17).alias("cpr_lon"), altitude.alias("alt_ft"),
+    """Messages as hex text, checked and decoded: those with a wrong bit say nothing."""
+    found = messages(A.track_path(spark, folder)).select("event_id", M.well_formed(c("raw")).alias("valid"), M.fields(c("raw")).alias("m"))
+    return found.select(
+        "event_id", "valid", "m.icao", "m.type_code", "m.odd", "m.alt_ft", F.round("m.velocity.speed_kt", 6).alias("speed_kt"),
+        F.when(c("m.velocity.speed_kt") > 0, F.round("m.velocity.track_deg", 6)).alias("track_deg"), "m.velocity.climb_fpm", "m.name",
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from skyledger.operators.policy_queries import GATE_SQL, with_phase
 from skyledger.plans import oracle as O
 from skyledger.registry import query
+from skyledger.sources.modes import fields
+from skyledger.sources.queries import MESSAGES, messages
 from skyledger.streaming import operators as S
 from skyledger.streaming import stateful as K
 from skyledger.streaming.runs import as_stream, finished, folded, stream_table
@@ -135,10 +137,18 @@ def stream_replan_stall(spark, folder):
     return folded(K.replan_stall(risks)).groupBy("trajectory_id").agg(F.count("*").alias("replans"))
 
 
-@query("stream_adsb_fusion", path("SELECT trajectory_id, count(*) AS complete FROM (SELECT *, max(CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 2 THEN 1 ELSE 0 END) OVER w + max(CASE WHEN event_id % 4 = 3 THEN 1 ELSE 0 END) OVER w AS kinds FROM track_path WINDOW w AS (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)) WHERE kinds = 4 GROUP BY 1"))
+_HEARD = "max(CASE WHEN kind = {0} THEN t END) OVER w AS t{0}"
+
+
+@query("stream_adsb_fusion", path("SELECT printf('%06X', 7864320 + trajectory_id) AS icao, event_id, round(at_lat, 3) AS lat, round(at_lon, 3) AS lon, called AS name FROM heard WHERE abs(t0 - t1) <= 864000 AND t2 IS NOT NULL AND t3 IS NOT NULL",
+    msg=MESSAGES, heard=f"SELECT *, {', '.join(_HEARD.format(k) for k in range(4))} FROM msg WHERE valid WINDOW w AS (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"))
 def stream_adsb_fusion(spark, folder):
-    messages = timed(spark, folder).withColumn("kind", c("event_id") % 4)
-    return folded(K.message_fusion(messages)).groupBy("trajectory_id").agg(F.count("*").alias("complete"))
+    """Where each aircraft is, from its messages: those that fail their check are left out, and frames meet within ten days."""
+    said = fields(c("raw"))
+    heard = messages(timed(spark, folder)).select("event_id", "time", "t", said.alias("m")).where("m is not null")
+    heard = heard.select("event_id", "time", "t", "m.icao", "m.odd", "m.cpr_lat", "m.cpr_lon", "m.alt_ft", "m.velocity.speed_kt", "m.velocity.track_deg", "m.name")
+    found = K.fused_positions(folded(K.message_fusion(heard, 864_000.0)))
+    return found.select("icao", "event_id", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "name")
 
 
 _MONITOR = {
