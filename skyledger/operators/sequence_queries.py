@@ -323,16 +323,56 @@ def resolve_name_nearest(spark, folder):
     return t.groupBy("event_id").agg(F.min(F.struct(d2.alias("d2"), "wpt")).alias("b")).select("event_id", "b.wpt")
 
 
-@query("cell_interactions", O.with_views("SELECT cell, tick, count(*) AS n, CAST(sum(n_pairs) AS BIGINT) AS fast_pairs FROM (SELECT a.cell, a.tick, a.event_id, count(b.event_id) AS n_pairs FROM k a LEFT JOIN k b ON a.cell = b.cell AND a.tick = b.tick AND a.event_id <> b.event_id AND abs(a.gs_mps - b.gs_mps) > 18 GROUP BY ALL) GROUP BY ALL", "tracks",
-    k="SELECT *, CAST(floor((lat - 30) * 3) * 1000 + floor((lon - 103) * 3) * 10 + floor((alt_m - 8000) / 914.4::DOUBLE) AS BIGINT) AS cell FROM tracks"))
+#: Whole numbers, as bounds of frames are.
+SPEED_KT, HEADING_DEG, CLIMB_FPM = 35, 20, 500
+
+
+def cell_metrics(reports: DataFrame, window_s: float) -> DataFrame:
+    """Per cell and window: aircraft, how long they stay in it as a share of the window, ordered pairs of them that differ
+    in speed, heading or vertical sense, these by the occupancy, and the complexity made of the four.
+
+    ``reports(cell, trajectory_id, t, gs_mps, trk_deg, vs_mps)``. An aircraft counts with its first report in a cell and
+    window, and stays until its last. Pairs are not joined: those that differ little are counted by frames of a range
+    about each aircraft's value, headings round the circle, and all others differ. Ratios are null without occupancy.
+    """
+    window = F.floor(c("t") / window_s).alias("window")
+    first = F.min_by(F.struct("gs_mps", "trk_deg", "vs_mps"), F.struct("t", "gs_mps", "trk_deg", "vs_mps"))
+    stays = reports.groupBy("cell", window, "trajectory_id").agg((F.max("t") - F.min("t")).alias("stay"), first.alias("f"))
+    fpm = c("f.vs_mps") * 60 / 0.3048
+    sense = F.when(fpm > CLIMB_FPM, 1).when(fpm < -CLIMB_FPM, -1).otherwise(0)
+    each = stays.select("cell", "window", "stay", (c("f.gs_mps") * 3600 / 1852).alias("kt"), F.pmod(c("f.trk_deg"), F.lit(360.0)).alias("deg"), sense.alias("sense"))
+    group = Window.partitionBy("cell", "window")
+    within = lambda order, low, high: F.count("*").over(order.rangeBetween(low, high))
+    speeds, turns = group.orderBy("kt"), group.orderBy("deg")
+    alike = {
+        "same_speed": within(speeds, -SPEED_KT, SPEED_KT), "same_sense": F.count("*").over(Window.partitionBy("cell", "window", "sense")),
+        "same_heading": within(turns, -HEADING_DEG, HEADING_DEG) + within(turns, 360 - HEADING_DEG, Window.unboundedFollowing) + within(turns, Window.unboundedPreceding, HEADING_DEG - 360),
+    }
+    n = F.count("*")
+    counted = each.withColumns(alike).groupBy("cell", "window").agg(
+        n.alias("aircraft"), (F.sum("stay") / window_s).alias("occupancy"), (n * (n - 1)).alias("pairs"),
+        *[(n * n - F.sum(f"same_{k}")).alias(f"{k}_pairs") for k in ("speed", "heading", "sense")],
+    )
+    ratio = lambda k: F.when(c("occupancy") > 0, c(k) / c("occupancy"))
+    mixed = ratio("speed_pairs") + ratio("heading_pairs") + ratio("sense_pairs")
+    return counted.withColumns({"pair_ratio": ratio("pairs"), "complexity": ratio("pairs") * mixed})
+
+
+@query("cell_interactions", path("""SELECT g.cell, g.win AS window_at, aircraft, round(occ, 6) AS occupancy, aircraft * (aircraft - 1) AS pairs, coalesce(speed_pairs, 0) AS speed_pairs, coalesce(heading_pairs, 0) AS heading_pairs, coalesce(sense_pairs, 0) AS sense_pairs,
+    CASE WHEN occ > 0 THEN round(aircraft * (aircraft - 1) / occ, 4) END AS pair_ratio, CASE WHEN occ > 0 THEN round(aircraft * (aircraft - 1) / occ * (coalesce(speed_pairs, 0) + coalesce(heading_pairs, 0) + coalesce(sense_pairs, 0)) / occ, 3) END AS complexity
+    FROM (SELECT cell, win, count(*) AS aircraft, sum(stay) / 86400 AS occ FROM st GROUP BY 1, 2) g LEFT JOIN (SELECT a.cell, a.win, count_if(abs(a.kt - b.kt) > 35) AS speed_pairs,
+        count_if(least(abs(a.trk_deg - b.trk_deg), 360 - abs(a.trk_deg - b.trk_deg)) > 20) AS heading_pairs, count_if(a.sense <> b.sense) AS sense_pairs FROM st a JOIN st b ON a.cell = b.cell AND a.win = b.win AND a.trajectory_id <> b.trajectory_id GROUP BY 1, 2) p ON p.cell = g.cell AND p.win = g.win""",
+    k="SELECT *, CAST(floor(t / 86400) AS BIGINT) AS win, CAST(floor((lat - 30) * 3) * 1000 + floor((lon - 103) * 3) * 10 + floor((alt_m - 8000) / 914.4::DOUBLE) AS BIGINT) AS cell FROM track_path",
+    st="""SELECT *, gs_mps * 3600 / 1852 AS kt, CASE WHEN vs_mps * 60 / 0.3048::DOUBLE > 500 THEN 1 WHEN vs_mps * 60 / 0.3048::DOUBLE < -500 THEN -1 ELSE 0 END AS sense, max(t) OVER (PARTITION BY cell, win, trajectory_id) - t AS stay
+        FROM k QUALIFY row_number() OVER (PARTITION BY cell, win, trajectory_id ORDER BY t, gs_mps, trk_deg, vs_mps) = 1"""))
 def cell_interactions(spark, folder):
-    """Aircraft per cell of the sector, and ordered pairs in a cell that differ much in speed."""
+    """Occupancy and interactions per cell of 20 NM and 3000 ft, day by day, for reports that are hours apart."""
     cell = (F.floor((c("lat") - 30) * 3) * 1000 + F.floor((c("lon") - 103) * 3) * 10 + F.floor((c("alt_m") - 8000) / 914.4)).alias("cell")
-    k = A.tracks(spark, folder).select(cell, "tick", "event_id", "gs_mps")
-    other = k.select("cell", "tick", c("event_id").alias("other"), c("gs_mps").alias("gs2"))
-    n = k.groupBy("cell", "tick").agg(F.count("*").alias("n"))
-    p = k.join(other, ["cell", "tick"]).where((c("event_id") != c("other")) & (F.abs(c("gs_mps") - c("gs2")) > 18))
-    return n.join(p.groupBy("cell", "tick").agg(F.count("*").alias("fast_pairs")), ["cell", "tick"], "left").fillna(0, ["fast_pairs"])
+    m = cell_metrics(A.track_path(spark, folder).select(cell, "trajectory_id", "t", "gs_mps", "trk_deg", "vs_mps"), 86_400.0)
+    return m.select(
+        "cell", c("window").alias("window_at"), "aircraft", F.round("occupancy", 6).alias("occupancy"), "pairs", "speed_pairs", "heading_pairs", "sense_pairs",
+        F.round("pair_ratio", 4).alias("pair_ratio"), F.round("complexity", 3).alias("complexity"),
+    )
 
 
 @query("group_membership", path("SELECT CASE WHEN lat > 30.5 THEN 'north' ELSE 'south' END AS grp, count(DISTINCT trajectory_id) AS members FROM track_path GROUP BY 1"))

@@ -76,3 +76,36 @@ def test_one_fast_aircraft_widens_only_its_own_cells(spark):
 def test_no_states_make_no_pairs(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert P.directed_conflicts(none).count() == P.contacts(none).count() == P.approaches(none, 5.0).count() == P.pairs_within(none, 5.0).count() == 0
+
+
+@pytest.mark.parametrize("lat, lon", [(0.0, 179.9), (52.0, 104.0)])
+def test_traffic_features_equal_those_of_all_pairs(spark, lat, lon):
+    states = around(spark, lat, lon, n=60, fast=(3,)).where("trajectory_id < 900")
+    far = spark.createDataFrame([(0, 700, -lat, lon + 3 if lon < 170 else 0.0, 50.0, 100.0, 10.0, 0.0), (9, 701, lat, lon, 9000.0, 100.0, 0.0, 0.0)], SCHEMA)
+    states = states.unionByName(far)
+    p = P.with_cpa(P.pairs(states, ordered=True)).withColumn("gap", F.abs(F.col("alt1") - F.col("alt2")))
+    want = p.groupBy("tick", "id1").agg(F.count("*").alias("n"), F.min("now_nm").alias("near"), F.min("gap").alias("gap"), F.min(F.struct("cpa_nm", "tcpa")).alias("cpa"))
+    want = {(r["tick"], r["id1"]): (r["n"], r["near"], r["gap"], *r["cpa"]) for r in want.collect()} | {(9, 701): (0, 999.0, 99999.0, 999.0, 9999.0)}
+    got = {(r["tick"], r["trajectory_id"]): tuple(r)[2:] for r in P.traffic_features(states).collect()}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert np.allclose(got[key], values, atol=1e-9), key
+
+
+def test_cell_metrics_equal_those_of_all_pairs(spark):
+    from skyledger.operators.sequence_queries import cell_metrics
+
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 3)), int(rng.integers(0, 25)), float(rng.integers(0, 20)), float(rng.choice([100.0, 118.0, 118.01, 150.0])), float(rng.integers(0, 36) * 10), float(rng.choice([0.0, 2.54, 3.0, -5.0]))) for _ in range(300)]
+    got = {(r["cell"], r["window"]): r for r in cell_metrics(spark.createDataFrame(rows, "cell long, trajectory_id long, t double, gs_mps double, trk_deg double, vs_mps double"), 5.0).collect()}
+    groups: dict = {}
+    for cell, who, t, *values in sorted(rows, key=lambda r: r[2:]):
+        groups.setdefault((cell, int(t // 5)), {}).setdefault(who, []).append((t, values))
+    assert got.keys() == groups.keys()
+    for key, own in groups.items():
+        first = [(v[0][1][0] * 3600 / 1852, v[0][1][1], np.sign(v[0][1][2]) * (abs(v[0][1][2]) * 60 / 0.3048 > 500)) for v in own.values()]
+        stay = sum(v[-1][0] - v[0][0] for v in own.values()) / 5
+        differ = [sum(1 for i, a in enumerate(first) for j, b in enumerate(first) if i != j and far(a, b)) for far in (
+            lambda a, b: abs(a[0] - b[0]) > 35, lambda a, b: min(abs(a[1] - b[1]), 360 - abs(a[1] - b[1])) > 20, lambda a, b: a[2] != b[2])]
+        r = got[key]
+        assert (r["aircraft"], r["speed_pairs"], r["heading_pairs"], r["sense_pairs"]) == (len(own), *differ) and abs(r["occupancy"] - stay) < 1e-9
