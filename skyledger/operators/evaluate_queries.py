@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import evaluate as E
 from skyledger.plans import oracle as O
+from skyledger.plans.prefix import at_rank, value_counts
 from skyledger.registry import query
 from skyledger.session import stage_table
 from skyledger.sources import adapters as A
@@ -267,11 +268,18 @@ def run_summary(spark, folder):
 
 @query("replay_summary", O.with_views("SELECT family, count(*) AS n, round(avg(target), 6) AS mean_target, round(median(target), 6) AS median_target, list_sort(list(target))[CAST(floor((count(*) - 1) * 0.9) AS INT) + 1] AS p90_target FROM sys GROUP BY 1", "sys"))
 def replay_summary(spark, folder):
-    """Counts and the spread of targets by family; p90 is the element at floor(0.9 (n - 1)), a discrete percentile."""
-    place = F.row_number().over(Window.partitionBy("family").orderBy("target")) - 1
-    ranked = A.system_commands(spark, folder).withColumns({"place": place, "of": F.count("*").over(Window.partitionBy("family"))})
-    p90 = F.max(F.when(c("place") == F.floor((c("of") - 1) * 0.9), c("target")))
-    return ranked.groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("target"), 6).alias("mean_target"), F.round(F.percentile("target", 0.5), 6).alias("median_target"), p90.alias("p90_target"))
+    """Counts and the spread of targets by family; the median is the mean of the middle two, p90 the element at
+    floor(0.9 (n - 1)). Ranks are exact: equal targets are counted, and counts added up by ranges of targets."""
+    own = A.system_commands(spark, folder)
+    v = value_counts(own, "family", "target")
+    last = c("of") - 1
+    middle = [F.max(F.when(at_rank(place), c("target"))) for place in (F.floor(last / 2), F.ceil(last / 2))]
+    spread = v.groupBy("family").agg(
+        (F.sum(c("target") * c("n")) / F.sum("n")).alias("mean"), ((middle[0] + middle[1]) / 2).alias("median"), F.max(F.when(at_rank(F.floor(last * 0.9)), c("target"))).alias("p90_target")
+    )
+    n = own.groupBy(c("family").alias("__family")).agg(F.count("*").alias("n"))
+    joined = n.join(spread, c("__family").eqNullSafe(c("family")), "left")
+    return joined.select(c("__family").alias("family"), "n", F.round("mean", 6).alias("mean_target"), F.round("median", 6).alias("median_target"), "p90_target")
 
 
 @query("zero_failure_bound", O.with_views("SELECT scenario, round(1 - pow(0.05::DOUBLE, 1.0::DOUBLE / count(*)), 9) AS upper_bound FROM diagnostics GROUP BY 1", "diagnostics"))

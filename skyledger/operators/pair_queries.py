@@ -9,6 +9,7 @@ from skyledger.functions import geo
 from skyledger.operators import pairs as P
 from skyledger.plans import oracle as O
 from skyledger.plans.components import connected_components
+from skyledger.plans.prefix import running_total
 from skyledger.registry import query
 from skyledger.sources import adapters as A
 
@@ -125,14 +126,11 @@ def new_pairs(spark, folder):
 @query("conflict_totals", O.with_views("SELECT n.tick, n.n_now, CAST(sum(coalesce(f.n_new, 0)) OVER (ORDER BY n.tick) AS BIGINT) AS n_total FROM now_n n LEFT JOIN new_n f USING (tick)", "opairs", **CONFLICT, fresh=_NEW,
     now_n="SELECT tick, count(*) AS n_now FROM (SELECT DISTINCT tick, least(id1, id2), greatest(id1, id2) FROM conf) GROUP BY tick", new_n="SELECT tick, count(*) AS n_new FROM fresh GROUP BY tick"))
 def conflict_totals(spark, folder):
-    """Pairs in conflict now, and all that have appeared so far; the running sum goes over one row per tick."""
-    from pyspark.sql import Window
-
+    """Pairs in conflict now, and all that have appeared so far; the running sum goes over ranges of ticks."""
     now = unordered_distinct_pairs(spark, folder)
     new = P.newly_seen(now, ["low", "high"]).groupBy("tick").agg(F.count("*").alias("n_new"))
-    both = now.groupBy("tick").agg(F.count("*").alias("n_now")).join(new, "tick", "left")
-    total = F.sum(F.coalesce("n_new", F.lit(0))).over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0))
-    return both.select("tick", "n_now", total.alias("n_total"))
+    both = now.groupBy("tick").agg(F.count("*").alias("n_now")).join(new, "tick", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    return running_total(both, ["tick"], "n_new", "n_total").select("tick", "n_now", "n_total")
 
 
 @query("resolution_vectors", O.with_views(
