@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions import speech, text
+from skyledger.operators.pairs import once
 from skyledger.plans import oracle as O
 from skyledger.registry import query
 from skyledger.session import shared_dir
@@ -303,9 +304,10 @@ def messages(path: DataFrame) -> DataFrame:
     at = lambda odd: M.position_bits((i % 1000) * 25 - 1000, F.lit(odd), *M.encoded(lat, lon, odd))
     kind = i % 4
     rest = F.when(kind == 0, at(0)).when(kind == 1, at(1)).when(kind == 2, M.velocity_bits(a % 401 - 200, i % 301 - 150, (i % 61 - 30) * 64)).otherwise(M.name_bits(F.concat(F.lit("CES"), (100 + a).cast("string"))))
-    whole = M.message(a + 0x780000, F.when(kind < 2, 11).when(kind == 2, 19).otherwise(4), rest)
-    wrong = F.conv(F.conv(F.substring(whole, 10, 1), 16, 10).cast("int").bitwiseXOR(F.lit(4)).cast("string"), 10, 16)
-    return path.withColumn("raw", F.when(i % 13 == 0, F.concat(F.substring(whole, 1, 9), wrong, F.substring(whole, 11, 18))).otherwise(whole))
+    wrong = F.conv(F.conv(F.substring("raw", 10, 1), 16, 10).cast("int").bitwiseXOR(F.lit(4)).cast("string"), 10, 16)
+    flipped = F.when(i % 13 == 0, F.concat(F.substring("raw", 1, 9), wrong, F.substring("raw", 11, 18))).otherwise(c("raw"))
+    sent = once(path, {"rest": rest})
+    return once(once(sent, {"raw": M.message(a + 0x780000, F.when(kind < 2, 11).when(kind == 2, 19).otherwise(4), c("rest"))}).drop("rest"), {"raw": flipped})
 
 
 @query("adsb_fields", O.with_views("""SELECT event_id, valid, CASE WHEN valid THEN printf('%06X', 7864320 + trajectory_id) END AS icao, CASE WHEN valid THEN CASE WHEN kind < 2 THEN 11 WHEN kind = 2 THEN 19 ELSE 4 END END AS type_code,
@@ -314,7 +316,7 @@ def messages(path: DataFrame) -> DataFrame:
     CASE WHEN valid AND kind = 2 THEN fpm END AS climb_fpm, CASE WHEN valid AND kind = 3 THEN called END AS name FROM msg""", "track_path", msg=MESSAGES))
 def adsb_fields(spark, folder):
     """Messages as hex text, checked and decoded: those with a wrong bit say nothing."""
-    found = messages(A.track_path(spark, folder)).select("event_id", M.well_formed(c("raw")).alias("valid"), M.fields(c("raw")).alias("m"))
+    found = once(messages(A.track_path(spark, folder)).select("event_id", "raw"), {"m": M.fields(c("raw"))}).withColumn("valid", c("m").isNotNull())
     return found.select(
         "event_id", "valid", "m.icao", "m.type_code", "m.odd", "m.alt_ft", F.round("m.velocity.speed_kt", 6).alias("speed_kt"),
         F.when(c("m.velocity.speed_kt") > 0, F.round("m.velocity.track_deg", 6)).alias("track_deg"), "m.velocity.climb_fpm", "m.name",

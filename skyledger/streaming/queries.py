@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyledger.operators.pairs import once
 from skyledger.operators.policy_queries import GATE_SQL, with_phase
 from skyledger.plans import oracle as O
 from skyledger.registry import query
@@ -144,8 +145,7 @@ _HEARD = "max(CASE WHEN kind = {0} THEN t END) OVER w AS t{0}"
     msg=MESSAGES, heard=f"SELECT *, {', '.join(_HEARD.format(k) for k in range(4))} FROM msg WHERE valid WINDOW w AS (PARTITION BY trajectory_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"))
 def stream_adsb_fusion(spark, folder):
     """Where each aircraft is, from its messages: those that fail their check are left out, and frames meet within ten days."""
-    said = fields(c("raw"))
-    heard = messages(timed(spark, folder)).select("event_id", "time", "t", said.alias("m")).where("m is not null")
+    heard = once(messages(timed(spark, folder)).select("event_id", "time", "t", "raw"), {"m": fields(c("raw"))}).where("m is not null")
     heard = heard.select("event_id", "time", "t", "m.icao", "m.odd", "m.cpr_lat", "m.cpr_lon", "m.alt_ft", "m.velocity.speed_kt", "m.velocity.track_deg", "m.name")
     found = K.fused_positions(folded(K.message_fusion(heard, 864_000.0)))
     return found.select("icao", "event_id", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "name")
