@@ -91,6 +91,7 @@ class ByteEncoder:
         self.number = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.packed = [int(k).to_bytes(int(self.number[-1]), "little") for k in range(self.tokenizer.get_vocab_size())]
         self.behind: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -101,12 +102,18 @@ class ByteEncoder:
         first, *chunks = _SPLIT.split(text) if _JOINED.search(text) else text.split(" ")
         different = set(chunks)
         if len(self.known) + len(different) > CACHE_CHUNKS:
-            self.known, self.old, self.behind = {}, self.known, {}
+            self.known, self.old, self.behind, self.heads = {}, self.known, {}, {}
         new = different.difference(self.known)
         if new:
             self._learn(new)
-        head = np.array(self.tokenizer.encode(first, add_special_tokens=False).ids, self.number).tobytes() if first else b""
-        return np.frombuffer(head + b"".join(map(self.known.__getitem__, chunks)), self.number)
+        return np.frombuffer(self._head(first) + b"".join(map(self.known.__getitem__, chunks)), self.number)
+
+    def _head(self, first: str) -> bytes:
+        """The ids of a text's first chunk, before which there is no blank."""
+        if first not in self.heads:
+            ids = self.tokenizer.encode(first, add_special_tokens=False).ids if not _PLAIN.fullmatch(first) else None
+            self.heads[first] = b"".join(map(self._part, _PARTS.findall(first))) if ids is None else np.array(ids, self.number).tobytes()
+        return self.heads[first]
 
     def _part(self, part: str) -> bytes:
         """The ids of what is split from its surroundings before the model sees it."""
@@ -249,11 +256,13 @@ class FileBuilder:
         self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = self.size = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.documents.append((doc_id or 0, len(ids), doc_id is None))
-        self.held.append(ids)
-        self.n_held += len(ids)
-        self.n_ids += len(ids)
+    def add(self, doc_id: int | None, ids: np.ndarray, *end: int) -> None:
+        """A document's ids, and one more behind them if asked for."""
+        count = len(ids) + len(end)
+        self.documents.append((doc_id or 0, count, doc_id is None))
+        self.held += [ids, np.array(end, ids.dtype)] if end else [ids]
+        self.n_held += count
+        self.n_ids += count
         if self.n_held >= PACK_BLOCKS * BLOCK:
             self._pack(self.n_held // BLOCK * BLOCK)
 
@@ -360,7 +369,7 @@ def write_token_files(
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 built = built or FileBuilder(context.partitionId(), number, percentile)
-                built.add(doc_id, np.append(encode(text.as_py()), end_id).astype(np.uint32))
+                built.add(doc_id, encode(text.as_py()), end_id)
                 if built.n_ids >= file_ids:
                     yield done(built)
                     built, number = None, number + 1
