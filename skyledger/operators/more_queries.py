@@ -303,10 +303,31 @@ def episode_metrics(spark, folder):
     return e.groupBy("episode").agg(F.count_if(c("hit") & ~F.coalesce("was", F.lit(False))).alias("detected"), F.count_if(~c("hit") & c("was")).alias("resolved"), F.min("horizontal_km").alias("least_km"))
 
 
-@query("episode_alerts", O.with_views("SELECT scenario, round(avg(episode_return), 6) AS mean_return, round(stddev_pop(episode_return), 6) AS std_return, stddev_pop(episode_return) < 1 AS collapsed FROM diagnostics GROUP BY 1", "diagnostics"))
+def training_alerts(episodes: DataFrame, least_entropy: float = 0.1, least_available: int = 20, most_loss: float = 10.0) -> DataFrame:
+    """Episodes with three flags, and the mean and deviation of their parameter over its samples.
+
+    ``collapsed``: an update left the choice of actions with an entropy below the least, one that is not known counting as 0;
+    ``starved``: headings were open often enough and none was taken; ``diverging``: an update's loss is above the most, one
+    that is not known counting as 0. Sums are divided by the number of samples, or by one without any.
+    """
+    updated, samples = F.coalesce("update_performed", F.lit(False)), F.greatest("samples", F.lit(1))
+    return episodes.withColumns({
+        "collapsed": updated & (F.coalesce("discrete_entropy", F.lit(0.0)) < least_entropy), "starved": (c("available_headings") >= least_available) & (c("headings") == 0),
+        "diverging": updated & (F.coalesce("critic_loss", F.lit(0.0)) > most_loss), "parameter_mean": c("mean_sum") / samples, "parameter_std": c("std_sum") / samples,
+    })
+
+
+@query("episode_alerts", O.with_views("""SELECT row_id, safe_success = 1 AND (row_id % 7 = 0 OR CAST(row_id % 10 AS DOUBLE) / 10 < 0.2::DOUBLE) AS collapsed, command_count * 3 >= 20 AND row_id % 3 = 0 AS starved, safe_success = 1 AND episode_return > 10 AS diverging,
+    round(episode_return / greatest(command_count, 1), 6) AS parameter_mean, round(separation_horizontal_km / greatest(command_count, 1), 6) AS parameter_std FROM diagnostics""", "diagnostics"))
 def episode_alerts(spark, folder):
-    d = A.diagnostics(spark, folder).groupBy("scenario").agg(F.avg("episode_return").alias("m"), F.stddev_pop("episode_return").alias("s"))
-    return d.select("scenario", F.round("m", 6).alias("mean_return"), F.round("s", 6).alias("std_return"), (c("s") < 1).alias("collapsed"))
+    """Flags of every episode of the diagnostics; every seventh has no entropy."""
+    k = c("row_id")
+    episodes = A.diagnostics(spark, folder).select(
+        k, (c("safe_success") == 1).alias("update_performed"), F.when(k % 7 != 0, (k % 10).cast("double") / 10).alias("discrete_entropy"), (c("command_count") * 3).alias("available_headings"),
+        (k % 3).alias("headings"), c("episode_return").alias("critic_loss"), c("episode_return").alias("mean_sum"), c("separation_horizontal_km").alias("std_sum"), c("command_count").alias("samples"),
+    )
+    found = training_alerts(episodes, least_entropy=0.2)
+    return found.select("row_id", "collapsed", "starved", "diverging", F.round("parameter_mean", 6).alias("parameter_mean"), F.round("parameter_std", 6).alias("parameter_std"))
 
 
 @query("sample_tags", O.with_views("SELECT tick, CASE WHEN n_edges > 1 THEN 'multi_pair' ELSE 'single_pair' END || CASE WHEN min_tcpa < 30 THEN ',urgent' ELSE '' END || CASE WHEN n_edges > 10 THEN ',dense' ELSE '' END AS tags FROM scene", "cpa", **Q._SCENE))

@@ -274,6 +274,32 @@ def marked(store: DataFrame, marks: DataFrame, longest: int = 2000) -> DataFrame
     return joined.select("fingerprint", F.coalesce("m.status", "status").alias("status"), F.coalesce("m.reason", "reason").alias("reason"))
 
 
+@query("upsert_plan", O.with_views("SELECT fingerprint, CASE WHEN t IS NULL THEN 'pending' ELSE 'resolved' END AS status, 'plan ' || CAST(t % 1000000000 AS VARCHAR) AS proposal FROM (SELECT fingerprint, max(CASE WHEN n_edges > 1 THEN (tick % 2) * 1000000000 + tick END) AS t FROM scene GROUP BY 1)", "cpa", **_SCENE))
+def upsert_plan(spark, folder):
+    """Plans for scenes of several conflicts, those of odd ticks saved after those of even ones, and what becomes of the scenes."""
+    s = scenes(spark, folder).select("tick", "fingerprint", "n_edges")
+    plans = s.where("n_edges > 1").select("fingerprint", c("tick").alias("turn"), F.concat(F.lit("plan "), c("tick").cast("string")).alias("proposal"))
+    store = saved_plans(None, plans.where("turn % 2 = 0"))
+    store = saved_plans(store, plans.where("turn % 2 = 1"))
+    queue = s.select("fingerprint", F.lit("pending").alias("status"), F.lit("").alias("reason")).distinct()
+    return resolved(queue, store).join(store.select("fingerprint", "proposal"), "fingerprint", "left").select("fingerprint", "status", "proposal")
+
+
+def saved_plans(store: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``fingerprint, proposal, validation_status`` of the store with new plans put in: the last by ``turn`` of a scene's new
+    plans takes the place of the one that it had. A plan without a fingerprint belongs to no scene and is left out."""
+    last = new.where("fingerprint is not null").groupBy("fingerprint").agg(F.max_by("proposal", "turn").alias("proposal"))
+    last = last.withColumn("validation_status", F.lit("prediction_validated"))
+    return last if store is None else store.join(last.select("fingerprint"), "fingerprint", "left_anti").unionByName(last)
+
+
+def resolved(queue: DataFrame, plans: DataFrame) -> DataFrame:
+    """The queue of scenes with those marked ``resolved`` for which a plan is saved; reasons stay."""
+    done = plans.select("fingerprint", F.lit(True).alias("planned")).distinct()
+    joined = queue.join(done, "fingerprint", "left")
+    return joined.select("fingerprint", F.when(c("planned"), "resolved").otherwise(c("status")).alias("status"), "reason")
+
+
 @query("store_summary", O.with_views("SELECT count(DISTINCT fingerprint) AS scenes, count_if(n_edges > 10) AS dense, count(*) AS sightings FROM scene", "cpa", **_SCENE))
 def store_summary(spark, folder):
     return scenes(spark, folder).agg(F.countDistinct("fingerprint").alias("scenes"), F.count_if(c("n_edges") > 10).alias("dense"), F.count("*").alias("sightings"))
