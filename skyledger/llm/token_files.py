@@ -38,7 +38,7 @@ FILE_IDS = 1 << 24
 #: Blocks that are packed at a time.
 PACK_BLOCKS = 4096
 #: Distinct chunks in a generation of those whose ids a Python worker keeps.
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 700_000
 SUFFIX = ".pfor"
 
 MAGIC = b"PFOR0001"
