@@ -16,7 +16,9 @@ AIRLINES = {
     "青岛": "QDA", "邮政": "CYZ",
 }
 DIGITS = "0-9零洞幺一两二三四五六拐七八九"
+# What a controller says.
 CONTROLLER_CUES = ("雷达看到", "雷达识别", "上到", "下降到", "下到", "保持高度", "速度", "左转", "右转", "航向", "联系", "修正海压", "可以进近")
+# What is said when reading back.
 READBACK_CUES = ("收到", "明白", "抄收", "再见")
 #: Code points from either end within which a callsign counts as standing there.
 NEAR_END = 3
