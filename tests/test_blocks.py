@@ -35,3 +35,41 @@ def test_traffic_features_by_blocks(spark, states):
         got = rows(found, "tick", "trajectory_id", "nearest_nm", F.when(F.col("min_cpa_nm") < 999, F.col("min_cpa_nm")))
     assert got == rows(want, "tick", "id1", "near", "cpa") and len(got) > 60
     assert P.traffic_features(states.limit(0)).count() == 0
+
+
+def test_close_approaches_by_blocks(spark, states):
+    from skyledger.functions import geo
+
+    p = P.with_cpa(P.pairs(states)).where(P.vertical_ft() < 1000)
+    d = p.where("cpa_nm < 5")
+    bucket = lambda x, w: F.bround(x / w).cast("long")
+    edge = d.groupBy("tick", bucket(F.abs(geo.wrap180(F.col("trk1") - F.col("trk2"))), 15).alias("turn"), bucket(P.vertical_ft(), 500).alias("height"), bucket(F.col("tcpa"), 30).alias("time"))
+    names = ("tick", "turn", "height", "time", "n", "min_tcpa")
+    assert rows(B.edge_kinds(states, 5.0), *names) == rows(edge.agg(F.count("*").alias("n"), F.min("tcpa").alias("min_tcpa")), *names)
+    each = d.select("tick", F.explode(F.array("id1", "id2")).alias("id"), "tcpa").groupBy("tick", "id").agg(F.count("*").alias("degree"), F.min("tcpa").alias("min_tcpa"))
+    names = ("tick", "id", "degree", "min_tcpa")
+    assert rows(B.approach_degrees(states, 5.0), *names) == rows(each, *names)
+    kinds = p.where("cpa_nm < 20").groupBy(P.geometry().alias("geometry"), P.risk(F.col("tcpa") / 60, F.col("cpa_nm"), F.col("now_nm")).alias("risk"))
+    names = ("geometry", "risk", "n", "min_cpa", "min_tcpa")
+    assert rows(B.approach_kinds(states, 20.0, 5.0), *names) == rows(kinds.agg(F.count("*").alias("n"), F.min("cpa_nm").alias("min_cpa"), F.min("tcpa").alias("min_tcpa")), *names)
+    mine = p.where("cpa_nm < 20").withColumn("g", P.geometry()).select("tick", F.explode(F.array("id1", "id2")).alias("id"), "g", ((F.col("g") != "head_on") & ((F.col("tcpa") / 60 <= 3) | (F.col("cpa_nm") < 3))).alias("u"))
+    names = ("tick", "id", *[f"of_{g}" for g in B.GEOMETRIES], "urgent")
+    want = mine.groupBy("tick", "id").agg(*[F.count_if(F.col("g") == g).alias(f"of_{g}") for g in B.GEOMETRIES], F.count_if("u").alias("urgent"))
+    assert rows(B.approach_context(states, 20.0), *names) == rows(want, *names)
+    assert B.edge_kinds(states.limit(0), 5.0).count() == 0
+
+
+def test_risks_of_all_pairs_by_blocks(spark, states):
+    p = P.with_cpa(P.pairs(states))
+    want = p.groupBy("tick", P.risk(F.col("tcpa") / 60, F.col("cpa_nm"), F.col("now_nm")).alias("risk")).agg(F.count("*").alias("n"))
+    assert rows(B.pair_risks(states, 5.0), "tick", "risk", "n") == rows(want, "tick", "risk", "n")
+
+
+def test_text_of_edges_is_hashed_in_pieces():
+    from hashlib import sha256
+
+    from skyledger.operators.policy_queries import hashed_edges
+
+    edges = [("1,2", 1), ("10,0", 9000), ("3,1", 4097)]
+    text = ";".join(e for e, n in edges for _ in range(n))
+    assert hashed_edges(edges) == sha256(text.encode()).hexdigest()[:24] and hashed_edges([]) == sha256(b"").hexdigest()[:24]
