@@ -318,9 +318,8 @@ def nearest_point_join(spark, folder):
 @query("resolve_name_nearest", O.with_views("SELECT event_id, wpt FROM (SELECT *, event_id % 40 AS name FROM tracks) t JOIN w USING (name) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(pow((wlon - lon) * cos(radians(lat)), 2) + pow(wlat - lat, 2), 12), wpt) = 1", "tracks", w=_WPT))
 def resolve_name_nearest(spark, folder):
     """Of the waypoints with a state's name, the one nearest to it."""
-    t = A.tracks(spark, folder).withColumn("name", c("event_id") % 40).join(waypoints(spark, folder), "name")
-    d2 = F.round(F.pow((c("wlon") - c("lon")) * F.cos(F.radians("lat")), 2) + F.pow(c("wlat") - c("lat"), 2), 12)
-    return t.groupBy("event_id").agg(F.min(F.struct(d2.alias("d2"), "wpt")).alias("b")).select("event_id", "b.wpt")
+    t = A.tracks(spark, folder).select("event_id", "lat", "lon", (c("event_id") % 40).alias("name"))
+    return spatial.nearest_points(t, waypoints(spark, folder), by=["name"], wrapped=False)
 
 
 #: Whole numbers, as bounds of frames are.

@@ -94,3 +94,17 @@ def test_missing_columns_are_named(spark):
     assert require(rows, ["a"]) is rows
     with pytest.raises(ValueError, match="b, c"):
         require(rows, ["a", "c", "b"])
+
+
+def test_nearest_points_by_a_name_with_many_in_one_place(spark):
+    rng = np.random.default_rng(4)
+    points = [(k, k % 2, 30 + int(rng.integers(0, 12)) / 10, 103 + int(rng.integers(0, 12)) / 10) for k in range(400)]
+    states = [(k, k % 3, 30 + rng.random(), 103 + rng.random()) for k in range(50)] + [(90, 0, 30.0, -179.0), (91, 1, 80.0, 181.0)]
+    found = spatial.nearest_points(spark.createDataFrame(states, "event_id long, name long, lat double, lon double"), spark.createDataFrame(points, "wpt long, name long, wlat double, wlon double"), by=["name"], wrapped=False)
+    away = lambda s, p: (round(((p[3] - s[3]) * math.cos(math.radians(s[2]))) ** 2 + (p[2] - s[2]) ** 2, 12), p[0])
+    assert {r["event_id"]: r["wpt"] for r in found.collect()} == {s[0]: min(away(s, p) for p in points if p[1] == s[1])[1] for s in states if s[1] < 2}
+
+
+def test_cells_of_points_are_as_narrow_as_points_are_dense(spark):
+    points = spark.range(3000).select(F.col("id").alias("wpt"), (30 + F.col("id") * 29 % 1000 / 1000).alias("wlat"), (103 + F.col("id") * 31 % 1500 / 1000).alias("wlon"))
+    assert spatial.WIDTHS[spatial.first_width(points, [], True)] < 0.25 and spatial.WIDTHS[spatial.first_width(points.limit(3), [], True)] > 1
