@@ -73,3 +73,14 @@ def test_text_of_edges_is_hashed_in_pieces():
     edges = [("1,2", 1), ("10,0", 9000), ("3,1", 4097)]
     text = ";".join(e for e, n in edges for _ in range(n))
     assert hashed_edges(edges) == sha256(text.encode()).hexdigest()[:24] and hashed_edges([]) == sha256(b"").hexdigest()[:24]
+
+
+def test_counts_of_pairs_without_pairs(spark, states):
+    states = states.unionByName(states.where("trajectory_id in (3, 8, 904)"))
+    names = ("tick", "n_pairs", "ids1", "ids2")
+    want = P.pairs(states).groupBy("tick").agg(F.count("*").alias("n_pairs"), F.sum("id1").alias("ids1"), F.sum("id2").alias("ids2"))
+    assert rows(P.pair_totals(states), *names) == rows(want, *names)
+    names = ("tick", "id1", "n_others", "first_id", "last_id")
+    want = P.pairs(states, ordered=True).groupBy("tick", "id1").agg(F.count("*").alias("n_others"), F.min("id2").alias("first_id"), F.max("id2").alias("last_id"))
+    found = P.others(states)
+    assert rows(found, *names) == rows(want, *names)
