@@ -39,13 +39,18 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def diagnostics_csv(lines: DataFrame) -> DataFrame:
     """Episode rows of a diagnostics file with a header line: byte-order mark and rows without an episode are dropped,
-    and the last row of an episode counts. Values stay text in a map, as headers change between runs."""
+    and the last row of an episode counts. Values stay text in a map, as headers change between runs.
+
+    Headers, a row per file, are sent to all tasks, so that no file has to pass through one; last rows are found by their numbers
+    alone, of which an episode and file keep one, and the lines are then taken by them.
+    """
     clean = lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
     names = clean.where("line = 1").select("file", F.split("value", ",").alias("names"))
-    rows = clean.where("line > 1").join(names, "file").withColumn("m", F.map_from_arrays("names", F.slice(F.split("value", ","), F.lit(1), F.size("names"))))
+    rows = clean.where("line > 1").join(F.broadcast(names), "file").withColumn("m", F.map_from_arrays("names", F.slice(F.split("value", ","), F.lit(1), F.size("names"))))
     rows = rows.withColumn("episode", c("m")["episode"].try_cast("int")).where("episode is not null")
-    last = Window.partitionBy("episode").orderBy(F.desc("file"), F.desc("line"))
-    return rows.withColumn("n", F.row_number().over(last)).where("n = 1").select("episode", c("m").alias("fields"))
+    ends = rows.groupBy("episode", "file").agg(F.max("line").alias("line"))
+    last = ends.groupBy("episode").agg(F.max(F.struct("file", "line")).alias("at")).select("episode", "at.file", "at.line")
+    return rows.join(last, ["episode", "file", "line"]).select("episode", c("m").alias("fields"))
 
 
 # Type codes of radio aids.

@@ -60,3 +60,37 @@ def test_text_sources(spark, tmp_path):
     assert [r["a"] for r in good.collect()] == [1] and [r["line"] for r in bad.orderBy("line").collect()] == [3, 4]
     frames = spark.createDataFrame([("p", bytes.fromhex("1a33" + "00" * 7 + "8d4840d6202cc371c32ce0576098" + "1a32" + "11" * 7 + "5d4840d6aabbcc" + "1a31ff"))], "path string, content binary")
     assert [r["message"] for r in I.modes_frames(frames).orderBy("pos").collect()] == ["8D4840D6202CC371C32CE0576098", "5D4840D6AABBCC"]
+
+
+def plain_levels(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    level = {}
+    for i in sorted(near, key=lambda i: (-len(near[i]), i)):
+        taken = [level[j] for j in near[i] if j in level]
+        free = [x for x in R.L.LEVELS_M if all(abs(x - t) >= 600 for t in taken)]
+        level[i] = float(free[0] if free else max(R.L.LEVELS_M, key=lambda x: (min(abs(x - t) for t in taken), -x)))
+    return level
+
+
+def test_levels_of_crowded_groups_are_those_of_a_plain_walk():
+    import random
+
+    random.seed(3)
+    for n, share in ((6, 0.5), (40, 0.3), (60, 0.9)):
+        edges = [(i * 7, j * 7) for i in range(n) for j in range(i + 1, n) if random.random() < share]
+        rows = pd.DataFrame([(0, 0, *e) for e in edges + edges[:3]], columns=["tick", "component", "id1", "id2"])
+        assert dict(R.colour(rows)[["trajectory_id", "level_m"]].itertuples(index=False)) == plain_levels(edges)
+
+
+def test_a_large_group_is_searched_in_time_that_follows_its_links():
+    import time
+
+    # a long chain and, at the end by number, a pair that no two actions fit: the search turns back until the trials run out
+    n = 4000
+    allowed = {(i, i + 1): [(0, 1), (1, 0), (2, 2)] for i in range(0, n, 2)}
+    began = time.monotonic()
+    found = R.solve(group(allowed))
+    assert time.monotonic() - began < 10 and dict(found.groupby("action").size()) == {0: n // 2, 1: n // 2}
