@@ -84,3 +84,22 @@ def test_counts_of_pairs_without_pairs(spark, states):
     want = P.pairs(states, ordered=True).groupBy("tick", "id1").agg(F.count("*").alias("n_others"), F.min("id2").alias("first_id"), F.max("id2").alias("last_id"))
     found = P.others(states)
     assert rows(found, *names) == rows(want, *names)
+
+
+def test_losses_by_blocks(spark, states):
+    from skyledger.plans.components import connected_components
+
+    p = P.with_relative(P.pairs(states)).withColumn("ft", P.vertical_ft()).where("now_nm < 5 and ft < 1000")
+    want = p.groupBy("tick").agg(F.count("*").alias("n"), F.min("now_nm").alias("min_nm"), F.min("ft").alias("min_ft"))
+    assert rows(B.losses(states, 5.0, 1000.0), "tick", "n", "min_nm", "min_ft") == rows(want, "tick", "n", "min_nm", "min_ft")
+    groups = lambda e, **how: rows(connected_components(e.select((F.col("tick") * 1000 + F.col("id1")).alias("a"), (F.col("tick") * 1000 + F.col("id2")).alias("b")), "a", "b", **how), "node", "component")
+    links = B.loss_links(states, 5.0, 1000.0)
+    assert groups(links) == groups(p) == groups(p, crowded=True) and p.count() > links.count() or B.BLOCK_ROWS < 100
+
+
+def test_links_of_a_crowd_are_contracted():
+    from skyledger.plans.components import local_stars
+
+    u, v = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
+    node, least = local_stars(np.concatenate([u, np.arange(100, 900)]), np.concatenate([v, np.arange(101, 901)]))
+    assert dict(zip(node.tolist(), least.tolist())) == dict.fromkeys(range(1, 50), 0) | dict.fromkeys(range(101, 901), 100)
