@@ -103,3 +103,16 @@ def test_links_of_a_crowd_are_contracted():
     u, v = (x.ravel() for x in np.meshgrid(np.arange(50), np.arange(50)))
     node, least = local_stars(np.concatenate([u, np.arange(100, 900)]), np.concatenate([v, np.arange(101, 901)]))
     assert dict(zip(node.tolist(), least.tolist())) == dict.fromkeys(range(1, 50), 0) | dict.fromkeys(range(101, 901), 100)
+
+
+def test_rows_of_pairs_by_blocks(spark, states):
+    """Results that are pairs come from blocks, strip by strip, with what is unknown as null."""
+    p = P.with_cpa(P.pairs(states))
+    names = ("tick", "id1", "id2", "tcpa", "cpa_nm", "now_nm")
+    with small_batches(spark, 3):
+        assert rows(B.all_approaches(states).fillna(-1.0), *names) == rows(p.fillna(-1.0), *names)
+        near = p.withColumn("vsep_ft", P.vertical_ft()).where("cpa_nm < 20 and vsep_ft < 1000")
+        names = ("tick", "id1", "id2", "tcpa", "cpa_nm", "vsep_ft")
+        assert rows(B.close_approaches(states, 20.0, 1000.0), *names) == rows(near, *names)
+        assert rows(B.pair_geometries(states, 20.0), "geometry", "n") == rows(p.groupBy(P.geometry().alias("geometry")).agg(F.count("*").alias("n")), "geometry", "n")
+    assert B.all_approaches(states.limit(0)).count() == 0
