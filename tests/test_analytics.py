@@ -143,3 +143,15 @@ def test_conflict_of_a_head_on_pair(spark):
     assert all(90 < r["tcpa"] < 120 for r in got)
     alone = {r["trajectory_id"]: r for r in P.traffic_features(states.where("trajectory_id = 3")).collect()}
     assert alone[3]["traffic_count"] == 0 and alone[3]["nearest_nm"] == 999.0 and alone[3]["min_tcpa_s"] == 9999.0
+
+
+def test_candidates_are_ranked_in_their_row(spark, data):
+    """The best candidates come from arrays, with no sort of candidates over tasks."""
+    from skyledger.operators import policy as L
+    from skyledger.operators import policy_queries as Q
+
+    keys = ["tick", "trajectory_id"]
+    want = L.best(L.with_margin(Q.scored(spark, data), keys), keys).select("event_id", "candidate_id", "score", "margin")
+    found = L.first_choice(Q.ordered(spark, data)).select("event_id", "candidate_id", "score", "margin")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1

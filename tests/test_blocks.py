@@ -116,3 +116,19 @@ def test_rows_of_pairs_by_blocks(spark, states):
         assert rows(B.close_approaches(states, 20.0, 1000.0), *names) == rows(near, *names)
         assert rows(B.pair_geometries(states, 20.0), "geometry", "n") == rows(p.groupBy(P.geometry().alias("geometry")).agg(F.count("*").alias("n")), "geometry", "n")
     assert B.all_approaches(states.limit(0)).count() == 0
+
+
+def test_roll_outs_by_blocks(spark, states):
+    from skyledger.operators import policy as L
+
+    even = F.col("trajectory_id") % 2 == 0
+    acting = states.where("lat is not null and gs_mps is not null and alt_m is not null").withColumns({"kind": F.when(even, "speed").otherwise("altitude"), "target": F.when(even, 400.0).otherwise(9900.0)})
+    p = P.pairs(acting, ordered=True).withColumns({"kind": F.when(F.col("id1") % 2 == 0, "speed").otherwise("altitude"), "target": F.when(F.col("id1") % 2 == 0, 400.0).otherwise(9900.0)})
+    want = L.rollout(p).withColumnRenamed("min_m_when_lost", "min_m").fillna(-1.0)
+    names = ("tick", "id1", "id2", "min_nm", "min_m", "unsafe")
+    with small_batches(spark, 3):
+        got = rows(L.rollouts(acting).fillna(-1.0), *names)
+        checked = rows(B.plans_checked(acting.withColumn("kind", F.lit("hold")), L.motion_terms(), L.straight_on, L.grid(), 5.0, 300.0), "tick", "checked", "unsafe", "min_nm")
+    assert got == rows(want, *names) and any(r[5] for r in got)
+    still = L.rollout(P.pairs(acting).withColumns({"kind": F.lit("hold"), "target": F.lit(0.0)})).groupBy("tick")
+    assert checked == rows(still.agg(F.count("*").alias("checked"), F.count_if("unsafe").alias("unsafe"), F.min("min_nm").alias("min_nm")), "tick", "checked", "unsafe", "min_nm")
