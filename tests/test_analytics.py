@@ -155,3 +155,16 @@ def test_candidates_are_ranked_in_their_row(spark, data):
     found = L.first_choice(Q.ordered(spark, data)).select("event_id", "candidate_id", "score", "margin")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+
+
+def test_ranker_of_equal_rows_counted_once(spark, data):
+    """Rows that are alike are learnt from as one with their weights, with the scores that all rows give."""
+    from skyledger.operators import more_queries as M
+
+    rows = M.labelled_candidates(spark, data).where("event_id % 4 = 0").select(*M.FEATURES, *M.CATEGORIES, "label", "weight")
+    rows = rows.unionByName(rows)
+    few = M.alike(rows, rows.columns)
+    assert few.agg({"n": "sum"}).first()[0] == rows.count() >= 2 * few.count()
+    each = rows.distinct().limit(200)
+    scores = [sorted(round(r.score, 6) for r in M.positive_score(model, each).collect()) for model in (M.fitted(rows, M.FEATURES, M.CATEGORIES), M.ranker(M.FEATURES, M.CATEGORIES).fit(rows))]
+    assert scores[0] == scores[1]
