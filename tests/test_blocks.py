@@ -132,3 +132,20 @@ def test_roll_outs_by_blocks(spark, states):
     assert got == rows(want, *names) and any(r[5] for r in got)
     still = L.rollout(P.pairs(acting).withColumns({"kind": F.lit("hold"), "target": F.lit(0.0)})).groupBy("tick")
     assert checked == rows(still.agg(F.count("*").alias("checked"), F.count_if("unsafe").alias("unsafe"), F.min("min_nm").alias("min_nm")), "tick", "checked", "unsafe", "min_nm")
+
+
+def test_edges_between_ranks_are_hashed_in_order(spark, states, monkeypatch):
+    from hashlib import sha256
+
+    monkeypatch.setattr(B, "HELD_EDGES", 40)
+    ranked = states.withColumn("role", (F.col("trajectory_id") * 37) % 997)  # one to three digits, in another order than ids
+    d = P.with_cpa(P.pairs(states)).where((P.vertical_ft() < 1000) & (F.col("cpa_nm") < 5))
+    want = {}
+    for tick, one, two, time in d.select("tick", *[(F.col(i) * 37) % 997 for i in ("id1", "id2")], F.bround(F.col("tcpa") / 60).cast("long")).collect():
+        want.setdefault(tick, []).append(f"{min(one, two)},{max(one, two)},{time}")
+    want = {tick: sha256(";".join(sorted(e)).encode()).hexdigest()[:24] for tick, e in want.items()}
+    edges = B.ranked_edges(ranked, 5.0, 60.0)
+    assert dict(map(tuple, B.edges_hashed(edges, 60.0).collect())) == want and len(want) == 2
+    assert edges.count() < d.count() and B.edges_hashed(edges.limit(0), 60.0).count() == 0
+    numbers = np.array([0, 1, 10, 100, 11, 2, 20, 999, 1234567, 99999999])
+    assert numbers[np.argsort(B.text_order(numbers))].tolist() == sorted(numbers.tolist(), key=str)
