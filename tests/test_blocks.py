@@ -149,3 +149,31 @@ def test_edges_between_ranks_are_hashed_in_order(spark, states, monkeypatch):
     assert edges.count() < d.count() and B.edges_hashed(edges.limit(0), 60.0).count() == 0
     numbers = np.array([0, 1, 10, 100, 11, 2, 20, 999, 1234567, 99999999])
     assert numbers[np.argsort(B.text_order(numbers))].tolist() == sorted(numbers.tolist(), key=str)
+
+
+@pytest.mark.parametrize("crowd", [1, 12])
+def test_contacts_by_blocks(spark, states, crowd, monkeypatch):
+    """In a crowd, where most have more losses than are ranked, and where few have any."""
+    from skyledger.operators import contact_blocks as C
+
+    monkeypatch.setattr(B, "HELD_EDGES", 50)
+    lon = F.signum("lon") * (180 - (180 - F.abs("lon")) / crowd)
+    states = states.withColumns({"lat": 30 + (F.col("lat") - 30) / crowd, "lon": lon}).where("alt_m is not null")
+    found = P.contacts(states).withColumns({n: F.round(n, 9) for n in ("severity", "horiz_km")}).localCheckpoint()
+    flagged = found.where("loss or predicted or temporal")
+    with small_batches(spark, 3):
+        names = ("tick", "id1", "id2", "loss", "predicted", "temporal", "collision", "severity")
+        assert rows(C.contact_rows(states), *names) == rows(flagged, *names)
+        names = ("tick", "id1", "id2", "time_gap_s", "applicable")
+        close = lambda df: [(*r[:3], round(r[3], 6), r[4]) for r in rows(df, *names)]
+        assert close(C.contact_rows(states, flagged=False)) == close(found.where("time_gap_s is not null"))
+        first = C.first_contacts(states)
+        names = ("tick", "id1", "id2", "rank")
+        assert rows(P.ranked_contacts(first), *names) == rows(P.ranked_contacts(found), *names)
+    many = found.where("loss").groupBy("tick", "id1").count().where("count > 4").count()
+    assert many > 20 if crowd > 1 else many < 20
+    names = ("tick", "id1", "n_contacts", "n_lost", "severity")
+    for some, one in ((found, False), (flagged, True)):
+        want = some.groupBy("tick", "id1").agg(F.count("*").alias("n_contacts"), F.count_if("loss").alias("n_lost"), F.max("severity").alias("severity"))
+        assert rows(C.contact_sums(states, flagged=one), *names) == rows(want, *names)
+    assert C.first_contacts(states.limit(0)).count() == C.contact_sums(states.limit(0)).count() == 0
