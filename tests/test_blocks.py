@@ -177,3 +177,17 @@ def test_contacts_by_blocks(spark, states, crowd, monkeypatch):
         want = some.groupBy("tick", "id1").agg(F.count("*").alias("n_contacts"), F.count_if("loss").alias("n_lost"), F.max("severity").alias("severity"))
         assert rows(C.contact_sums(states, flagged=one), *names) == rows(want, *names)
     assert C.first_contacts(states.limit(0)).count() == C.contact_sums(states.limit(0)).count() == 0
+
+
+def test_neighbourhoods_by_blocks(spark, states):
+    """Also of aircraft at one place with one course."""
+    from skyledger.functions import geo
+
+    states = states.unionByName(states.where("trajectory_id < 9").withColumns({"trajectory_id": F.col("trajectory_id") + 2000, "gs_mps": F.col("gs_mps") + 7}))
+    own = states.where("lat is not null and tick is not null")
+    own = P.with_relative(P._side(own, 1).withColumns({f"{n}2": F.col(f"{n}1") for n in ("id", *P.SHORT.values())}))
+    p = P.with_relative(P.pairs(states, ordered=True)).unionByName(own).where((F.col("now_nm") <= 15) & (F.abs(geo.wrap180(F.col("trk2") - F.col("trk1"))) <= 90))
+    want = p.groupBy("tick", F.col("id1").alias("trajectory_id")).agg(F.count("*").alias("n_near"), *[F.avg(f"{n}2").alias(f"mean_{n}") for n in ("gs", "vs", "lat", "lon")])
+    names = ("tick", "trajectory_id", "n_near", "mean_gs", "mean_vs", "mean_lat", "mean_lon")
+    assert rows(B.neighbourhoods(states, 15.0, 90.0), *names) == rows(want, *names) and want.where("n_near > 3").count() > 9
+    assert B.neighbourhoods(states.limit(0), 15.0, 90.0).count() == 0
