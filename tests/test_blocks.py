@@ -191,3 +191,17 @@ def test_neighbourhoods_by_blocks(spark, states):
     names = ("tick", "trajectory_id", "n_near", "mean_gs", "mean_vs", "mean_lat", "mean_lon")
     assert rows(B.neighbourhoods(states, 15.0, 90.0), *names) == rows(want, *names) and want.where("n_near > 3").count() > 9
     assert B.neighbourhoods(states.limit(0), 15.0, 90.0).count() == 0
+
+
+def test_plans_of_groups_by_blocks(spark, states):
+    """Sums and least values of blocks give the plans that rows of all pairs give."""
+    from skyledger.operators import plan_blocks
+    from skyledger.operators import resolve as R
+
+    known = states.where("lat is not null and gs_mps is not null and alt_m is not null and tick is not null and trajectory_id < 12 or tick = 0 and trajectory_id in (30, 34)")
+    groups = known.withColumns({"component": F.col("trajectory_id") % 4 - F.col("trajectory_id") % 2, "lat0": F.lit(30.4), "lon": F.lit(103.0) + F.col("lat") / 9})
+    side = lambda n: P._side(groups, n).join(groups.select("tick", F.col("trajectory_id").alias(f"id{n}"), "component", "lat0"), ["tick", f"id{n}"])
+    p = side(1).join(side(2).drop("lat0"), ["tick", "component"]).where("id1 < id2")
+    names = ("tick", "component", "who", "what", "losses", "min_km", "min_ft", "score")
+    rounded = lambda df: df.withColumns({n: F.round(n, 6) for n in names[5:]})
+    assert rows(rounded(plan_blocks.group_plans(groups)), *names) == rows(rounded(R.group_plans(p)), *names) and p.count() > 9
