@@ -205,3 +205,20 @@ def test_plans_of_groups_by_blocks(spark, states):
     names = ("tick", "component", "who", "what", "losses", "min_km", "min_ft", "score")
     rounded = lambda df: df.withColumns({n: F.round(n, 6) for n in names[5:]})
     assert rows(rounded(plan_blocks.group_plans(groups)), *names) == rows(rounded(R.group_plans(p)), *names) and p.count() > 9
+
+
+def test_plans_are_verified_for_twenty_minutes(spark, states):
+    """Every two seconds of them, by closest approaches in ranges of times, as by going through the grid for all pairs."""
+    from skyledger.operators import grid_blocks as G
+    from skyledger.operators import policy as L
+    from skyledger.operators.extra_queries import planned
+
+    times = L.grid(L.VERIFY_HORIZON_S, L.VERIFY_STEP_S)
+    assert len(times) == 601 and times[:2] == [0.0, 2.0] and times[-1] == 1200.0 and L.VERIFY_RANGES[0][0] == 0 and L.VERIFY_RANGES[-1][1] == 600
+    names = ("tick", "checked", "unsafe", "min_nm")
+    # crowded, in one line, and far apart, where none is near enough to be unsafe
+    for each in (states, states.withColumn("lat", F.lit(30.5)), states.withColumns({"lat": F.col("lat") + F.col("trajectory_id") % 7 * 8, "trk_deg": F.lit(90.0)})):
+        acting = each.withColumns(planned())
+        got = rows(G.plans_checked(acting, L.motion_terms(), L.moved, times, L.VERIFY_RANGES, 5.0, 300.0), *names)
+        assert got == rows(B.plans_checked(acting, L.motion_terms(), L.moved, times, 5.0, 300.0), *names) and len(got) == 2
+    assert G.plans_checked(acting.limit(0), L.motion_terms(), L.moved, times, L.VERIFY_RANGES, 5.0, 300.0).count() == 0
