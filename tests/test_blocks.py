@@ -222,3 +222,23 @@ def test_plans_are_verified_for_twenty_minutes(spark, states):
         got = rows(G.plans_checked(acting, L.motion_terms(), L.moved, times, L.VERIFY_RANGES, 5.0, 300.0), *names)
         assert got == rows(B.plans_checked(acting, L.motion_terms(), L.moved, times, 5.0, 300.0), *names) and len(got) == 2
     assert G.plans_checked(acting.limit(0), L.motion_terms(), L.moved, times, L.VERIFY_RANGES, 5.0, 300.0).count() == 0
+
+
+def test_roles_go_by_seven_keys(spark, states, monkeypatch):
+    """Aircraft with equal degrees are told apart by severity, time, height, speed and course before their ids."""
+    from skyledger.operators import contact_blocks as C
+    from skyledger.operators import policy_queries as Q
+
+    known = states.where("alt_m is not null and tick is not null")
+    d = P.with_cpa(P.pairs(known)).where((P.vertical_ft() < 1000) & (F.col("cpa_nm") < 5))
+    severe = P.contacts(known).where("id1 < id2").select("tick", "id1", "id2", "severity")
+    each = d.join(severe, ["tick", "id1", "id2"], "left").select("tick", F.explode(F.array("id1", "id2")).alias("id"), "tcpa", F.coalesce("severity", F.lit(0.0)).alias("severity"))
+    names = ("tick", "id", "degree", "min_tcpa", "severity")
+    want = each.groupBy("tick", "id").agg(F.count("*").alias("degree"), F.min("tcpa").alias("min_tcpa"), F.max("severity").alias("severity"))
+    assert rows(C.approach_roles(known, 5.0), *names) == rows(want, *names) and want.where("severity > 0").count() > 9
+    # five pairs, far from each other; ids are in the opposite order of what is to decide
+    at = lambda k, tick, lat, gap, alt, gs, trk: [(tick, k, lat, 104.0, alt, gs, trk, 0.0), (tick, k + 1, lat + gap, 104.0, alt, gs, trk, 0.0)]
+    made = [*at(30, 0, 30.0, 0.05, 9000.0, 200.0, 0.0), *at(20, 0, 31.0, 0.05, 9000.0, 200.0, 60.0), *at(10, 0, 32.0, 0.05, 9000.0, 180.0, 0.0), *at(5, 0, 33.0, 0.05, 8000.0, 250.0, 0.0), *at(1, 0, 34.0, 0.07, 12000.0, 250.0, 0.0)]
+    monkeypatch.setattr(Q.A, "tracks", lambda spark, folder: spark.createDataFrame(made, SCHEMA))
+    roles = dict(Q.role_order(spark, "").select("role", "id").collect())
+    assert [roles[k] for k in sorted(roles)] == [30, 31, 20, 21, 10, 11, 5, 6, 1, 2]
