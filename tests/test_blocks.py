@@ -242,3 +242,66 @@ def test_roles_go_by_seven_keys(spark, states, monkeypatch):
     monkeypatch.setattr(Q.A, "tracks", lambda spark, folder: spark.createDataFrame(made, SCHEMA))
     roles = dict(Q.role_order(spark, "").select("role", "id").collect())
     assert [roles[k] for k in sorted(roles)] == [30, 31, 20, 21, 10, 11, 5, 6, 1, 2]
+
+
+def test_counts_and_first_ones_of_traffic_by_blocks(spark, states):
+    """What lies near, converges, takes a level or comes first, as rows of all pairs give it, and no rows of pairs leave their blocks for it."""
+    from skyledger.functions import geo
+    from skyledger.operators import traffic_blocks as T
+
+    states = states.where("tick is not null")
+    p, both = P.with_cpa(P.pairs(states)).localCheckpoint(), P.with_relative(P.pairs(states, ordered=True)).localCheckpoint()
+    with small_batches(spark, 3):
+        want = p.where((F.col("cpa_nm") < 20) & (F.abs(F.col("alt1") - F.col("alt2")) < 650)).groupBy("tick").agg(F.count("*").alias("n"))
+        assert rows(T.approach_counts(states, 20.0, 650.0), "tick", "n") == rows(want, "tick", "n")
+        want = p.where("cpa_nm < 20 and tcpa > 0").groupBy("tick").agg(F.round(F.sum(F.sqrt(2 + F.col("cpa_nm") ** 2)), 6).alias("convergence"), F.count("*").alias("n"))
+        names = ("tick", "convergence", "n")
+        assert rows(T.convergence(states, 20.0).withColumn("convergence", F.round("convergence", 6)), *names) == rows(want, *names)
+        names = ("tick", "id1", "id2", "now_nm")
+        assert rows(T.within_radius(states, 12.0), *names) == rows(p.where("now_nm <= 12"), *names)
+        order = F.row_number().over(P.Window.partitionBy("tick").orderBy(F.round("tcpa", 4), F.round("now_nm", 6), "id1", "id2"))
+        first = lambda df: rows(df.withColumn("n", order).where("n <= 3"), "tick", "id1", "id2", "n")
+        assert first(T.first_approaches(states, 5.0, 3)) == first(p.where("cpa_nm < 5"))
+        h, b = F.round(geo.compass(F.col("trk2") - F.col("trk1")), 9), F.round(geo.compass(geo.bearing(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))) - F.col("trk1")), 9)
+        rule = F.when(h.between(160, 200), "head_on").when((h <= 20) | (h >= 340), "overtake").when(b < 180, "crossing_right").otherwise("crossing_left")
+        assert rows(T.encounter_rules(states), "rule", "n") == rows(both.groupBy(rule.alias("rule")).agg(F.count("*").alias("n")), "rule", "n")
+        there = F.abs(F.col("alt2") - (F.col("at") * 600 + 8100)) < 304.8
+        want = both.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(6)))).groupBy("tick", "id1", "at")
+        want = want.agg(F.count_if(there & (F.col("now_nm") < 40)).alias("near"), F.count_if(there & (F.col("now_nm") < 10)).alias("close"))
+        names = ("tick", "id1", "at", "near", "close")
+        assert rows(T.levels_taken(states, tuple(range(8100, 12001, 600)), 304.8, 40.0, 10.0), *names) == rows(want, *names)
+        near = both.where((F.abs(F.col("alt1") - F.col("alt2")) < 600) & (F.col("now_nm") < 40))
+        half = F.degrees(F.asin(F.least(F.lit(1.0), 5.0 / F.greatest(F.col("now_nm"), F.lit(5.0)))))
+        mid = geo.wrap180(geo.bearing(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))) - F.col("trk1"))
+        want = {}
+        for tick, one, m, w in near.select("tick", "id1", F.round(mid, 6), F.round(half, 6)).collect():
+            if m is not None and m - w < 90 and m + w > -90:
+                want.setdefault((tick, one), []).append((max(-90.0, m - w), min(90.0, m + w)))
+        length = lambda of: round(sum(b - a for _, a, b in zip(*T.united(np.zeros(len(of), np.int64), *map(np.array, zip(*of))))), 4)
+        got = {}
+        for tick, one, a, b in T.bands(states, 40.0, 600.0, 5.0).collect():
+            got.setdefault((tick, one), []).append((a, b))
+        assert {k: length(v) for k, v in got.items()} == {k: length(v) for k, v in want.items()} and len(got) > 60
+    for made in (T.approach_counts, T.convergence):
+        assert made(states.limit(0), 20.0, 650.0).count() == 0
+
+
+def test_bands_are_united():
+    from skyledger.operators.traffic_blocks import united
+
+    row, low, high = united(np.array([4, 1, 1, 1, 4, 1]), np.array([0.0, -90, -80, 20, 0.5, 10]), np.array([1.0, -50, -70, 30, 0.7, 20]))
+    assert [row.tolist(), low.tolist(), high.tolist()] == [[1, 1, 4], [-90.0, 10.0, 0.0], [-50.0, 30.0, 1.0]]
+    assert len(united(row[:0], low[:0], high[:0])[0]) == 0
+
+
+def test_sides_are_told_where_bearings_are_at_their_limits(spark):
+    """Dead ahead, dead astern and at one place, where the sign of a product says nothing."""
+    from skyledger.functions import geo
+    from skyledger.operators import traffic_blocks as T
+
+    made = [(0, 1, 30.0, 104.0, 9000.0, 200.0, 0.0, 0.0), (0, 2, 31.0, 104.0, 9000.0, 200.0, 90.0, 0.0), (0, 3, 30.0, 104.0, 9000.0, 200.0, 250.0, 0.0), (0, 4, 29.0, 104.0, 9000.0, 200.0, 300.0, 0.0), (0, 5, 30.0, 104.0, 9000.0, 200.0, 45.0, 0.0)]
+    states = spark.createDataFrame(made, SCHEMA)
+    both = P.pairs(states, ordered=True)
+    h, b = F.round(geo.compass(F.col("trk2") - F.col("trk1")), 9), F.round(geo.compass(geo.bearing(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))) - F.col("trk1")), 9)
+    rule = F.when(h.between(160, 200), "head_on").when((h <= 20) | (h >= 340), "overtake").when(b < 180, "crossing_right").otherwise("crossing_left")
+    assert rows(T.encounter_rules(states), "rule", "n") == rows(both.groupBy(rule.alias("rule")).agg(F.count("*").alias("n")), "rule", "n")
