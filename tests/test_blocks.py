@@ -305,3 +305,33 @@ def test_sides_are_told_where_bearings_are_at_their_limits(spark):
     h, b = F.round(geo.compass(F.col("trk2") - F.col("trk1")), 9), F.round(geo.compass(geo.bearing(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))) - F.col("trk1")), 9)
     rule = F.when(h.between(160, 200), "head_on").when((h <= 20) | (h >= 340), "overtake").when(b < 180, "crossing_right").otherwise("crossing_left")
     assert rows(T.encounter_rules(states), "rule", "n") == rows(both.groupBy(rule.alias("rule")).agg(F.count("*").alias("n")), "rule", "n")
+
+
+def test_directed_conflicts_by_blocks(spark, states):
+    """Over the date line, far apart and near a pole, with unknown heights and speeds, as by a join on cells; and what is new in a tick."""
+    from skyledger.operators import conflict_blocks as D
+
+    states = states.where("tick is not null")
+    again = states.where("trajectory_id % 3 > 0").withColumns({"tick": F.col("tick") + 1, "lat": F.col("lat") + 0.01})
+    states = states.where("tick in (0, 7)").unionByName(again.where("tick = 1")).unionByName(states.where("tick = 0 and trajectory_id % 2 = 0").withColumn("tick", F.lit(2).cast("long")))
+    # fast ones on both sides of the earth, and some about a pole
+    more = [(5, 1, 0.0, 0.0, 9000.0, 6000.0, 90.0, 0.0), (5, 2, 0.0, 14.0, 9000.0, 6000.0, 270.0, 0.0), (5, 3, -60.0, 120.0, 9000.0, 200.0, 0.0, 0.0), (5, 4, 30.0, 170.0, 9000.0, 200.0, 0.0, 0.0)]
+    more += [(6, k, 89.7, 60.0 * k, 9000.0 + k * 2000, 230.0, 40.0 * k, -7.0 * k) for k in range(6)]
+    states = states.unionByName(spark.createDataFrame(more, SCHEMA))
+    found = P.directed_conflicts(states).localCheckpoint()
+    assert found.where("tick = 5").count() and found.where("tick = 6").count() and found.count() > 60
+    names = ("tick", "id1", "id2", "qdr", "dist_m", "tcpa", "tinconf")
+    near = lambda df: [(*r[:3], *[round(x, 4) for x in r[3:]]) for r in rows(df, *names)]
+    with small_batches(spark, 3):
+        assert near(D.conflict_rows(states)) == near(found)
+        pairs = found.select("tick", F.least("id1", "id2").alias("low"), F.greatest("id1", "id2").alias("high")).distinct()
+        names = ("tick", "low", "high")
+        assert rows(D.conflict_pairs(states), *names) == rows(pairs, *names)
+        new = P.newly_seen(pairs, ["low", "high"])
+        assert rows(D.fresh_pairs(states), *names) == rows(new, *names) and new.count() < pairs.count()
+        want = pairs.groupBy("tick").agg(F.count("*").alias("n_now")).join(new.groupBy("tick").agg(F.count("*").alias("n_new")), "tick", "left").fillna(0)
+        assert rows(D.conflict_counts(states), "tick", "n_now", "n_new") == rows(want, "tick", "n_now", "n_new")
+        names = ("tick", "trajectory_id", "dve_mps", "dvn_mps", "n_conflicts")
+        sums = lambda df: [(*r[:2], round(r[2], 4), round(r[3], 4), r[4]) for r in rows(df, *names)]
+        assert sums(D.conflict_vectors(states)) == sums(P.resolution_vectors(found))
+    assert D.conflict_pairs(states.limit(0)).count() == D.conflict_counts(states.limit(0)).count() == D.conflict_vectors(states.limit(0)).count() == 0
