@@ -335,3 +335,16 @@ def test_directed_conflicts_by_blocks(spark, states):
         sums = lambda df: [(*r[:2], round(r[2], 4), round(r[3], 4), r[4]) for r in rows(df, *names)]
         assert sums(D.conflict_vectors(states)) == sums(P.resolution_vectors(found))
     assert D.conflict_pairs(states.limit(0)).count() == D.conflict_counts(states.limit(0)).count() == D.conflict_vectors(states.limit(0)).count() == 0
+
+
+def test_first_unsafe_ones_by_blocks(spark, states):
+    """They are those of the roll-outs of all ordered pairs, of which no row is made."""
+    from skyledger.operators import policy as L
+
+    even = F.col("trajectory_id") % 2 == 0
+    acting = states.where("tick is not null").withColumns({"lat": 30 + (F.col("lat") - 30) / 6, "kind": F.when(even, "speed").otherwise("altitude"), "target": F.when(even, 400.0).otherwise(9900.0)})
+    u = L.rollouts(acting).where("unsafe").groupBy("tick", "id1")
+    want = u.agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("id2")), 1, 3).alias("ids")).withColumn("ids", F.col("ids").cast("string"))
+    got = L.first_unsafe(acting, 3).withColumn("ids", F.col("ids").cast("string"))
+    assert rows(got, "tick", "id1", "n", "ids") == rows(want, "tick", "id1", "n", "ids") and want.where("n > 3").count() > 9
+    assert L.first_unsafe(acting.limit(0), 3).count() == 0
