@@ -94,3 +94,87 @@ def test_a_large_group_is_searched_in_time_that_follows_its_links():
     began = time.monotonic()
     found = R.solve(group(allowed))
     assert time.monotonic() - began < 10 and dict(found.groupby("action").size()) == {0: n // 2, 1: n // 2}
+
+
+def plainly(rows, cap):
+    """The search written out: the place with the fewest actions left that fit those chosen, actions in order, each one a trial."""
+    ids = sorted(set(rows.id1) | set(rows.id2))
+    fits = {}
+    for r in rows.itertuples():
+        for x, y in zip(r.a, r.b):
+            fits.setdefault((r.id1, r.id2), set()).add((x, y))
+            fits.setdefault((r.id2, r.id1), set()).add((y, x))
+        fits.setdefault((r.id1, r.id2), set()), fits.setdefault((r.id2, r.id1), set())
+    chosen, trials = {}, 0
+
+    def left(i):
+        near = [j for j in ids if (j, i) in fits]
+        ever = {j: {y for _, y in fits[j, i]} for j in near}
+        return [x for x in range(5) if all(x in ever[j] and (j not in chosen or (chosen[j], x) in fits[j, i]) for j in near)]
+
+    def step():
+        nonlocal trials
+        i = min((k for k in ids if k not in chosen), key=lambda k: (len(left(k)), k))
+        for x in left(i):
+            if trials >= cap:
+                return None
+            trials += 1
+            chosen[i] = x
+            if len(chosen) == len(ids):
+                return True
+            found = step()
+            if found is not False:
+                return found
+            del chosen[i]
+        return False if trials < cap or not chosen else None
+
+    found = step()
+    return [(i, chosen[i] if found else R.UNDECIDED if found is None else R.NO_SOLUTION) for i in ids]
+
+
+def test_a_group_is_searched_in_the_same_order(monkeypatch):
+    """By lists of actions or by bits of a number, also where trials run out."""
+    import numpy as np
+
+    rng, seen = np.random.default_rng(5), set()
+    for k in range(60):
+        ids, rows = rng.permutation(100)[: rng.integers(2, 9)].tolist(), []
+        for p, q in itertools.combinations(sorted(ids), 2):
+            if rng.random() < 0.7:
+                fits = rng.random((5, 5)) < rng.choice([0.3, 0.5, 0.8])
+                rows.append((0, 0, p, q, *map(list, np.nonzero(fits)), int(fits.ravel() @ (1 << np.arange(25)))))
+        if not rows:
+            continue
+        table, cap = pd.DataFrame(rows, columns=["tick", "component", "id1", "id2", "a", "b", "fits"]), int(rng.choice([4, 1000]))
+        monkeypatch.setattr(R, "NODE_CAP", cap)
+        want = plainly(table, cap)
+        for columns in (["a", "b"], ["fits"]):
+            got = R.solve(table.drop(columns=columns))
+            assert list(got[["trajectory_id", "action"]].itertuples(index=False, name=None)) == want, k
+        seen.add(min(want[0][1], 0))
+    assert seen == {0, R.NO_SOLUTION, R.UNDECIDED}
+
+
+def test_actions_of_close_pairs_by_blocks(spark, monkeypatch):
+    """As folded pair by pair, the lesser id first, with nothing for what is not known."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from skyledger.operators import blocks as B
+    from skyledger.operators import pairs as P
+    from skyledger.operators import resolve_blocks as V
+
+    rng = np.random.default_rng(2)
+    made = [(k % 2, int(i), 30 + rng.random() / 5, 104 + rng.random() / 5, 9000.0 + 300 * (k % 3), 200.0 + k, float(k * 37 % 360), float(k % 3 - 1)) for k, i in enumerate(rng.permutation(50))]
+    made += [(0, 90, 30.1, 104.1, None, 200.0, 0.0, 0.0), (0, 91, 30.1, 104.1, 9000.0, None, 0.0, 0.0), (0, 92, 30.1, 104.1, 9000.0, 200.0, 0.0, None)]
+    states = spark.createDataFrame(made, "tick long, trajectory_id long, lat double, lon double, alt_m double, gs_mps double, trk_deg double, vs_mps double")
+    close = P.pairs_within(states, 6.0).where(F.abs(F.col("alt1") - F.col("alt2")) < 700)
+    names = ("tick", "id1", "id2", "a", "b")
+    want = sorted(map(tuple, R.compatible_actions(close).select(*names).collect()))
+    for size in (7, 4096):
+        monkeypatch.setattr(B, "BLOCK_ROWS", size)
+        monkeypatch.setattr(V, "HELD_PAIRS", size)
+        assert sorted(map(tuple, V.action_rows(states, 6.0, 700.0).select(*names).collect())) == want and len(want) > 1000
+        assert sorted(map(tuple, V.close_rows(states, 6.0, 700.0).collect())) == sorted(map(tuple, close.select("tick", "id1", "id2").collect()))
+        fits = {r[:3]: r[3] for r in map(tuple, V.fit_rows(states, 6.0, 700.0).collect())}
+        assert sorted((*p, a, b) for p, f in fits.items() for a in range(5) for b in range(5) if f >> a * 5 + b & 1) == want and len(fits) == close.count()
