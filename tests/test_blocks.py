@@ -348,3 +348,19 @@ def test_first_unsafe_ones_by_blocks(spark, states):
     got = L.first_unsafe(acting, 3).withColumn("ids", F.col("ids").cast("string"))
     assert rows(got, "tick", "id1", "n", "ids") == rows(want, "tick", "id1", "n", "ids") and want.where("n > 3").count() > 9
     assert L.first_unsafe(acting.limit(0), 3).count() == 0
+
+
+def test_samples_have_all_edges_without_a_join_of_pairs(spark, states, monkeypatch):
+    import json
+
+    from skyledger.operators import more_queries as M
+
+    known = states.where("tick is not null")
+    monkeypatch.setattr(M.A, "tracks", lambda spark, folder: known)
+    monkeypatch.setattr(P, "near_pairs", None)
+    got = {r["tick"]: (r["n_edges"], json.loads(r["sample"])) for r in M.training_samples(spark, "").collect()}
+    d = P.with_cpa(P.pairs(known)).where((P.vertical_ft() < 1000) & (F.col("cpa_nm") < 5)).select("tick", "id1", "id2", F.round("tcpa", 3))
+    for tick, (n, sample) in got.items():
+        want = sorted(tuple(r)[1:] for r in d.where(F.col("tick") == tick).collect())
+        assert [tuple(e.values()) for e in sample.get("edges", [])] == want and n == len(want)
+    assert sorted(got) == [0, 1, 7] and got[0][0] > 9
