@@ -43,8 +43,11 @@ def terms(one: Terms, two: Terms) -> tuple[np.ndarray, Terms]:
     p1, p2, dl = np.radians(lat1), np.radians(lat2), np.radians(two["lon"] - one["lon"])
     qdr = np.degrees(np.arctan2(np.sin(dl) * np.cos(p2), np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(dl)))
     h = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(dl / 2) ** 2
-    across = 0.5 * (np.abs(lat1) * (radius_m(lat1) + EQUATOR_M) + np.abs(lat2) * (radius_m(lat2) + EQUATOR_M)) / np.maximum(np.abs(lat1) + np.abs(lat2), 0.001)
-    dist = np.where(lat1 * lat2 >= 0, radius_m(0.5 * (lat1 + lat2)), across) * (2 * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(1 - h, 0.0)))) / geo.NM_M * geo.NM_M
+    radius, over = radius_m(0.5 * (lat1 + lat2)), lat1 * lat2 < 0
+    if over.any():
+        across = 0.5 * (np.abs(lat1) * (radius_m(lat1) + EQUATOR_M) + np.abs(lat2) * (radius_m(lat2) + EQUATOR_M)) / np.maximum(np.abs(lat1) + np.abs(lat2), 0.001)
+        radius = np.where(over, across, radius)
+    dist = radius * (2 * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(1 - h, 0.0)))) / geo.NM_M * geo.NM_M
     dx, dy = dist * np.sin(np.radians(qdr)), dist * np.cos(np.radians(qdr))
     du, dv = two["u"] - one["u"], two["v"] - one["v"]
     dv2 = np.maximum(du * du + dv * dv, 1e-6)
@@ -150,12 +153,19 @@ def conflict_rows(states: DataFrame) -> DataFrame:
     return B.meet_rows(states, conflict_columns(), rows, B.pair_schema(**dict.fromkeys(names, pa.float64())))
 
 
+def either(one: Terms, two: Terms) -> np.ndarray:
+    """Which pairs are in conflict in either order; the other order is asked only where the first is none."""
+    kept = terms(one, two)[0]
+    rest = np.flatnonzero(~kept)
+    kept[rest] = terms(*({n: v[rest] for n, v in side.items()} for side in (two, one)))[0]
+    return kept
+
+
 def in_conflict(table: pa.Table) -> Iterator[tuple[Side, np.ndarray, Side, np.ndarray]]:
     """``a, i, b, j`` of pairs that are in conflict in either order, each once."""
     a, b, same = B.sides(table)
     for i, j in met(a, b, same):
-        one, two = taken(a, i), taken(b, j)
-        kept = terms(one, two)[0] | terms(two, one)[0]
+        kept = either(taken(a, i), taken(b, j))
         if kept.any():
             yield a, i[kept], b, j[kept]
 
@@ -184,8 +194,7 @@ def fresh(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> np.ndarray:
     """Which pairs in conflict were not in one in the tick before."""
     new = np.ones(len(i), bool)
     both = np.flatnonzero(a["was"][i] & b["was"][j])
-    one, two = taken(a, i[both], "last_"), taken(b, j[both], "last_")
-    new[both] = ~(terms(one, two)[0] | terms(two, one)[0])
+    new[both] = ~either(taken(a, i[both], "last_"), taken(b, j[both], "last_"))
     return new
 
 
